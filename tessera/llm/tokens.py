@@ -18,54 +18,58 @@ class WordTokenizer:
     white space, nor a letter with a mark that follows it. So ASCII letters are lowered at once, a text is
     cut at plain spaces, line feeds and between a letter and a full stop or comma (all else stays inside
     the parts, for the library to handle), equal parts are encoded once, and the ids are laid end to end.
-    Two generations of `known_words` parts are remembered at most; parts still in use outlive a change.
+    About two generations of `known_words` parts are remembered; parts still in use outlive a change.
     """
 
-    def __init__(self, path: str, known_words: int = 120_000):
+    def __init__(self, path: str, known_words: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), known_words
-        self.new: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        # part: first place of its ids in flat << 24 | their number
+        self.new: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        self.flat, self.old_flat, self.used = np.zeros(1 << 20, np.int32), np.zeros(0, np.int32), 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
 
-    def _encode(self, parts: list[str]) -> list[np.ndarray]:
-        """Parts of letters only are encoded together: each must come out as one piece, with one end of word."""
-        if len(parts) > 1:
-            ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, np.int32)
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == len(parts):
-                return [ids[a:b] for a, b in zip([0, *at.tolist()], at.tolist())]
-        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+    def _add(self, parts: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.new.update(zip(parts, ((self.used + np.cumsum(size) - size) << 24 | size).tolist()))
+        self.used += len(ids)
 
     def _learn(self, parts: list[str]) -> None:
-        plain = [w for w in parts if w.isalpha()]
-        other = [w for w in parts if not w.isalpha()]
-        for a in range(0, len(plain), 256):
-            self.new.update(zip(plain[a : a + 256], self._encode(plain[a : a + 256])))
+        """Parts of letters only are encoded together: each must come out as one piece, with one end of word."""
+        plain, other = [w for w in parts if w.isalpha()], [w for w in parts if not w.isalpha()]
+        for a in range(0, len(plain), 1024):
+            some = plain[a : a + 1024]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(some):
+                self._add(some, np.diff(at, prepend=0), ids)
+            else:
+                other += some
         for a in range(0, len(other), 256):
-            got = self.tokenizer.encode_batch(other[a : a + 256], add_special_tokens=False)
-            self.new.update(zip(other[a : a + 256], [np.array(x.ids, np.int32) for x in got]))
+            got = [x.ids for x in self.tokenizer.encode_batch(other[a : a + 256], add_special_tokens=False)]
+            self._add(other[a : a + 256], np.array([len(x) for x in got], np.int64), np.array([i for x in got for i in x], np.int32))
 
-    def _ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes and ids, end to end, of distinct parts."""
+    def _places(self, parts: list[str]) -> np.ndarray:
+        """Place << 24 | size of the ids of distinct parts."""
         if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = []
-        for w in parts:
-            if w not in new:
-                if w in old:
-                    new[w] = old[w]
-                else:
-                    missing.append(w)
-        self._learn(missing)
-        found = [new[w] for w in parts]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        return size, np.concatenate(found) if found else np.zeros(0, np.int32)
+            self.old, self.old_flat = self.new, self.flat[: self.used].copy()
+            self.new, self.used = {}, 0
+        if missing := [w for w in parts if w not in self.new]:
+            if known := [w for w in missing if w in self.old]:
+                at = np.array([self.old[w] for w in known])
+                size = at & 0xFFFFFF
+                first = np.cumsum(size) - size
+                self._add(known, size, self.old_flat[np.repeat((at >> 24) - first, size) + np.arange(size.sum())])
+                missing = [w for w in missing if w not in self.new]
+            self._learn(missing)
+        return np.fromiter(map(self.new.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, column, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), `end` after each, and the offsets by text."""
@@ -75,11 +79,10 @@ class WordTokenizer:
         texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), r"(\pL)([.,])", r"\1 \2")
         lists = pc.split_pattern(texts, " ")
         parts = lists.flatten().dictionary_encode()
-        known, flat = self._ids(parts.dictionary.to_pylist())
-        slots = parts.indices.to_numpy(zero_copy_only=False)
-        size = known[slots]
+        places = self._places(parts.dictionary.to_pylist())[parts.indices.to_numpy(zero_copy_only=False)]
+        size = places & 0xFFFFFF
         at = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat((np.cumsum(known) - known)[slots] - at[:-1], size) + np.arange(at[-1])]
+        ids = self.flat[np.repeat((places >> 24) - at[:-1], size) + np.arange(at[-1])]
         offsets = at[lists.offsets.to_numpy(zero_copy_only=False)]
         return np.insert(ids, offsets[1:], end), offsets + np.arange(len(offsets))
 
