@@ -40,8 +40,13 @@ BITS = np.array([60, 0] + [b for b, _ in PACKS], np.uint64)
 COUNT = np.array([1, 0] + [c for _, c in PACKS], np.int64)
 
 
+_SHORT = np.array([k.bit_length() for k in range(1 << 16)], np.uint8)
+
+
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs; 61 stands for over 60."""
+    if values.max(initial=0) < 1 << 16:
+        return _SHORT[values.astype(np.int64)]
     width = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     exact = width >= 53  # beyond what a double can tell
     if exact.any():
@@ -72,7 +77,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         c = int(COUNT[s])
         p = 1 << (c.bit_length() - 1)
         most = np.maximum(top[p][:, :BLOCK], top[p][:, c - p : c - p + BLOCK])
-        selector[most <= BITS[s]] = s
+        np.copyto(selector, np.uint8(s), where=most <= np.uint8(BITS[s]))
     step = COUNT[selector]
     end = np.full(blocks, BLOCK)
     end[-1] = n - (blocks - 1) * BLOCK
