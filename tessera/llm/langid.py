@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import held_out, slices, table
 from .words import ngram_counts
 
-DIMS, ORDERS = 1024, (1, 2, 3)
+DIMS, ORDERS = 512, (1, 2, 3)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -49,19 +49,19 @@ def codewords(k: int, seed: int = 3) -> np.ndarray:
 
 def fit_bits(x: np.ndarray, bits: np.ndarray, steps: int = 250, rate: float = 0.3, ridge: float = 1e-5):
     """Weights, biases and accuracies of one logistic classifier for each column of bits (Adam, together)."""
-    w = np.zeros((x.shape[1] + 1, bits.shape[1]))
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1).astype(np.float64)
+    w = np.zeros((x.shape[1] + 1, bits.shape[1]), np.float32)
+    bits = bits.astype(np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        pull = -bits / (1 + np.exp(np.clip(bits * (x @ w), -30, 30))) / len(x)
-        g = x.T @ pull + ridge * w
+        pull = -bits / (1 + np.exp(np.clip(bits * (x @ w[:-1] + w[-1]), -30, 30))) / len(x)
+        g = np.concatenate([x.T @ pull, pull.sum(0, keepdims=True)]) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    right = (np.sign(x @ w) == bits).mean(0)
-    return w[:-1], w[-1], right
+    right = (np.sign(x @ w[:-1] + w[-1]) == bits).mean(0)
+    return w[:-1].astype(np.float64), w[-1].astype(np.float64), right
 
 
-def learn(docs: DataFrame, rows: int = 6000, seed: int = 17):
+def learn(docs: DataFrame, rows: int = 4000, seed: int = 17):
     """(languages, codewords, weights, biases, bit weights) from text and lang of rows that aren't held out.
 
     At most `rows` rows are used, as many of each language as there are, up to an even share, drawn by a hash;

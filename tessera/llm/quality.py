@@ -73,11 +73,13 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, ridge: float = 1e-4):
     """Weights and bias that minimise the non-negative risk with the logistic loss (Adam, all rows a step)."""
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 0.01
-    xp, xu = (positive - mean) / scale, (unlabelled - mean) / scale
-    w, b = np.zeros(both.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    n = len(positive) + len(unlabelled)
+    mean = (positive.sum(0, dtype=np.float64) + unlabelled.sum(0, dtype=np.float64)) / n
+    square = (np.einsum("ij,ij->j", positive, positive, dtype=np.float64) + np.einsum("ij,ij->j", unlabelled, unlabelled, dtype=np.float64)) / n
+    scale = np.sqrt(np.maximum(square - mean**2, 0)) + 0.01
+    xp, xu = ((x - mean.astype(np.float32)) / scale.astype(np.float32) for x in (positive, unlabelled))
+    w, b = np.zeros(len(mean), np.float32), 0.0
+    m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
     for t in range(1, steps + 1):
         sp, su = _sigmoid(xp @ w + b), _sigmoid(xu @ w + b)
         minus = np.logaddexp(0, xu @ w + b).mean() - prior * np.logaddexp(0, xp @ w + b).mean()
@@ -87,10 +89,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
             at_p, at_u = up - gp, gu
         else:  # the negative part's estimate fell below what a risk can be: undo it
             at_p, at_u = gp, -gu
-        g = np.concatenate([at_p @ xp + at_u @ xu + ridge * w, [at_p.sum() + at_u.sum()]])
+        g = np.concatenate([at_p @ xp + at_u @ xu + ridge * w, [at_p.sum() + at_u.sum()]]).astype(np.float32)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = w - step[:-1], b - float(step[-1])
     return w / scale, b - float((mean / scale) @ w)
 
 
@@ -112,7 +114,7 @@ def _sample(docs: DataFrame, rows: int, seed: int) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.float32) for _, x in got]) if got else np.zeros((0, DIMS * len(ORDERS) + SHAPES), np.float32)
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000, prior: float | None = None, seed: int = 7):
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 3000, prior: float | None = None, seed: int = 7):
     """(weights, bias, prior) from rows that aren't held out.
 
     docs: doc_id, text. labels: doc_id, quality (1: good). At most `rows` positives and `rows` unlabelled
