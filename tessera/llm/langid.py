@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table
+from .common import held_out, slices, table, tuned
 from .words import ngram_counts
 
 DIMS, ORDERS = 512, (1, 2, 3)
@@ -140,5 +140,6 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; `und` (null, empty, no letter) go. A null lang gets the predicted one."""
+    tuned(spark)
     out = identify(docs, learn(docs)).where("lang_pred <> 'und'")
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)

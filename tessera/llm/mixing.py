@@ -2,10 +2,13 @@
 
 Each source's documents form a stream in a pseudo-random order that depends on ids alone; the mix takes the
 first `target` words of that stream, going through it again where the target is larger than the source. A
-stream is cut into blocks of equal numbers of words. A binary tree over the output shards splits each node's
-block quotas, all sources at once, by a multivariate hypergeometric draw, as a uniform shuffle of all blocks
-would. A shard then takes its quota of each source's permuted blocks, disjoint from other shards', and its
-rows are shuffled locally by a hash.
+stream is cut into blocks by equal ranges of the order's hash. A binary tree over the output shards splits
+each node's block quotas, all sources at once, by a multivariate hypergeometric draw, as a uniform shuffle of
+all blocks would. A shard then takes its quota of each source's permuted blocks, disjoint from other shards',
+and its rows are shuffled locally by a hash.
+
+All that a document needs to know is one row of its source: how often it is taken whole, where the stream's
+order ends and the permutation. So texts are moved once, to their shards.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, small, table
+from .common import keep, small, table, tuned
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,6 +72,24 @@ def _order(seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size")).cast("binary"))
 
 
+def _edges(light: DataFrame, goals: DataFrame) -> DataFrame:
+    """sid, edge, edge_words: the order's key at which the rest of a source's target ends, and how many words
+    of the document there it takes (rows with the same key, repeats of an id and size, take equal parts).
+
+    Sums of 4096 ranges of the key tell the range in which the rest ends; only its documents are put in order.
+    """
+    goals = small(goals.select(F.col("source").alias("__s"), "sid", "rest"))
+    light = light.join(goals, F.col("source").eqNullSafe(F.col("__s")))
+    sums = light.groupBy("sid", "b").agg(F.sum("size").alias("n"))
+    sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("sid").orderBy("b")) - F.col("n"))
+    rest = goals.select("sid", "rest")
+    last = sums.join(rest, "sid").where("before < rest and rest <= before + n").select("sid", "b", "before")
+    inside = light.join(small(last), ["sid", "b"]).groupBy("sid", "o", "rest", "before").agg(F.sum("size").alias("n"), F.count("*").alias("k"))
+    end = F.col("before") + F.sum("n").over(Window.partitionBy("sid").orderBy("o"))
+    inside = inside.withColumn("end", end).where("rest > end - n and rest <= end")
+    return inside.select("sid", F.col("o").alias("edge"), F.expr("(rest - (end - n)) div k").alias("edge_words"))
+
+
 def mix(docs: DataFrame, shards: int | None = None, block_words: int = 4096, seed: int = 11, weights=(5, 2, 1), share: float = 1.5) -> DataFrame:
     """docs (doc_id, source, size and any other columns) with source_size, target, taken and draws.
 
@@ -79,46 +100,46 @@ def mix(docs: DataFrame, shards: int | None = None, block_words: int = 4096, see
     repeated rows are documents of their own; an empty table gives an empty result. Columns of docs with the
     names added here are replaced.
 
-    Streams are summed in buckets of the order's hash, then within a bucket, so a hot source is spread out.
-    shards: as many as there are shuffle partitions, unless given. To the driver come source totals alone. The
+    shards: as many as there are shuffle partitions, unless given. To the driver comes a row a source. The
     hypergeometric draws need under 10^9 blocks, so blocks grow with the words beyond that.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.drop("source_size", "target", "taken", "draws", "sid", "__o", "__b", "__at")
-    goals = keep(targets(docs, weights, share))
-    rows = goals.orderBy("sid").collect()
+    docs = docs.drop("source_size", "target", "taken", "draws")
+    light = docs.select("source", "doc_id", "size", _order(seed).alias("o")).withColumn("b", F.substring("o", 1, 3))
+    goals = keep(targets(docs, weights, share).withColumn("n", F.floor(F.col("target") + 0.5)))
+    goals = goals.withColumn("full", F.when(F.col("source_size") > 0, F.expr("n div source_size")).otherwise(0).cast("int"))
+    goals = goals.withColumn("rest", F.col("n") - F.col("full") * F.col("source_size"))
+    ending = _edges(light, goals)
+    goals = goals.join(ending, "sid", "left").orderBy("sid")
+    rows = goals.collect()
     block = max(block_words, math.ceil(sum(r.target for r in rows) / 5e8))
-    whole = [math.floor(r.target + 0.5) for r in rows]
-    quotas = np.array([-(-n // block) for n in whole], np.int64)
-    upto = splitting_tree(quotas, shards, seed).cumsum(0).T if rows else np.zeros((0, shards), np.int64)
+    blocks = [max(1, -(-r.source_size // block)) for r in rows]
+    place = lambda o, k: int(o[:8], 16) * k >> 32
+    quotas = [r.full * k + (place(r.edge, k) + 1 if r.edge else 0) for r, k in zip(rows, blocks)]
+    upto = splitting_tree(np.array(quotas, np.int64), shards, seed).cumsum(0).T if rows else np.zeros((0, shards), np.int64)
     plan = []
-    for r, n, q, u in zip(rows, whole, quotas.tolist(), upto):
+    for r, k, q, u in zip(rows, blocks, quotas, upto):
         step = next((a for a in range(int(q * 0.6180339887) or 1, 2 * q + 2) if math.gcd(a, q) == 1), 1) if q else 1
-        plan.append((r.sid, n, q, step, [int(x) for x in u]))
-    quota = small(spark.createDataFrame(plan, "sid int, n long, q long, step long, upto array<long>"), 40_000_000 // (8 * shards))
-    docs = docs.join(small(goals.withColumnRenamed("source", "__s")), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-    buckets = min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.withColumn("__o", _order(seed)).withColumn("__b", F.floor(F.conv(F.substring("__o", 1, 4), 16, 10).cast("long") * buckets / 65536).cast("int"))
-    sums = docs.groupBy("sid", "__b").agg(F.sum("size").alias("__n"))
-    sums = sums.withColumn("__at", F.sum("__n").over(Window.partitionBy("sid").orderBy("__b")) - F.col("__n")).drop("__n")
-    within = Window.partitionBy("sid", "__b").orderBy("__o", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    docs = docs.withColumn("__in", F.sum("size").over(within) - F.col("size")).join(sums, ["sid", "__b"]).withColumn("__at", F.col("__at") + F.col("__in"))
-    docs = docs.join(quota, "sid")
+        plan.append((r.source, r.source_size, r.target, r.full, r.edge, r.edge_words, k, max(q, 1), step, [int(x) for x in u]))
+    schema = "__s string, source_size long, target double, full int, edge string, edge_words long, blocks long, q long, step long, upto array<long>"
+    plan = small(spark.createDataFrame(plan, schema), 40_000_000 // (8 * shards))
+    docs = docs.join(plan, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__o", _order(seed))
     halves = F.array(*[F.lit(1 << k) for k in range(shards.bit_length() - 1, -1, -1)])
-    stream = lambda copy: F.col("__at") + copy * F.col("source_size")
-    words = lambda copy: F.greatest(F.lit(0), F.least(F.col("size"), F.col("n") - stream(copy)))
+    at = F.shiftright(F.conv(F.substring("__o", 1, 8), 16, 10).cast("long") * F.col("blocks"), 32)
+    part = F.when(F.col("__o") < F.col("edge"), F.col("size")).when(F.col("__o") == F.col("edge"), F.col("edge_words")).otherwise(0)
 
     def draw(copy: int) -> Column:
-        rank = F.pmod(F.floor(stream(F.lit(copy)) / block) * F.col("step"), F.col("q"))
+        words = F.when(F.col("full") > copy, F.col("size")).when(F.col("full") == copy, part).otherwise(0)
+        rank = F.pmod((at + copy * F.col("blocks")) * F.col("step"), F.col("q"))
         # the number of entries of upto that are <= rank, by halving
         go = lambda at, step: F.when((at + step <= shards) & (F.get("upto", F.least(at + step, F.lit(shards)) - 1) <= rank), at + step).otherwise(at)
-        shard = F.aggregate(halves, F.lit(0), go)
-        return F.struct(F.lit(copy).alias("copy"), words(F.lit(copy)).alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed), "__o", F.lit(copy)).alias("key"))
+        shard = F.least(F.aggregate(halves, F.lit(0), go), F.lit(shards - 1))
+        return F.struct(F.lit(copy).alias("copy"), words.alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed), "__o", F.lit(copy)).alias("key"))
 
     docs = docs.withColumn("draws", F.filter(F.array(draw(0), draw(1)), lambda x: x.words > 0))
     docs = docs.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x.words))
-    return docs.drop("sid", "n", "q", "step", "upto", "__o", "__b", "__at", "__in")
+    return docs.drop("__s", "full", "edge", "edge_words", "blocks", "q", "step", "upto", "__o")
 
 
 def spread(mixed: DataFrame, shards: int | None = None) -> DataFrame:
@@ -133,6 +154,7 @@ def spread(mixed: DataFrame, shards: int | None = None) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: one row a copy taken, cut where a source's target ends, in shuffled shards."""
+    tuned(spark)
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = spread(mix(sized(docs), shards), shards)
     if "n_chars" in docs.columns:

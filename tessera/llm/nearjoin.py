@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, slices, small, strings, table
+from .common import keep, slices, small, strings, table, tuned
 from .graph import components
 from .words import mix, shingles, word_hashes
 
@@ -248,6 +248,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each class stays; its rows, if an id repeats, are brought down to one."""
+    tuned(spark)
     kept = join(docs).where("doc_id = class_id").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, slices, table
+from .common import keep, slices, table, tuned
 from .tokens import tokenizer
 
 
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(tokenizer_path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=3 << 20):
                 ids, offsets = words.encode(part.column("text"), end_id)
                 ids, size = ids.astype("<u4"), np.diff(offsets)
                 n = -(-size // capacity)
@@ -147,6 +147,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents' tokens in sequences; copies of a document are packed as documents of their own."""
+    tuned(spark)
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -16,7 +16,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import slices, table, tuned
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -238,4 +238,5 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their personal data replaced by marks."""
+    tuned(spark)
     return detect(docs, redact=True)

@@ -159,7 +159,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
         shard, segment = pyspark.TaskContext.get().partitionId(), 0
         words = tokenizer(tokenizer_path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=3 << 20):
                 ids, offsets = words.encode(part.column("text"), end_id)
                 doc_id = part.column("doc_id")
                 payload = pack_segment(doc_id.fill_null(0).to_numpy(), doc_id.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), ids)
