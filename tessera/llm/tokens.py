@@ -46,14 +46,14 @@ class WordTokenizer:
         plain, other = [w for w in parts if w.isalpha()], [w for w in parts if not w.isalpha()]
         for a in range(0, len(plain), 1024):
             some = plain[a : a + 1024]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.int32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(some):
                 self._add(some, np.diff(at, prepend=0), ids)
             else:
                 other += some
         for a in range(0, len(other), 256):
-            got = [x.ids for x in self.tokenizer.encode_batch(other[a : a + 256], add_special_tokens=False)]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(other[a : a + 256], add_special_tokens=False)]
             self._add(other[a : a + 256], np.array([len(x) for x in got], np.int64), np.array([i for x in got for i in x], np.int32))
 
     def _places(self, parts: list[str]) -> np.ndarray:
