@@ -16,6 +16,8 @@ from ..functions.vectors import check_norms, unit
 
 #: Units of more rows than this use sums of outer products in place of pairs.
 PAIR_ROWS = 512
+#: A task holds at most about so many groups' sums of outer products at a time.
+MATRICES = 64
 
 
 def alpha(observed: Column, expected: Column) -> Column:
@@ -85,10 +87,11 @@ def _distances(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return small.union(large.groupBy(*keys).applyInPandas(reduced, f"{plain}, m long, total double"))
 
 
-def pooled(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
+def pooled(df: DataFrame, vec: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """by, n, total: sum of squared cosine distances over all ordered pairs of the group's unit vectors.
 
-    n^2 - 2 |sum x|^2 + |X'X|^2: one pass, a row of X'X a task and dimension, never a pair of rows.
+    n^2 - 2 |sum x|^2 + |X'X|^2: one pass, a row of X'X a task and dimension, never a pair of rows. weight: how
+    many times a row counts.
     """
     by = list(by)
 
@@ -100,10 +103,16 @@ def pooled(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
                 if len(g):
                     x = np.stack(g.x)
                     full = np.concatenate([x, np.ones((len(x), 1))], 1)
-                    gram = full.T @ full
+                    gram = (full * g.w.to_numpy()[:, None]).T @ full
                     sums[key] = sums[key] + gram if key in sums else gram
+            if len(sums) > MATRICES:
+                yield written(sums)
+                sums = {}
+        yield written(sums)
+
+    def written(sums: dict) -> pd.DataFrame:
         rows = [[*key, i, row] for key, gram in sums.items() for i, row in enumerate(gram)]
-        yield pd.DataFrame(rows, columns=[*by, "i", "row"])
+        return pd.DataFrame(rows, columns=[*by, "i", "row"])
 
     plain = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema) if by else ""
 
@@ -111,7 +120,9 @@ def pooled(df: DataFrame, vec: str, by: Sequence[str] = ()) -> DataFrame:
         row = g.row.sum()
         return pd.DataFrame([[*(g[k].iloc[0] for k in by), g.i.iloc[0], float(row[:-1] @ row[:-1]), row[-1], len(row)]], columns=[*by, "i", "square", "last", "d"])
 
-    rows = df.select(*by, F.col(vec).alias("x")).mapInPandas(partial, f"{plain}i int, row array<double>")
+    times = (F.col(weight) if weight else F.lit(1)).cast("double").alias("w")
+    flat = df.select(*by, F.col(vec).alias("x"), times)
+    rows = (flat.sortWithinPartitions(*by) if by else flat).mapInPandas(partial, f"{plain}i int, row array<double>")
     rows = rows.groupBy(*by, "i").applyInPandas(add, f"{plain}i int, square double, last double, d int")
     own = F.col("i") < F.col("d") - 1
     n = F.max(F.when(~own, F.col("last")))

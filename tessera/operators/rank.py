@@ -93,3 +93,29 @@ def predicted_cost(slope: float, rate: float) -> float:
     if not 0 <= rate <= 1:
         raise ValueError("rate must lie in [0, 1]")
     return -slope * rate
+
+
+def swap_calibration(rows: DataFrame, graph: DataFrame, key: str, label: str, sizes: list[int], seeds: int) -> DataFrame:
+    """n_swap, auc, sd, seeds: how well rows whose labels were deranged stand out from their neighbours.
+
+    All replicates are one table (size, seed, id); the neighbour graph is made once and joined with it. The score
+    is the share of neighbours with another label.
+    """
+    spark = rows.sparkSession
+    grid = spark.createDataFrame([(s, k) for s in sizes for k in range(seeds)], "n_swap int, seed int")
+    x = rows.select(F.col(key).cast("long").alias("id"), F.col(label).alias("l")).crossJoin(F.broadcast(grid))
+    own = ["n_swap", "seed"]
+    w = Window.partitionBy(*own)
+    h = F.row_number().over(w.orderBy(by_hash(F.col("seed"), F.col("id")), "id"))
+    picked = x.withColumn("h", h).where("h <= n_swap").withColumn("r", F.row_number().over(w.orderBy("l", "id")) - 1)
+    shift = picked.groupBy(*own, "l").agg(F.count("*").alias("t")).groupBy(*own).agg(F.max("t").alias("t"))
+    giver = picked.join(F.broadcast(shift), own).select(*own, F.pmod(F.col("r") + F.col("t"), F.col("n_swap")).alias("r"), F.col("l").alias("nl"))
+    moved = picked.select(*own, "id", "r").join(giver, [*own, "r"]).select(*own, "id", "nl")
+    now = x.join(moved, [*own, "id"], "left").select(*own, "id", F.coalesce("nl", "l").alias("l"), F.col("nl").isNotNull().cast("int").alias("y"))
+    pairs = now.join(graph.select("id", "nbr"), "id").join(now.select(*own, F.col("id").alias("nbr"), F.col("l").alias("ln")), [*own, "nbr"])
+    scores = pairs.groupBy(*own, "id").agg(F.max("y").alias("y"), F.avg((F.col("l") != F.col("ln")).cast("double")).alias("score"))
+    ties = scores.groupBy(*own, "score").agg(F.count("*").alias("k"), F.sum("y").alias("p"))
+    mid = F.sum("k").over(w.orderBy("score")) - (F.col("k") - 1) / 2
+    ranked = ties.withColumn("mid", mid).groupBy(*own).agg(F.sum(F.col("p") * F.col("mid")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("k") - F.col("p")).alias("n"))
+    auc = ranked.withColumn("auc", F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("n")))
+    return auc.groupBy("n_swap").agg(F.avg("auc").alias("auc"), F.stddev_samp("auc").alias("sd"), F.count("*").alias("seeds"))

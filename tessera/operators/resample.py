@@ -56,6 +56,32 @@ def bootstrap_nominal(df: DataFrame, unit_col: str, label: str, reps: int, seed:
     return each.agg(F.percentile("alpha", F.lit(level / 2)).alias("low"), F.percentile("alpha", F.lit(1 - level / 2)).alias("high"), F.count("*").alias("reps"))
 
 
+def bootstrap_semantic(df: DataFrame, unit_col: str, vec: str, reps: int, seed: int = 0, level: float = 0.05) -> DataFrame:
+    """Like bootstrap_nominal, for squared cosine distance: replicate-weighted sums of outer products.
+
+    Units' own sums are made once. Every task adds its vectors, times their units' weights, to one matrix for
+    each replicate, so memory goes with the replicates of a block, not with units.
+    """
+    from .agreement import _distances, _unit_vectors, pooled
+
+    x = _unit_vectors(df, unit_col, vec, ())
+    units = _numbered_units(_distances(x, ()))
+    g = units.count()
+    if g < 2:
+        raise ValueError("a bootstrap needs at least two pairable units")
+    spark = df.sparkSession
+    draws = spark.range(reps).select(F.col("id").alias("b")).crossJoin(spark.range(g).select(F.col("id").alias("j")))  # reps a unit, by design
+    times = draws.select("b", F.pmod(draw(seed, F.col("b"), F.col("j")), F.lit(g)).alias("i")).groupBy("b", "i").agg(F.count("*").alias("w"))
+    drawn = times.join(units.select("i", "unit", "m", "total"), "i")
+    size = F.sum(F.col("w") * F.col("m")).cast("double")
+    obs = drawn.groupBy("b").agg(size.alias("n"), F.sum(F.col("w") * F.col("total") / (F.col("m") - 1)).alias("apart"))
+    rows = drawn.select("b", "unit", "w").join(x.select("unit", "x"), "unit")
+    pool = pooled(rows.select("b", "x", "w"), "x", ["b"], weight="w").select("b", F.col("total").alias("pool"))
+    n = F.col("n")
+    each = obs.join(pool, "b").select(alpha(F.col("apart") / n, F.col("pool") / (n * (n - 1))).alias("alpha"))
+    return each.agg(F.percentile("alpha", F.lit(level / 2)).alias("low"), F.percentile("alpha", F.lit(1 - level / 2)).alias("high"), F.count("*").alias("reps"))
+
+
 def noisy_subset(df: DataFrame, key: str, rate: float, seed: int, even: bool = False) -> tuple[DataFrame, int]:
     """df with r: the rank of the row in the drawn subset of round-half-even(rate * n) rows, null outside it."""
     if not 0 <= rate <= 1:
