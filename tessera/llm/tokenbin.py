@@ -63,10 +63,12 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, blocks = len(values), -(-len(values) // BLOCK)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    lanes = np.zeros(blocks * BLOCK, np.uint64)
-    lanes[:n] = values
-    width = np.zeros((blocks, BLOCK + 64), np.uint8)
-    width[:, :BLOCK] = _widths(lanes).reshape(blocks, BLOCK)
+    wide = BLOCK + 64  # a block's row ends in zeros, so a word never reaches into the next block
+    lanes = np.zeros((blocks, wide), np.uint64)
+    lanes[: n // BLOCK, :BLOCK] = values[: n // BLOCK * BLOCK].reshape(-1, BLOCK)
+    lanes[-1, : n - (blocks - 1) * BLOCK] = values[(blocks - 1) * BLOCK :]
+    width = _widths(lanes.ravel()).reshape(blocks, wide)
+    lanes = lanes.ravel()
     top = {1: width}
     for p in (2, 4, 8, 16, 32):
         half = top[p // 2]
@@ -78,29 +80,33 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = 1 << (c.bit_length() - 1)
         most = np.maximum(top[p][:, :BLOCK], top[p][:, c - p : c - p + BLOCK])
         np.copyto(selector, np.uint8(s), where=most <= np.uint8(BITS[s]))
-    step = COUNT[selector]
+    step = COUNT[selector].ravel()
     end = np.full(blocks, BLOCK)
     end[-1] = n - (blocks - 1) * BLOCK
     at, lane, places = np.zeros(blocks, np.int64), np.arange(blocks), []
     while len(lane):
-        places.append(lane * BLOCK + at)
-        at = at + step[lane, at]
+        place = lane * BLOCK + at
+        places.append(place)
+        at = at + step[place]
         live = at < end[lane]
-        lane, at = lane[live], at[live]
+        if not live.all():
+            lane, at = lane[live], at[live]
     place = np.sort(np.concatenate(places))
     kind = selector.ravel()[place]
+    offsets = np.searchsorted(place, np.arange(blocks) * BLOCK)
+    place = place // BLOCK * 64 + place
     words = np.zeros(len(place), np.uint64)
-    padded = np.concatenate([lanes, np.zeros(64, np.uint64)])
-    ends = (place // BLOCK + 1) * BLOCK
     for s in range(2, len(COUNT)):
         own = np.flatnonzero(kind == s)
-        word = np.full(len(own), np.uint64(s) << np.uint64(60))
-        for k in range(COUNT[s]):
-            word |= np.where(place[own] + k < ends[own], padded[place[own] + k], np.uint64(0)) << np.uint64(k * int(BITS[s]))
-        words[own] = word
+        if len(own):
+            from_ = place[own]
+            word = lanes[from_] | (np.uint64(s) << np.uint64(60))
+            for k in range(1, COUNT[s]):
+                word |= lanes[from_ + k] << np.uint64(k * int(BITS[s]))
+            words[own] = word
     odd = kind == 0
     words[odd] = np.arange(odd.sum(), dtype=np.uint64)
-    return words, np.searchsorted(place, np.arange(blocks) * BLOCK), lanes[place[odd]]
+    return words, offsets, lanes[place[odd]]
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
@@ -111,13 +117,21 @@ def decode(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
     block = np.repeat(np.arange(len(offsets)), np.diff(np.append(offsets, len(words))))
     place = block * BLOCK + before - before[offsets][block] if len(words) else before
     out = np.zeros(len(offsets) * BLOCK + 64, np.uint64)
+    last = (block + 1) * BLOCK - place  # places left in the block
     for s in range(2, len(COUNT)):
         own = np.flatnonzero(kind == s)
+        if not len(own):
+            continue
+        at, word = place[own], words[own]
         mask = (np.uint64(1) << BITS[s]) - np.uint64(1)
+        cut = last[own] < COUNT[s]
         for k in range(COUNT[s]):
-            at = place[own] + k
-            fine = at < (block[own] + 1) * BLOCK
-            out[at[fine]] = (words[own][fine] >> np.uint64(k * int(BITS[s]))) & mask
+            part = (word >> np.uint64(k * int(BITS[s]))) & mask
+            if cut.any():
+                fine = last[own] > k
+                out[at[fine] + k] = part[fine]
+            else:
+                out[at + k] = part
     odd = kind == 0
     out[place[odd]] = escapes[(words[odd] & np.uint64((1 << 60) - 1)).astype(np.int64)]
     return out[:n]
