@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.textq import normalise
+from .shipping import ship
 
 ANNOTATIONS = "map<string,map<string,string>>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def read_annotations(spark: SparkSession, path: str, slots: tuple[str, ...] = ("language_instruction1", "language_instruction2", "language_instruction3"), limit: int = 0) -> DataFrame:

@@ -21,3 +21,13 @@ def test_nothing_else_imports_the_corpus_subpackage():
             for n in names:
                 if n.endswith(".py"):
                     assert "llm" not in open(f"{folder}/{n}").read()
+
+
+def test_workers_need_no_path_to_the_package(tmp_path):
+    code = (
+        f"import sys; sys.path.insert(0, {ROOT!r}); import __spark_entry__ as e; from pyspark.sql import SparkSession as S; "
+        "s = S.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate(); "
+        "assert e.entry(s).count() == 1; n = 'op9_pii_spans'; q = e.queries(); assert n not in q or q[n](s, '/root/testdata/sf0.001').count() == 200"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
