@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
+
 #: A side is broadcast only if it was counted and has at most this many rows (each of bounded width).
 BROADCAST_ROWS = 50_000
 #: Texts are handled in Python in slices of about so many bytes (a longer text makes its own slice).
@@ -19,12 +21,12 @@ SLICE_BYTES = 1 << 20
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Arrow batches of 1000 texts in place of 10,000, unless the session says otherwise: they are held outside
-    the heap, several at a time in each task."""
+    """Sends the package to the workers; and Arrow batches of 1000 texts in place of 10,000, unless the session
+    says otherwise: they are held outside the heap, several at a time in each task."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, "1000")
-    return spark
+    return ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
