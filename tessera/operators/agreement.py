@@ -131,9 +131,11 @@ def pooled(df: DataFrame, vec: str, by: Sequence[str] = (), weight: str | None =
 
 def alpha_semantic(df: DataFrame, unit_col: str, vec: str, by: Sequence[str] = (), strict: bool = True) -> DataFrame:
     """Like alpha_nominal, with squared cosine distance, in closed form. Zero vectors: ValueError if strict."""
-    x = _unit_vectors(check_norms(df, vec) if strict else df, unit_col, vec, by)
-    if strict and not x.limit(1).count():
-        raise ValueError("no pairable unit: every unit has fewer than two annotations")
+    x = _unit_vectors(df, unit_col, vec, by)
+    if strict:
+        check_norms(df, vec)
+        if not df.groupBy(*by, unit_col).count().where("count > 1").limit(1).count():
+            raise ValueError("no pairable unit: every unit has fewer than two annotations")
     units = _distances(x, by).groupBy(*by).agg(F.sum(F.col("total") / (F.col("m") - 1)).alias("apart"), F.count("*").alias("n_units"))
     pool = pooled(x, "x", by)
     both = units.join(pool, list(by)) if by else units.crossJoin(pool)

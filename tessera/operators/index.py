@@ -18,7 +18,9 @@ def build(rows: DataFrame, key: str, vec: str, cells: int, seed: int = 0, train_
     x = rows.withColumn("x", unit(vec))
     n = x.count()
     train = x.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_rows / max(n, 1))) + 1)
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="f").fit(train.select(array_to_vector("x").alias("f")))
+    train = train.select(array_to_vector("x").alias("f")).persist()  # read once an iteration
+    model = KMeans(k=cells, seed=seed, maxIter=10, initSteps=1, featuresCol="f").fit(train)
+    train.unpersist()
     centres = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
     centroids = rows.sparkSession.createDataFrame(centres, "cell int, c array<double>").withColumn("c", unit("c", 1e-12))
     held = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*map(F.lit, c)).alias("c")) for i, c in centres])

@@ -56,6 +56,17 @@ def bootstrap_nominal(df: DataFrame, unit_col: str, label: str, reps: int, seed:
     return each.agg(F.percentile("alpha", F.lit(level / 2)).alias("low"), F.percentile("alpha", F.lit(1 - level / 2)).alias("high"), F.count("*").alias("reps"))
 
 
+def bootstrap_mean(df: DataFrame, key: str, value: str, reps: int, seed: int = 0, level: float = 0.05) -> DataFrame:
+    """low, high: percentile interval of the mean of value under resampling of rows."""
+    rows = _numbered_units(df.select(F.col(key).alias("unit"), value))
+    n = rows.count()
+    spark = df.sparkSession
+    draws = spark.range(reps).select(F.col("id").alias("b")).crossJoin(spark.range(n).select(F.col("id").alias("j")))  # reps a row, by design
+    times = draws.select("b", F.pmod(draw(seed, F.col("b"), F.col("j")), F.lit(n)).alias("i")).groupBy("b", "i").agg(F.count("*").alias("w"))
+    means = times.join(rows, "i").groupBy("b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+    return means.agg(F.percentile("m", F.lit(level / 2)).alias("low"), F.percentile("m", F.lit(1 - level / 2)).alias("high"))
+
+
 def bootstrap_semantic(df: DataFrame, unit_col: str, vec: str, reps: int, seed: int = 0, level: float = 0.05) -> DataFrame:
     """Like bootstrap_nominal, for squared cosine distance: replicate-weighted sums of outer products.
 

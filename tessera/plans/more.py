@@ -149,3 +149,61 @@ def suspects_by_label(spark, d):
 @query(f"""SELECT vec_id, round_even(list_dot_product({_A}::DOUBLE[], {_B}::DOUBLE[]), 9) + 0.0 AS snapped FROM embeddings""")
 def snapped_scores(spark, d):
     return _views(spark, d).select("vec_id", (F.bround(snap(dot("a", "b")), 9) + F.lit(0.0)).alias("snapped"))
+
+
+@query(_DIS + """, q AS (SELECT id, round_even(score, 12) AS score FROM s), o AS (SELECT id, round_even(score * ((id * 7) % 13), 12) AS score FROM q),
+a AS (SELECT id, row_number() OVER (ORDER BY score DESC, md5('0|' || id), id) AS r FROM q), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, md5('1|' || id), id) AS r FROM o)
+SELECT count(*) FILTER (b.r <= 200) / 50.0::DOUBLE AS in_wide, quantile_cont(b.r, 0.5)::DOUBLE AS median_rank FROM a JOIN b USING (id) WHERE a.r <= 50""")
+def cross_encoder_rank(spark, d):
+    s = _disagreement(spark, d)
+    other = s.select("id", F.bround(F.col("score") * ((F.col("id") * 7) % 13), 12).alias("score"))
+    n = s.count()
+    both = rank.top(s, 50, 0).select("id").join(rank.top(other, n, 1).select("id", "rank"), "id")
+    return both.agg((F.count_if(F.col("rank") <= 200) / 50).alias("in_wide"), F.percentile("rank", F.lit(0.5)).alias("median_rank"))
+
+
+@query(_DIS + """, q AS (SELECT id, round_even(score, 12) AS score FROM s), o AS (SELECT id, round_even(score * ((id * 7) % 13), 12) AS score FROM q)
+SELECT id, round(least(q.score, o.score), 8) AS score FROM q JOIN o USING (id) WHERE q.score > 0 AND o.score > 0""")
+def consensus_suspects(spark, d):
+    s = _disagreement(spark, d)
+    other = s.select("id", F.bround(F.col("score") * ((F.col("id") * 7) % 13), 12).alias("other"))
+    return rounded(s.join(other, "id").where("score > 0 and other > 0").select("id", F.least("score", "other").alias("score")))
+
+
+@query(_DIS + """, q AS (SELECT id, round_even(score, 12) AS score FROM s), t AS (SELECT id FROM q ORDER BY score DESC, md5('0|' || id), id LIMIT 200)
+SELECT id FROM q WHERE id NOT IN (SELECT id FROM t) ORDER BY md5('9|' || id), id LIMIT 10""")
+def suspect_controls(spark, d):
+    s = _disagreement(spark, d)
+    return resample.sample(s.join(rank.top(s, 200).select("id"), "id", "left_anti").select("id"), "id", 10, 9)
+
+
+@query("WITH " + _graph_sql("embedding", 10, "g") + """, p AS (SELECT id, avg((label = nlabel)::INT) AS p FROM g GROUP BY id), i AS (SELECT p, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM p),
+w AS (SELECT b, ('0x' || substr(md5('3|' || b || '|' || j), 1, 8))::BIGINT % n AS i FROM range(40) r(b), (SELECT unnest(range(n)) AS j, n FROM (SELECT count(*) AS n FROM p))),
+m AS (SELECT b, avg(p) AS m FROM w JOIN i USING (i) GROUP BY b)
+SELECT round(quantile_cont(m, 0.025), 8) AS low, round(quantile_cont(m, 0.975), 8) AS high FROM m""")
+def purity_bootstrap(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    g = knn.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 10).join(rows, "id").join(rows.select(F.col("id").alias("nbr"), F.col("label").alias("nl")), "nbr")
+    each = g.groupBy("id").agg(F.avg((F.col("label") == F.col("nl")).cast("double")).alias("score"))
+    return rounded(resample.bootstrap_mean(each, "id", "score", 40, 3))
+
+
+@query("""SELECT vec_id, split_part('lab' || (vec_id % 5) || '+' || label || '+2024-0' || (vec_id % 9 + 1) || '-11', '+', 1) AS lab, '2024-0' || (vec_id % 9 + 1) AS month, 'cam_' || label AS slug FROM embeddings""")
+def id_parts(spark, d):
+    name = F.concat(F.lit("lab"), F.col("vec_id") % 5, F.lit("+"), F.col("label"), F.lit("+2024-0"), F.col("vec_id") % 9 + 1, F.lit("-11"))
+    rows = table(spark, d, "embeddings").withColumn("k", F.split(name, r"\+"))
+    camera = F.concat(F.lit("observation.images.cam_"), F.col("label"))
+    return rows.select("vec_id", F.col("k")[0].alias("lab"), F.substring(F.col("k")[2], 1, 7).alias("month"), F.substring_index(camera, ".", -1).alias("slug"))
+
+
+@query(f"""WITH x AS (SELECT vec_id AS k, label AS l, CASE WHEN label IN (2, 5) THEN (label + 1) % 10 ELSE label END AS w FROM embeddings), {_graph_sql("embedding", 10, "g")},
+s AS (SELECT g.id, avg((a.w <> b.w)::INT) AS score, any_value((a.w <> a.l)::INT) AS y FROM g JOIN x a ON a.k = g.id JOIN x b ON b.k = g.nbr GROUP BY g.id),
+r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS mid FROM s)
+SELECT round((sum(y * mid) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 8) AS auc, sum(y)::BIGINT AS positives FROM r""")
+def whole_task_corruption(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    now = rows.withColumn("w", F.when(F.col("label").isin(2, 5), (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    g = knn.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
+    pairs = g.join(now, "id").join(now.select(F.col("id").alias("nbr"), F.col("w").alias("wn")), "nbr")
+    scores = pairs.groupBy("id").agg(F.avg((F.col("w") != F.col("wn")).cast("double")).alias("score"))
+    return rounded(rank.detection(scores, now.where("w <> label"), ks=()))
