@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +64,20 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def trimmed(run, tokens: bool = False):
+    """run over a partition's batches; then what it has freed goes back to the system, as idle Python workers
+    stay beside the next stage's. Unless `tokens`, words that a tokenizer remembers go first."""
+
+    def whole(batches):
+        if not tokens and (own := sys.modules.get(f"{__package__}.tokens")):
+            own.forget()
+        yield from run(batches)
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the strings of `column` in each slice have about `limit` bytes at most."""
     if not batch.num_rows:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table, tuned
+from .common import held_out, slices, table, trimmed, tuned
 from .words import ngram_counts
 
 DIMS, ORDERS = 512, (1, 2, 3)
@@ -84,7 +84,7 @@ def learn(docs: DataFrame, rows: int = 4000, seed: int = 17):
                 yield pa.record_batch({"lang": part.column("lang"), "draw": part.column("draw"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     got, taken = [], dict.fromkeys(counts, 0)
-    for lang, draw_, x in sorted((r.lang, r.draw, bytes(r.x)) for r in some.mapInArrow(run, "lang string, draw long, x binary").limit(2 * rows).collect()):
+    for lang, draw_, x in sorted((r.lang, r.draw, bytes(r.x)) for r in some.mapInArrow(trimmed(run), "lang string, draw long, x binary").limit(2 * rows).collect()):
         x = np.frombuffer(x, np.float32)
         if taken[lang] < each and x.any():
             taken[lang] += 1
@@ -129,7 +129,7 @@ def identify(docs: DataFrame, model, tie: float = 0.02, text: str = "text") -> D
                 columns = {c: part.column(c) for c in names}
                 yield pa.record_batch(columns | {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()), "ambiguous": pa.array(unsure)})
 
-    return docs.mapInArrow(run, docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean"))
+    return docs.mapInArrow(trimmed(run), docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, trimmed
 
 #: A paragraph ends its section if the first byte of its digest is below this (one in eight does).
 SECTION_END = 32
@@ -155,7 +155,7 @@ def compare(docs: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-    return with_next(docs).mapInArrow(run, SCHEMA)
+    return with_next(docs).mapInArrow(trimmed(run), SCHEMA)
 
 
 def op6_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, slices, small, strings, table, tuned
+from .common import keep, slices, small, strings, table, trimmed, tuned
 from .graph import components
 from .words import mix, shingles, word_hashes
 
@@ -129,7 +129,7 @@ def _candidates(nodes: DataFrame, depth: int, loose: float) -> DataFrame:
                 other = root != np.arange(len(root))
                 yield pa.record_batch({"a": pa.array(node[other]), "b": pa.array(node[root[other]])})
 
-    return rows.select("key", "i", "j", "node", "signature").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return rows.select("key", "i", "j", "node", "signature").mapInArrow(trimmed(run), "a long, b long").where("a <> b").distinct()
 
 
 def _verify(texts: pa.Array, own: np.ndarray, i: int, j: int, width: int, bound: float) -> np.ndarray:
@@ -184,7 +184,7 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, target: float
 
     docs = docs.select("doc_id", "text")
     key = ["d1", "d2", "n_words"]
-    digested = keep(docs.mapInArrow(digests, "doc_id long, n_words long, d1 long, d2 long"))
+    digested = keep(docs.mapInArrow(trimmed(digests), "doc_id long, n_words long, d1 long, d2 long"))
     classes = keep(digested.where("n_words > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
     picked = classes.select(F.col("node").alias("doc_id"), "copies")
 
@@ -198,7 +198,7 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, target: float
                 yield pa.record_batch({"node": part.column("doc_id").filter(pa.array(some)), "chars": pa.array(chars), "signature": signs})
 
     # every row is signed, where it lies, and only then joined with the representatives: no text is shuffled
-    every = docs.mapInArrow(signed, "node long, chars long, signature binary")
+    every = docs.mapInArrow(trimmed(signed), "node long, chars long, signature binary")
     nodes = keep(every.join(picked.withColumnRenamed("doc_id", "node"), "node").dropDuplicates(["node"]))
     loose = max(0.0, similarity - 5.3 * (similarity * (1 - similarity) / (TREES * DEPTH)) ** 0.5)
     groups = keep(components(_candidates(nodes, prefix_depth(similarity, target), loose)))
@@ -227,7 +227,7 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, target: float
             yield pa.record_batch({"node": pa.array(np.concatenate(out_node)), "links": pa.array(np.concatenate(out_links).astype(np.int64)), "root": pa.array(np.concatenate(out_root))})
 
     columns = ["component", "i", "j", "own", "node", "copies", "text"]
-    verified = keep(rows.select(*columns).mapInArrow(verify, "node long, links long, root long").where("links > 0"))
+    verified = keep(rows.select(*columns).mapInArrow(trimmed(verify), "node long, links long, root long").where("links > 0"))
     linked = components(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     classes = classes.join(links, "node", "left").join(linked, "node", "left")

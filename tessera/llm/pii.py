@@ -16,7 +16,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table, tuned
+from .common import slices, table, trimmed, tuned
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -229,7 +229,7 @@ def detect(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFra
                     columns["n_base"] = pa.array([len(base) for base, _ in found], pa.int64())
                 yield pa.record_batch(columns)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

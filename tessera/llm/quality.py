@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, strings, table, utf8
+from .common import held_out, slices, strings, table, trimmed, utf8
 from .words import ngram_counts, word_hashes
 
 DIMS, ORDERS, SHAPES = 512, (1, 2), 12
@@ -110,7 +110,7 @@ def _sample(docs: DataFrame, rows: int, seed: int) -> np.ndarray:
                 x = features(part.column("text"))
                 yield pa.record_batch({"draw": part.column("draw"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    got = sorted((r.draw, bytes(r.x)) for r in some.mapInArrow(run, "draw long, x binary").limit(2 * rows).collect())[:rows]
+    got = sorted((r.draw, bytes(r.x)) for r in some.mapInArrow(trimmed(run), "draw long, x binary").limit(2 * rows).collect())[:rows]
     return np.stack([np.frombuffer(x, np.float32) for _, x in got]) if got else np.zeros((0, DIMS * len(ORDERS) + SHAPES), np.float32)
 
 
@@ -154,7 +154,7 @@ def score(docs: DataFrame, model, threshold: float = 0.3, text: str = "text") ->
                 yield pa.record_batch(columns | {"score": pa.array(y, pa.float64()), "predicted": pa.array((y >= threshold).astype(np.int32))})
 
     schema = docs.select(*names).schema.add("score", "double").add("predicted", "integer")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

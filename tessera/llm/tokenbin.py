@@ -29,7 +29,7 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, table
+from .common import shared_dir, slices, table, trimmed
 from .tokens import tokenizer
 
 MAGIC = int.from_bytes(b"TSS8B\0\0\1", "little")
@@ -180,7 +180,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
                 yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "segment": pa.array([segment], pa.int32()), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([payload], pa.binary())})
                 segment += 1
 
-    ranged.mapInArrow(run, SEGMENT).write.option("compression", "zstd").parquet(path)
+    ranged.mapInArrow(trimmed(run, tokens=True), SEGMENT).write.option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -211,7 +211,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     "n_tokens": pa.array(lengths), "ids_crc32": pa.array(crc, pa.int64()),
                 })
 
-    decoded = segments.select("shard", "segment", "payload").mapInArrow(run, "shard int, segment int, doc_id long, place long, n_tokens long, ids_crc32 long")
+    decoded = segments.select("shard", "segment", "payload").mapInArrow(trimmed(run, tokens=True), "shard int, segment int, doc_id long, place long, n_tokens long, ids_crc32 long")
     return decoded.join(bases, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -96,3 +96,7 @@ def tokenizer(path: str) -> WordTokenizer:
         _by_path.clear()
         _by_path[path] = WordTokenizer(path)
     return _by_path[path]
+
+
+def forget() -> None:
+    _by_path.clear()
