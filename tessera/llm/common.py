@@ -66,13 +66,13 @@ def held_out(doc_id) -> F.Column:
 
 def trimmed(run, tokens: bool = False):
     """run over a partition's batches; then what it has freed goes back to the system, as idle Python workers
-    stay beside the next stage's. Unless `tokens`, words that a tokenizer remembers go first."""
+    stay beside the next stage's, and words that a tokenizer remembers go first. With `tokens`, both stay."""
 
     def whole(batches):
         if not tokens and (own := sys.modules.get(f"{__package__}.tokens")):
             own.forget()
         yield from run(batches)
-        if sys.platform == "linux":
+        if not tokens and sys.platform == "linux":
             ctypes.CDLL(None).malloc_trim(0)
 
     return whole

@@ -21,7 +21,7 @@ class WordTokenizer:
     About two generations of `known_words` parts are remembered; parts still in use outlive a change.
     """
 
-    def __init__(self, path: str, known_words: int = 300_000):
+    def __init__(self, path: str, known_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
