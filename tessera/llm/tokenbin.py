@@ -171,7 +171,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, segment = pyspark.TaskContext.get().partitionId(), 0
-        words = tokenizer(tokenizer_path)
+        words = tokenizer(tokenizer_path, known_words=500_000)
         for batch in batches:
             for part in slices(batch, limit=3 << 20):
                 ids, offsets = words.encode(part.column("text"), end_id)

@@ -21,7 +21,7 @@ class WordTokenizer:
     About two generations of `known_words` parts are remembered; parts still in use outlive a change.
     """
 
-    def __init__(self, path: str, known_words: int = 500_000):
+    def __init__(self, path: str, known_words: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,15 +87,15 @@ class WordTokenizer:
         return np.insert(ids, offsets[1:], end), offsets + np.arange(len(offsets))
 
 
-_by_path: dict[str, WordTokenizer] = {}
+_by_path: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker and file."""
-    if path not in _by_path:
+def tokenizer(path: str, known_words: int = 250_000) -> WordTokenizer:
+    """One for each Python worker, file and memory (some 200 bytes a word, in two generations)."""
+    if (path, known_words) not in _by_path:
         _by_path.clear()
-        _by_path[path] = WordTokenizer(path)
-    return _by_path[path]
+        _by_path[path, known_words] = WordTokenizer(path, known_words)
+    return _by_path[path, known_words]
 
 
 def forget() -> None:
