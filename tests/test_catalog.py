@@ -32,8 +32,9 @@ def ordered(rows, columns):
 def test_query(spark, con, name):
     df = catalog.QUERIES[name](spark, DIR)
     rows = [tuple(r) for r in df.collect()]
-    assert rows
-    if name in catalog.ORACLES:
+    if name not in catalog.ORACLES:
+        assert rows
+    else:  # where SQL finds nothing (months of 200 rows need a larger table), so must the query
         cur = con.execute(catalog.ORACLES[name])
         columns = [c[0] for c in cur.description]
         assert sorted(columns) == sorted(df.columns)
