@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import snap, unit
+from .pooling import pool
 
 BASE_ROWS, QUERY_ROWS = 16_384, 2_048
 
@@ -93,6 +94,12 @@ def disagreement(graph: DataFrame, labels: DataFrame, key: str, vec: str, snappe
     return out.withColumn("score", snap(F.col("score"))) if snapped else out
 
 
+def nearest_labels(rows: DataFrame, label: str, vec: str) -> DataFrame:
+    """label, other: the other label whose mean unit vector is nearest (ties: least label). Labels are few next to rows."""
+    means = pool(rows, label, vec)
+    return neighbours(means, "unit", "x", 1).select(*[F.col(c).cast(rows.schema[label].dataType).alias(n) for c, n in (("id", "label"), ("nbr", "other"))])
+
+
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """id, jaccard of the two graphs' neighbour sets, which have the same k."""
     both = a.select("id", "nbr").join(b.select("id", "nbr"), ["id", "nbr"], "left_semi").groupBy("id").agg(F.count("*").alias("c"))

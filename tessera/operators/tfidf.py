@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .agreement import PAIR_ROWS, alpha
+
 
 def tfidf(df: DataFrame, key: str, text: str, max_features: int = 5000) -> DataFrame:
     """key, token, w. idf = ln((1 + n) / (1 + df)) + 1; the commonest max_features tokens, if there are more
@@ -21,20 +25,55 @@ def tfidf(df: DataFrame, key: str, text: str, max_features: int = 5000) -> DataF
 def alpha_sparse(weights: DataFrame, rows: DataFrame, key: str, unit_col: str) -> DataFrame:
     """alpha, n_units, n_pairable of semantic agreement from sparse unit vectors.
 
-    Sums of squared cosines need pairs that share a token; the others have cosine 0. Unit pairs and pool pairs
-    are one join on the token, with its sums taken before anything else is shuffled.
+    Squared distances over all pairs are n^2 - 2 |sum x|^2 + |X'X|^2, so no pair of rows is made: a task adds the
+    outer products of its rows' few tokens to one matrix of kept tokens (tfidf's max_features, 200 MB at 5000).
+    Units of over PAIR_ROWS rows are summed the same way, smaller ones multiply their rows with each other.
     """
-    from pyspark.sql import Window
-
+    ids = weights.select("token").distinct().withColumn("i", F.row_number().over(Window.orderBy("token")) - 1)  # max_features rows at most
+    d = ids.count()
     u = rows.select(F.col(key).alias("k"), F.col(unit_col).alias("u")).join(weights.select(F.col(key).alias("k")).distinct(), "k", "left_semi")
     u = u.withColumn("m", F.count("*").over(Window.partitionBy("u"))).where("m >= 2")
-    w = weights.select(F.col(key).alias("k"), "token", "w").join(u, "k")
-    a, b = (w.select(*[F.col(c).alias(f"{c}_{s}") if c != "token" else F.col("token") for c in w.columns]) for s in "ab")
-    cos = a.join(b, "token").where("k_a < k_b").groupBy("k_a", "k_b", "u_a", "u_b", "m_a").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("c"))
-    less = 2 * (1 - (1 - F.col("c")) ** 2)
-    near = cos.agg(F.sum(less).alias("all_less"), F.sum(F.when(F.col("u_a") == F.col("u_b"), less / (F.col("m_a") - 1))).alias("unit_less"))
-    size = u.agg(F.count("*").cast("double").alias("n"), F.countDistinct("u").alias("n_units"))
-    out = near.crossJoin(size)
-    observed = (F.col("n") - F.coalesce("unit_less", F.lit(0.0))) / F.col("n")
-    expected = (F.col("n") * (F.col("n") - 1) - F.coalesce("all_less", F.lit(0.0))) / (F.col("n") * (F.col("n") - 1))
-    return out.select((1 - F.try_divide(observed, expected)).alias("alpha"), "n_units", F.col("n").cast("long").alias("n_pairable"))
+    held = weights.select(F.col(key).alias("k"), "token", "w").join(F.broadcast(ids), "token").groupBy("k").agg(F.collect_list(F.struct("i", "w")).alias("s"))
+    docs = held.join(u, "k").select("u", "m", F.col("s.i").alias("i"), F.col("s.w").alias("w"))
+    plain = f"u {docs.schema['u'].dataType.simpleString()}"
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.zeros((len(g), d))
+        for r, (i, w) in enumerate(zip(g.i, g.w)):
+            x[r, i] = w
+        return pd.DataFrame({"u": g.u[:1], "m": len(g), "total": float(((1 - x @ x.T) ** 2).sum())})
+
+    def written(unit, gram):
+        for at in range(0, d + 1, 128):
+            part = [(at + i, row) for i, row in enumerate(gram[at : at + 128]) if row.any()]
+            if part:
+                yield pd.DataFrame({"u": [unit] * len(part), "i": [i for i, _ in part], "row": [r for _, r in part]})
+
+    def partial(batches):
+        unit = gram = None
+        for b in batches:
+            for v, i, w in zip(b.u, b.i, b.w):
+                if gram is None or v != unit:
+                    if gram is not None:
+                        yield from written(unit, gram)
+                    unit, gram = v, np.zeros((d + 1, d))
+                gram[np.ix_(i, i)] += np.outer(w, w)
+                gram[d, i] += w
+        if gram is not None:
+            yield from written(unit, gram)
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        square, own = float((g.row.sum() ** 2).sum()), g.i.iloc[0] < d
+        return pd.DataFrame({"u": g.u[:1], "part": square if own else -2 * square})
+
+    def summed(some: DataFrame, unit: str) -> DataFrame:
+        grams = some.sortWithinPartitions("u").mapInPandas(partial, f"{unit}, i int, row array<double>")
+        return grams.groupBy("u", "i").applyInPandas(add, f"{unit}, part double").groupBy("u").agg(F.sum("part").alias("part"))
+
+    large = summed(docs.where(F.col("m") > PAIR_ROWS), plain).join(u.select("u", "m").distinct(), "u").select("u", "m", (F.col("m") * F.col("m") + F.col("part")).alias("total"))
+    units = docs.where(F.col("m") <= PAIR_ROWS).groupBy("u").applyInPandas(pairs, f"{plain}, m long, total double").union(large)
+    near = units.agg(F.sum(F.col("total") / (F.col("m") - 1)).alias("apart"), F.count("*").alias("n_units"), F.sum("m").alias("n"))
+    pool = summed(docs.withColumn("u", F.lit(0)), "u int").select("part")
+    n = F.col("n").cast("double")
+    out = near.crossJoin(pool).select(alpha(F.col("apart") / n, (n * n + F.col("part")) / (n * (n - 1))).alias("alpha"), "n_units", F.col("n").alias("n_pairable"))
+    return out

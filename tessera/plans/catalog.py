@@ -67,9 +67,9 @@ def alpha_nominal_conversations_role(spark, d):
     return rounded(agreement.alpha_nominal(table(spark, d, "conversations"), "conv_id", "role"))
 
 
-@query(_nominal_sql("conversations", "conv_id", "lower(regexp_replace(substr(text, 1, 3), '[^A-Za-z ]', '', 'g'))"))
+@query(_nominal_sql("conversations", "conv_id", "lower(regexp_replace(text, '[^A-Za-z ]', '', 'g'))"))
 def alpha_nominal_case_folded(spark, d):
-    folded = F.lower(F.regexp_replace(F.substring("text", 1, 3), "[^A-Za-z ]", ""))
+    folded = F.lower(F.regexp_replace("text", "[^A-Za-z ]", ""))
     return rounded(agreement.alpha_nominal(table(spark, d, "conversations").withColumn("l", folded), "conv_id", "l"))
 
 
@@ -161,15 +161,16 @@ def bootstrap_ci_nominal(spark, d):
 
 # --- text ----------------------------------------------------------------------------------------------------
 
-_TEXTS = """(SELECT doc_id, source, CASE doc_id % 50 WHEN 0 THEN '+++++' WHEN 1 THEN 'N/A' WHEN 2 THEN 'no action.' WHEN 3 THEN 'zzzz'
- ELSE trim(regexp_replace(substr(text, 1, (20 + doc_id % 40)::INT), '\\s+', ' ', 'g')) END AS t FROM documents)"""
+# every whole document, and beside each a planted answer: junk, a non-answer or its text without the last two letters
+_TEXTS = """(SELECT doc_id * 2 + j AS doc_id, source, CASE WHEN j = 0 THEN t ELSE CASE doc_id % 5 WHEN 0 THEN '+++++' WHEN 1 THEN 'N/A' WHEN 2 THEN 'no action.' WHEN 3 THEN 'zzzz'
+ ELSE substr(t, 1, length(t) - 2) END END AS t FROM (SELECT doc_id, source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), range(2) r(j))"""
 
 
 def _texts(spark, d):
-    cut = F.trim(F.regexp_replace(F.substr("text", F.lit(1), (20 + F.col("doc_id") % 40).cast("int")), r"\s+", " "))
-    k = F.col("doc_id") % 50
-    planted = F.when(k == 0, "+++++").when(k == 1, "N/A").when(k == 2, "no action.").when(k == 3, "zzzz").otherwise(cut)
-    return table(spark, d, "documents").select("doc_id", "source", planted.alias("t"))
+    k, t = F.col("doc_id") % 5, textq.normalise("text")
+    planted = F.when(k == 0, "+++++").when(k == 1, "N/A").when(k == 2, "no action.").when(k == 3, "zzzz").otherwise(F.substr(t, F.lit(1), F.length(t) - 2))
+    both = F.posexplode(F.array(t, planted)).alias("j", "t")
+    return table(spark, d, "documents").select("doc_id", "source", both).select((F.col("doc_id") * 2 + F.col("j")).alias("doc_id"), "source", "t")
 
 
 _NA_SQL = "regexp_matches(lower(t), '^(?:" + "|".join(textq.NON_ANSWERS).replace("'", "''") + ")[.!?]?$')"
@@ -269,11 +270,11 @@ _EXCLUDED = f"""(SELECT k.name AS class, x.source, x.t FROM {_TEXTS} x, (VALUES
  WHERE k.name = 'all' OR (k.name = 'junk' AND NOT {_JUNK_SQL}) OR (k.name = 'non_answer' AND NOT {_NA_SQL}))"""
 
 
-@query(_nominal_sql(_EXCLUDED, "source", "substr(t, 1, 2)", "class"))
+@query(_nominal_sql(_EXCLUDED, "source", "t", "class"))
 def alpha_excluding_class(spark, d):
     t = F.col("t")
     kept = F.filter(F.array(F.lit("all"), F.when(~textq.junk(t), "junk"), F.when(~textq.non_answer(t), "non_answer")), lambda x: x.isNotNull())
-    rows = _texts(spark, d).select("source", F.substring("t", 1, 2).alias("l"), F.explode(kept).alias("class"))
+    rows = _texts(spark, d).select("source", t.alias("l"), F.explode(kept).alias("class"))
     return rounded(agreement.alpha_nominal(rows, "source", "l", ["class"]))
 
 
@@ -328,10 +329,10 @@ def knn_exact_k10(spark, d):
     return rounded(knn.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 10))
 
 
-@query("WITH " + _graph_sql("embedding", 10, "g", "a.id % 25 = 0") + " SELECT id, rank::INT AS rank, nbr, round(sim, 8) AS sim FROM g")
+@query("WITH " + _graph_sql("embedding", 10, "g", "a.id % 100 = 0") + " SELECT id, rank::INT AS rank, nbr, round(sim, 8) AS sim FROM g")
 def search_exact(spark, d):
     rows = table(spark, d, "embeddings")
-    return rounded(index.exact_search(rows, rows.where("vec_id % 25 = 0"), "vec_id", "embedding", 10))
+    return rounded(index.exact_search(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 10))
 
 
 _CHANCE = "(SELECT sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)) AS chance FROM (SELECT count(*)::DOUBLE AS n FROM embeddings GROUP BY label))"
@@ -444,8 +445,8 @@ def cross_validated_cca(spark, d):
 def search_ivf_recall(spark, d):
     rows = table(spark, d, "embeddings")
     built, centroids = index.build(rows, "vec_id", "embedding", 16)
-    exact = index.exact_search(rows, rows.where("vec_id % 25 = 0"), "vec_id", "embedding", 10)
-    found = index.search(built, centroids, built.where("vec_id % 25 = 0"), "vec_id", 10, 8)
+    exact = index.exact_search(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+    found = index.search(built, centroids, built.where("vec_id % 100 = 0"), "vec_id", 10, 8)
     return rounded(index.recall(found, exact))
 
 
@@ -480,12 +481,18 @@ def noise_shuffle(spark, d):
     return resample.inject_label_noise(rows, "vec_id", "label", 0.3, "shuffle")
 
 
-@query(_SUBSET + """, c AS (SELECT k, l, r0 AS r FROM s, n WHERE r0 < n)
-SELECT x.k AS vec_id, x.l AS label, CASE WHEN c.k IS NULL THEN x.l ELSE (x.l + 1) % 10 END::INT AS new_label, c.k IS NOT NULL AS changed FROM x LEFT JOIN c USING (k)""")
+_NEAREST_LABEL = """u AS (SELECT label, list_transform(embedding::DOUBLE[], lambda e: e / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS x FROM embeddings),
+ml AS (SELECT label, list(a ORDER BY i) AS m FROM (SELECT label, i, avg(x[i]) AS a FROM u, range(1, 65) r(i) GROUP BY ALL) GROUP BY label),
+nl AS (SELECT * FROM (SELECT a.label, b.label AS other, row_number() OVER (PARTITION BY a.label ORDER BY list_dot_product(a.m, b.m) / sqrt(list_dot_product(a.m, a.m) * list_dot_product(b.m, b.m)) DESC, b.label) AS r
+ FROM ml a JOIN ml b ON a.label <> b.label) WHERE r = 1)"""
+
+
+@query(_SUBSET + ", " + _NEAREST_LABEL + """, c AS (SELECT k, l, r0 AS r FROM s, n WHERE r0 < n)
+SELECT x.k AS vec_id, x.l AS label, CASE WHEN c.k IS NULL THEN x.l ELSE other END AS new_label, c.k IS NOT NULL AS changed FROM x LEFT JOIN c USING (k) JOIN nl ON nl.label = x.l""")
 def noise_paraphrase(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", "label")
-    nearest = rows.select("label").distinct().select("label", ((F.col("label") + 1) % 10).alias("other"))
-    return resample.inject_label_noise(rows, "vec_id", "label", 0.3, "paraphrase", nearest=nearest)
+    rows = table(spark, d, "embeddings")
+    nearest = knn.nearest_labels(rows, "label", "embedding")
+    return resample.inject_label_noise(rows.select("vec_id", "label"), "vec_id", "label", 0.3, "paraphrase", nearest=nearest)
 
 
 _DERANGED = """WITH x AS (SELECT vec_id AS k, label AS l FROM embeddings), c AS (SELECT *, row_number() OVER (ORDER BY l, k) - 1 AS r FROM (SELECT * FROM x ORDER BY md5('0|' || k), k LIMIT 85)),
