@@ -19,8 +19,13 @@ def norm(v) -> Column:
 
 
 def unit(v, least: float = 0.0) -> Column:
-    """v / |v|; with least, norms are clamped to it, so a zero vector stays at the origin."""
-    return F.transform(doubles(v), lambda x: x / (F.greatest(norm(v), F.lit(least)) if least else norm(v)))
+    """v / |v|; with least, norms are clamped to it, so a zero vector stays at the origin.
+
+    The norm is a field beside the vector, so it is taken once a row, not once a component.
+    """
+    long = F.greatest(norm(v), F.lit(least)) if least else norm(v)
+    held = F.array(F.struct(doubles(v).alias("v"), long.alias("n")))
+    return F.transform(held, lambda s: F.transform(s["v"], lambda x: x / s["n"]))[0]
 
 
 def cosine(a, b) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.vectors import dot, unit
 from .knn import neighbours
@@ -23,9 +28,19 @@ def build(rows: DataFrame, key: str, vec: str, cells: int, seed: int = 0, train_
     train.unpersist()
     centres = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
     centroids = rows.sparkSession.createDataFrame(centres, "cell int, c array<double>").withColumn("c", unit("c", 1e-12))
-    held = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*map(F.lit, c)).alias("c")) for i, c in centres])
-    near = F.array_max(F.transform(held, lambda s: F.struct(dot("x", s["c"]).alias("d"), (-s["cell"]).alias("i"))))
-    return x.withColumn("cell", -near["i"]), centroids
+    directions = np.array([c for _, c in centres])
+    directions /= np.maximum(np.linalg.norm(directions, axis=1, keepdims=True), 1e-12)
+
+    def assign(batches):
+        for b in batches:
+            held = b.column("x").is_valid().to_numpy(zero_copy_only=False)
+            cells = np.zeros(len(held), np.int32)
+            if held.any():
+                flat = b.column("x").flatten().to_numpy(zero_copy_only=False)
+                cells[held] = np.argmax(flat.reshape(held.sum(), -1) @ directions.T, 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, mask=~held)], names=[*b.schema.names, "cell"])
+
+    return x.mapInArrow(assign, StructType([*x.schema.fields, StructField("cell", IntegerType())])), centroids
 
 
 def search(index: DataFrame, centroids: DataFrame, queries: DataFrame, key: str, k: int, probes: int) -> DataFrame:
@@ -59,3 +74,26 @@ def similar_units(rows: DataFrame, unit_col: str, key: str, vec: str, target, k:
 
 def exact_search(rows: DataFrame, queries: DataFrame, key: str, vec: str, k: int, exclude_self: bool = True) -> DataFrame:
     return neighbours(rows, key, vec, k, queries, exclude_self=exclude_self)
+
+
+def write(index: DataFrame, centroids: DataFrame, path: str, **facts) -> None:
+    """Three tables under path: vectors (a folder a cell, so that searches prune files), centroids, and facts as JSON."""
+    index.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+    one = index.sparkSession.range(1).select(*[F.lit(v).alias(n) for n, v in facts.items()]) if facts else centroids.agg(F.count("*").alias("cells"))
+    one.write.mode("overwrite").json(f"{path}/facts")
+
+
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, centroids, facts) as write left them."""
+    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/centroids"), spark.read.json(f"{path}/facts")
+
+
+def latency(searches: list) -> dict[str, float]:
+    """median and p95 seconds of calls that each return a DataFrame, timed to the last row."""
+    took = []
+    for call in searches:
+        began = time.perf_counter()
+        call().write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - began)
+    return {"median": float(np.percentile(took, 50)), "p95": float(np.percentile(took, 95))}

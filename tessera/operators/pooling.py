@@ -55,3 +55,11 @@ def frame_plan(df: DataFrame, key: str, length: str, picks: int = 9) -> DataFram
     """key, pick, frame: evenly spread frames, rounded half to even."""
     spread = F.explode(F.sequence(F.lit(0), F.lit(picks - 1))).alias("pick")
     return df.select(key, length, spread).select(key, "pick", F.bround(F.col("pick") * (F.col(length) - 1) / (picks - 1)).cast("long").alias("frame"))
+
+
+def layout_check(df: DataFrame, file: str, order: str, first: str, last: str, length: str) -> DataFrame:
+    """file, episodes, rows, intact: whether stated ranges start at 0, follow back to back and have their lengths."""
+    w = Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(length).over(w), F.lit(0))
+    good = (F.col(first) == before) & (F.col(last) == before + F.col(length) - 1)
+    return df.select(file, length, F.coalesce(good, F.lit(False)).alias("good")).groupBy(file).agg(F.count("*").alias("episodes"), F.sum(length).alias("rows"), F.bool_and("good").alias("intact"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import t_two_sided
+from .knn import spearman
 from .resample import by_hash
 from .textq import midranks
 
@@ -57,6 +58,13 @@ def agreement_of_tops(a: DataFrame, b: DataFrame, k: int, wide: int, seed: int =
     return count(ta, tb, "common").crossJoin(count(ta, wb, "a_in_b")).crossJoin(count(tb, wa, "b_in_a"))
 
 
+def agreement_of_tails(a: DataFrame, b: DataFrame) -> DataFrame:
+    """positive_a, positive_b, jaccard of the rows scored above 0, and Spearman's rho over their union."""
+    both = a.select("id", F.col("score").alias("a")).join(b.select("id", F.col("score").alias("b")), "id").where("a > 0 or b > 0")
+    counts = both.agg(F.count_if(F.col("a") > 0).alias("positive_a"), F.count_if(F.col("b") > 0).alias("positive_b"), F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("common"), F.count("*").alias("n"))
+    return counts.crossJoin(spearman(both, "a", "b").select("rho")).select("positive_a", "positive_b", F.try_divide("common", "n").alias("jaccard"), "rho")
+
+
 def distribution(scores: DataFrame) -> DataFrame:
     """mean, sd (ddof 1), nine percentiles and distinct values at 12 decimals."""
     at = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]

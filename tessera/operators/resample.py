@@ -56,6 +56,28 @@ def bootstrap_nominal(df: DataFrame, unit_col: str, label: str, reps: int, seed:
     return each.agg(F.percentile("alpha", F.lit(level / 2)).alias("low"), F.percentile("alpha", F.lit(1 - level / 2)).alias("high"), F.count("*").alias("reps"))
 
 
+def bootstrap_nominal_by(df: DataFrame, unit_col: str, label: str, by: str, reps: int, seed: int = 0) -> DataFrame:
+    """by, b, alpha: nominal alpha of each group under reps resamplings of the group's units.
+
+    Units are numbered over all groups by ranges, so a group that holds most of them is split too; a unit's draw
+    points to a place counted from its group's first. Groups with fewer than two pairable units are left out.
+    """
+    c = label_counts(df, unit_col, label, [by]).withColumn("g", F.col(by)).drop(by)
+    units = c.groupBy(F.struct("g", "unit").alias("unit")).agg(F.max("m").alias("m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
+    units = _numbered_units(units).select("unit.g", "unit.unit", "m", "same", "i")
+    sizes = units.groupBy("g").agg(F.min("i").alias("first"), F.count("*").alias("size")).where("size >= 2")
+    units = units.join(sizes, "g").withColumn("i", F.col("i") - F.col("first"))
+    reps_df = df.sparkSession.range(reps).select(F.col("id").alias("b"))
+    draws = units.select("g", "i", "size").crossJoin(F.broadcast(reps_df))  # reps a unit, by design
+    times = draws.select("g", "b", F.pmod(draw(seed, F.col("g"), F.col("b"), F.col("i")), "size").alias("i")).groupBy("g", "b", "i").agg(F.count("*").alias("w"))
+    drawn = times.join(units, ["g", "i"])
+    obs = drawn.groupBy("g", "b").agg(F.sum(F.col("w") * F.col("m")).cast("double").alias("n"), F.sum(F.col("w") * (F.col("m") * (F.col("m") - 1) - F.col("same")) / (F.col("m") - 1)).alias("apart"))
+    pool = drawn.select("g", "b", "unit", "w").join(c.select("g", "unit", "label", "c"), ["g", "unit"]).groupBy("g", "b", "label").agg(F.sum(F.col("w") * F.col("c")).alias("c"))
+    pool = pool.groupBy("g", "b").agg(F.sum(F.col("c") * (F.col("c") - 1)).cast("double").alias("same"))
+    n = F.col("n")
+    return obs.join(pool, ["g", "b"]).select(F.col("g").alias(by), "b", alpha(F.col("apart") / n, (n * (n - 1) - F.col("same")) / (n * (n - 1))).alias("alpha"))
+
+
 def bootstrap_mean(df: DataFrame, key: str, value: str, reps: int, seed: int = 0, level: float = 0.05) -> DataFrame:
     """low, high: percentile interval of the mean of value under resampling of rows."""
     rows = _numbered_units(df.select(F.col(key).alias("unit"), value))

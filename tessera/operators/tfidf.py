@@ -4,18 +4,40 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .agreement import PAIR_ROWS, alpha
 
 
-def tfidf(df: DataFrame, key: str, text: str, max_features: int = 5000) -> DataFrame:
+def word_tokens(text) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+
+
+def char_grams(text, least: int = 3, most: int = 5) -> Column:
+    """Runs of least to most characters of the text in lower case, spaces made single."""
+    c = F.filter(F.split(F.regexp_replace(F.lower(text), r"\s+", " "), ""), lambda x: x != "")
+    return F.flatten(F.array(*[_runs(c, n, "") for n in range(least, most + 1)]))
+
+
+def _runs(parts: Column, n: int, between: str) -> Column:
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1))), lambda i: i <= F.size(parts) - n + 1)
+    return F.transform(at, lambda i: F.array_join(F.slice(parts, i, n), between))
+
+
+def word_grams(text, most: int = 2) -> Column:
+    """Words of two characters or more and runs of up to `most` of them, joined by spaces."""
+    w = word_tokens(text)
+    return F.flatten(F.array(*[_runs(w, n, " ") for n in range(1, most + 1)]))
+
+
+def tfidf(df: DataFrame, key: str, text: str, max_features: int = 5000, tokens=word_tokens) -> DataFrame:
     """key, token, w. idf = ln((1 + n) / (1 + df)) + 1; the commonest max_features tokens, if there are more
-    (ties: by token); rows without tokens are left out."""
+    (ties: by token); rows without tokens are left out. tokens: a function
+    from a text column to its tokens (words, char_grams, word_grams)."""
     n = df.count()
-    tokens = df.select(F.col(key).alias("k"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))).alias("token"))
-    tf = tokens.groupBy("k", "token").agg(F.count("*").cast("double").alias("tf"))
+    each = df.select(F.col(key).alias("k"), F.explode(tokens(F.col(text))).alias("token"))
+    tf = each.groupBy("k", "token").agg(F.count("*").cast("double").alias("tf"))
     kept = tf.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "token").limit(max_features)
     w = tf.join(F.broadcast(kept), "token").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
     norms = w.groupBy("k").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
@@ -77,3 +99,24 @@ def alpha_sparse(weights: DataFrame, rows: DataFrame, key: str, unit_col: str) -
     n = F.col("n").cast("double")
     out = near.crossJoin(pool).select(alpha(F.col("apart") / n, (n * n + F.col("part")) / (n * (n - 1))).alias("alpha"), "n_units", F.col("n").alias("n_pairable"))
     return out
+
+
+def search(df: DataFrame, key: str, text: str, queries: DataFrame, k: int = 10, max_features: int = 5000) -> DataFrame:
+    """query, rank, key, score: the k rows of largest TF-IDF cosine for each query (query, t), ties to the least key.
+
+    Rows without a word of the query take no part. Inverse frequencies come from the rows alone. The join is on
+    the word, and scores are summed before ranks are made; Spark splits common words as skewed partitions.
+    """
+    n = df.count()
+    tf = df.select(F.col(key).alias("k"), F.explode(word_tokens(F.col(text))).alias("token")).groupBy("k", "token").agg(F.count("*").cast("double").alias("tf"))
+    kept = tf.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "token").limit(max_features)
+    idf = kept.select("token", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))  # max_features rows at most
+    asked = queries.select("query", F.explode(word_tokens(F.col("t"))).alias("token")).groupBy("query", "token").agg(F.count("*").cast("double").alias("tf"))
+    q = asked.join(F.broadcast(idf), "token").select("query", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    lengths = q.groupBy("query").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("long"))
+    w = tf.join(F.broadcast(idf), "token").withColumn("x", F.col("tf") * F.col("idf"))
+    norms = w.groupBy("k").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"))
+    hits = w.join(q, "token").groupBy("query", "k").agg(F.sum(F.col("x") * F.col("w")).alias("s")).join(norms, "k").join(lengths, "query")
+    scored = hits.select("query", F.col("k").alias(key), F.bround(F.col("s") / (F.col("norm") * F.col("long")), 12).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", key, "score")

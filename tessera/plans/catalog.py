@@ -616,4 +616,4 @@ def windowed_event_counts(spark, d):
     return windowed_counts(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from . import more  # noqa: E402, F401  adds its queries
+from . import audit, more  # noqa: E402, F401  add their queries

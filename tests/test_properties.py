@@ -253,3 +253,56 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         spark.createDataFrame([(k,)], "id int").write.mode("append").parquet(src)
         append_new_files(spark, src, "id int", out, check)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1]
+
+
+def test_sparse_alpha_of_large_units_equals_that_of_small(spark, monkeypatch):
+    words = ["red", "blue", "cup", "box", "green", "ball"]
+    df = spark.createDataFrame([(i, i % 4, f"the {words[i % 6]} {words[i * i % 5]}") for i in range(40)], "id int, u int, t string")
+    w = tfidf.tfidf(df, "id", "t")
+    small = tfidf.alpha_sparse(w, df, "id", "u").first()
+    monkeypatch.setattr(tfidf, "PAIR_ROWS", 5)
+    large = tfidf.alpha_sparse(w, df, "id", "u").first()
+    assert large.alpha == pytest.approx(small.alpha) and tuple(large)[1:] == tuple(small)[1:]
+
+
+def test_grams_and_text_search(spark):
+    df = spark.createDataFrame([(0, "ab"), (1, "Abcd  e"), (2, ""), (3, None)], "id int, t string")
+    got = {r.id: (r.c, r.w) for r in df.select("id", tfidf.char_grams(F.col("t")).alias("c"), tfidf.word_grams(F.col("t")).alias("w")).collect()}
+    assert got[0] == ([], ["ab"]) and got[1][0] == ["abc", "bcd", "cd ", "d e", "abcd", "bcd ", "cd e", "abcd ", "bcd e"]
+    assert not got[2][0] and not got[3][0] and got[1][1] == ["abcd"]
+    rows = spark.createDataFrame([(0, "red cup"), (1, "red cup"), (2, "blue box"), (3, "red box here")], "id int, t string")
+    found = tfidf.search(rows, "id", "t", spark.createDataFrame([(7, "Red cup"), (8, "nothing known")], "query int, t string"), 2).orderBy("rank").collect()
+    assert [(r.query, r.id) for r in found] == [(7, 0), (7, 1)] and found[0].score == pytest.approx(1.0)
+
+
+def test_index_round_trip_and_latency(spark, tmp_path):
+    df = vectors(spark, list(range(6)) * 10).select("id", F.col("x").alias("v"))
+    built, centroids = index.build(df, "id", "v", 3)
+    index.write(built, centroids, str(tmp_path / "i"), k=3, measure="cosine")
+    again, cells, facts = index.read(spark, str(tmp_path / "i"))
+    q = again.where("id % 20 = 0")
+    found = index.search(again, cells, q, "id", 4, 3)
+    assert index.recall(found, index.exact_search(df, df.where("id % 20 = 0"), "id", "v", 4)).first().recall == 1.0
+    assert facts.first().measure == "cosine" and again.count() == 60
+    t = index.latency([lambda: found] * 2)
+    assert 0 < t["median"] <= t["p95"]
+
+
+def test_layout_report_and_synthetic_corpus(spark):
+    rows = spark.createDataFrame([("a", 0, 0, 2, 3), ("a", 1, 3, 4, 2), ("b", 0, 1, 2, 2)], "f string, e int, first long, last long, n long")
+    assert {r.f: (r.episodes, r.rows, r.intact) for r in pooling.layout_check(rows, "f", "e", "first", "last", "n").collect()} == {"a": (2, 5, True), "b": (1, 2, False)}
+    from tessera.sources import report, synthetic
+
+    one = spark.createDataFrame([(1, 0.5, None)], "k int, x double, y string")
+    assert report.lines(one, "t").first().line == "t k=1 x=0.5000 y=-"
+    made = synthetic.corpus(spark, 200, tasks=5, dim=8)
+    wrong = made.where("task <> label").count()
+    assert 20 <= wrong <= 60 and made.exceptAll(synthetic.corpus(spark, 200, tasks=5, dim=8).repartition(3)).count() == 0
+
+
+def test_group_bootstrap_brackets_each_group(spark):
+    rows = spark.createDataFrame([(g, f"{g}{u}", "x" if (u * 7 + k) % (3 + g) else "y") for g in (0, 1) for u in range(40) for k in range(3)] + [(2, "z", "x")], "g int, u string, l string")
+    each = resample.bootstrap_nominal_by(rows, "u", "l", "g", 40)
+    points = {r.g: r.alpha for r in agreement.alpha_nominal(rows, "u", "l", ["g"]).collect()}
+    spans = {r.g: (r.a, r.b, r.n) for r in each.groupBy("g").agg(F.min("alpha").alias("a"), F.max("alpha").alias("b"), F.count("*").alias("n")).collect()}
+    assert set(spans) == {0, 1} and all(spans[g][0] <= points[g] <= spans[g][1] and spans[g][2] == 40 for g in spans)
