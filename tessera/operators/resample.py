@@ -62,7 +62,7 @@ def bootstrap_nominal_by(df: DataFrame, unit_col: str, label: str, by: str, reps
     Units are numbered over all groups by ranges, so a group that holds most of them is split too; a unit's draw
     points to a place counted from its group's first. Groups with fewer than two pairable units are left out.
     """
-    c = label_counts(df, unit_col, label, [by]).withColumn("g", F.col(by)).drop(by)
+    c = label_counts(df, unit_col, label, [by]).withColumnRenamed(by, "g")
     units = c.groupBy(F.struct("g", "unit").alias("unit")).agg(F.max("m").alias("m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
     units = _numbered_units(units).select("unit.g", "unit.unit", "m", "same", "i")
     sizes = units.groupBy("g").agg(F.min("i").alias("first"), F.count("*").alias("size")).where("size >= 2")

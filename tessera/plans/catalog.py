@@ -163,12 +163,12 @@ def bootstrap_ci_nominal(spark, d):
 
 # every whole document, and beside each a planted answer: junk, a non-answer or its text without the last two letters
 _TEXTS = """(SELECT doc_id * 2 + j AS doc_id, source, CASE WHEN j = 0 THEN t ELSE CASE doc_id % 5 WHEN 0 THEN '+++++' WHEN 1 THEN 'N/A' WHEN 2 THEN 'no action.' WHEN 3 THEN 'zzzz'
- ELSE substr(t, 1, length(t) - 2) END END AS t FROM (SELECT doc_id, source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), range(2) r(j))"""
+ ELSE trim(substr(t, 1, length(t) - 2)) END END AS t FROM (SELECT doc_id, source, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), range(2) r(j))"""
 
 
 def _texts(spark, d):
     k, t = F.col("doc_id") % 5, textq.normalise("text")
-    planted = F.when(k == 0, "+++++").when(k == 1, "N/A").when(k == 2, "no action.").when(k == 3, "zzzz").otherwise(F.substr(t, F.lit(1), F.length(t) - 2))
+    planted = F.when(k == 0, "+++++").when(k == 1, "N/A").when(k == 2, "no action.").when(k == 3, "zzzz").otherwise(F.trim(F.substr(t, F.lit(1), F.length(t) - 2)))
     both = F.posexplode(F.array(t, planted)).alias("j", "t")
     return table(spark, d, "documents").select("doc_id", "source", both).select((F.col("doc_id") * 2 + F.col("j")).alias("doc_id"), "source", "t")
 
