@@ -3,7 +3,8 @@
 Identifiers are found in the text itself (base spans). Transducers then rewrite a disguised text - look-alike
 characters, invisible characters, digits spelled as words, "at" and "dot" in place of signs - and keep for
 each character that they write the source range that it stands for. Identifiers of the rewritten text are
-mapped back to source ranges and added unless they overlap a base span of their kind.
+mapped back to source ranges and added unless they lie within a base span of their kind: a plain fragment
+of a disguised identifier stays a base span, and the whole identifier is added to it.
 """
 
 from __future__ import annotations
@@ -169,7 +170,7 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     every = list(base)
     for kind, a, b in identifiers(tape.text):
         a, b = tape.source(a, b)
-        if not any(k == kind and x < b and a < y for k, x, y in base):
+        if not any(k == kind and x <= a and b <= y for k, x, y in base):
             every.append((kind, a, b))
     return base, sorted(every)
 

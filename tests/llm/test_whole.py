@@ -1,0 +1,24 @@
+"""Whole jobs: what an operator finds isn't cut by fragments, endings, ids or short tables."""
+
+import pytest
+from tessera.llm import pii
+
+
+@pytest.mark.parametrize(("text", "kind"), [
+    ("jоhn.smith@example.com", 0), ("john@example.cоm", 0), ("john dot smith@example.com", 0), ("anna@mail.example dot com", 0),
+    ("+1 555 1234 five six seven eight", 3),
+])
+def test_whole_of_partly_disguised(text, kind):
+    base, every = pii.spans(text)
+    assert len(base) == 1 and base[0] in every and (kind, 0, len(text)) in every
+
+
+def test_plain_identifiers_are_given_once():
+    text = "jоe and john.smith@example.com or +1 555 123 4567"
+    assert pii.spans(text)[0] == pii.spans(text)[1] and len(pii.spans(text)[0]) == 2
+
+
+def test_whole_of_partly_disguised_is_redacted(spark):
+    docs = spark.createDataFrame([(1, "an jоhn.smith@example.com, john dot smith@example.com")], "doc_id long, text string")
+    assert pii.detect(docs, redact=True).first().text == "an [EMAIL], [EMAIL]"
+    assert pii.detect(docs).first().n_email == 4
