@@ -47,6 +47,9 @@ _NAME = r"[A-Za-z0-9._%+-]+"
 _SIGN = r"(?:\x20*[\[({<]\x20*at\x20*[\])}>]\x20*|\x20+at\x20+|\x20*@\x20*)"
 _STOP = r"(?:\x20*[\[({<]\x20*(?:dot|\.)\x20*[\])}>]\x20*|\x20+dot\x20+|\.)"
 _DISGUISED = re.compile(rf"{_NAME}(?:{_STOP}{_NAME})*{_SIGN}[A-Za-z0-9-]+(?:{_STOP}[A-Za-z0-9-]+)+", re.I)
+#: Endings of files that aren't endings of domains: "look at notes.txt" is prose.
+_FILES = frozenset("bak bat bmp cfg class conf cpp css csv dat dll doc docx exe gif gz html htm ini ipynb jar java jpeg jpg js json jsonl lock log mkv mp npy pdf parquet php png pptx sql svg tar tex toml tsv txt wav xls xlsx xml yaml yml".split())
+_KNOWN = frozenset("com org net edu gov io info example test".split())
 _HINT = re.compile(r"[\[({<]\x20*(?:at|dot|\.)\x20*[\])}>]|\x20(?:at|@)\x20+[^\s]+(?:\x20+dot\x20|\.[A-Za-z])|\x20dot\x20|\x20@|@\x20", re.I)
 
 
@@ -83,6 +86,23 @@ def identifiers(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _address(local: str, domain: str, after: str) -> bool:
+    """Whether "local at domain", with plain dots, has the form of an address: no space follows a dot, the last
+    label has two letters or more and ends at a boundary, and the local part starts and ends with a letter, digit,
+    _, + or -. Any ending will do but one of a file or a time ("9.am"). A capitalised last label, if it is not one
+    of _KNOWN, begins the next sentence ("at noon.Then") and is passed over."""
+    labels = domain.split(".")
+    whole = not (after.isalnum() or after == "_")
+    while len(labels) > 1 and whole and labels[-1][:1].isupper() and labels[-1][1:].islower() and labels[-1].lower() not in _KNOWN:
+        labels.pop()
+    last = labels[-1].lower()
+    if len(labels) < 2 or not whole or not all(labels) or not (re.fullmatch("[a-z]{2,}", last) or re.fullmatch("xn--[a-z0-9-]+", last)) or last in _FILES:
+        return False
+    if last in ("am", "pm") and labels[-2].isdigit():
+        return False
+    return ".." not in local and local[0] not in ".%" and local[-1] not in ".%" and len(local) <= 64
+
+
 class Tape:
     """A text with, for each character, the source range it stands for (None: nothing was rewritten yet)."""
 
@@ -149,8 +169,8 @@ def deobfuscate(text: str) -> Tape:
                 continue
             inside = [(x.start(), x.end(), "@") for x in re.compile(_SIGN, re.I).finditer(tape.text, m.start(), m.end())]
             inside += [(x.start(), x.end(), ".") for x in _DOT.finditer(tape.text, m.start(), m.end())]
-            plain_at = re.search(r"\x20at\x20", m[0], re.I)
-            if plain_at and not re.search(r"[\[({<]|\x20dot\x20", m[0], re.I) and not re.search(r"\.(?:com|org|net|edu|gov|io|info|example|test)$", m[0], re.I):
+            plain_at = re.search(r"\x20at\x20+", m[0], re.I)
+            if plain_at and not re.search(r"[\[({<]|\x20dot\x20", m[0], re.I) and not _address(m[0][: plain_at.start()].rstrip(), m[0][plain_at.end() :], tape.text[m.end() : m.end() + 1]):
                 continue  # "look at it. Then" is prose
             changes += inside
         tape.rewrite(sorted(changes))

@@ -22,3 +22,14 @@ def test_whole_of_partly_disguised_is_redacted(spark):
     docs = spark.createDataFrame([(1, "an jоhn.smith@example.com, john dot smith@example.com")], "doc_id long, text string")
     assert pii.detect(docs, redact=True).first().text == "an [EMAIL], [EMAIL]"
     assert pii.detect(docs).first().n_email == 4
+
+
+@pytest.mark.parametrize("text", ["hans at beispiel.de", "marie at exemple.fr", "ana at ejemplo.es", "joe at example.co.uk", "a.b at firma.museum", "li at mail.xn--p1ai", "joe at example.com", "JOE AT EXAMPLE.DE", "o_k at 163.cn"])
+def test_any_ending_of_an_address(text):
+    assert (0, 0, len(text)) in pii.spans(text)[1]
+    assert (0, 6, 6 + len(text)) in pii.spans(f"write {text}. Then go.")[1] and (0, 6, 6 + len(text)) in pii.spans(f"(mail {text}, now)")[1]
+
+
+@pytest.mark.parametrize("text", ["We met at noon.Then we left", "look at it.It is", "open at 9.am", "look at notes.txt", "stand at x.y", "we stay at home.", "be at home. de", "see you at 10.30 or at 5.x2", "at chez.moié", "Sei um 8 at haus. es"])
+def test_prose_without_an_address(text):
+    assert pii.spans(text) == ([], [])
