@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from .agreement import PAIR_ROWS, alpha
 
+#: So many of the commonest words are broadcast where all words count.
+COMMON = 5000
+#: The queries' words are broadcast if there are at most so many.
+ASKED = 50_000
+
 
 def word_tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
@@ -101,22 +106,35 @@ def alpha_sparse(weights: DataFrame, rows: DataFrame, key: str, unit_col: str) -
     return out
 
 
-def search(df: DataFrame, key: str, text: str, queries: DataFrame, k: int = 10, max_features: int = 5000) -> DataFrame:
+def search(df: DataFrame, key: str, text: str, queries: DataFrame, k: int = 10, max_features: int | None = None) -> DataFrame:
     """query, rank, key, score: the k rows of largest TF-IDF cosine for each query (query, t), ties to the least key.
 
-    Rows without a word of the query take no part. Inverse frequencies come from the rows alone. The join is on
-    the word, and scores are summed before ranks are made; Spark splits common words as skewed partitions.
+    Rows without a word of the query take no part. All words of the rows count, or the commonest max_features.
+    Inverse frequencies come from the rows alone. The join is on the word, and scores are summed before ranks are
+    made; Spark splits common words as skewed partitions. For lengths, the commonest words' frequencies are
+    broadcast and only the others, each of few rows, are joined by a shuffle.
     """
     n = df.count()
-    tf = df.select(F.col(key).alias("k"), F.explode(word_tokens(F.col(text))).alias("token")).groupBy("k", "token").agg(F.count("*").cast("double").alias("tf"))
-    kept = tf.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "token").limit(max_features)
-    idf = kept.select("token", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))  # max_features rows at most
-    asked = queries.select("query", F.explode(word_tokens(F.col("t"))).alias("token")).groupBy("query", "token").agg(F.count("*").cast("double").alias("tf"))
-    q = asked.join(F.broadcast(idf), "token").select("query", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    # the filter is in every branch below, so that Spark shuffles the words once and reuses them
+    each = df.select(F.col(key).alias("k"), F.explode(word_tokens(F.col(text))).alias("token")).where("token is not null")
+    tf = each.groupBy("k", "token").agg(F.count("*").cast("double").alias("tf"))
+    every = tf.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    weight = (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")
+    common = every.orderBy(F.desc("total"), "token").limit(max_features or COMMON).select("token", weight)
+    idf = common if max_features else every.select("token", weight)
+    asked = queries.select("query", F.explode(word_tokens(F.col("t"))).alias("token")).where("token is not null").groupBy("query", "token").agg(F.count("*").cast("double").alias("tf"))
+    few = F.broadcast if asked.limit(ASKED + 1).count() <= ASKED else lambda x: x
+    q = idf.join(few(asked), "token").select("query", "token", "idf", (F.col("tf") * F.col("idf")).alias("w"))
     lengths = q.groupBy("query").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("long"))
-    w = tf.join(F.broadcast(idf), "token").withColumn("x", F.col("tf") * F.col("idf"))
+    x = F.col("tf") * F.col("idf")
+    w = tf.join(F.broadcast(common), "token").select("k", x.alias("x"))
+    if not max_features:
+        w = w.union(tf.join(F.broadcast(common.select("token")), "token", "left_anti").join(idf, "token").select("k", x.alias("x")))
     norms = w.groupBy("k").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"))
-    hits = w.join(q, "token").groupBy("query", "k").agg(F.sum(F.col("x") * F.col("w")).alias("s")).join(norms, "k").join(lengths, "query")
-    scored = hits.select("query", F.col("k").alias(key), F.bround(F.col("s") / (F.col("norm") * F.col("long")), 12).alias("score"))
+    hits = tf.join(few(q), "token").groupBy("query", "k").agg(F.sum(x * F.col("w")).alias("s"))
+    # a union and a window in place of a join on the key, which would filter one branch by it
+    both = norms.select(F.lit(None).cast(q.schema["query"].dataType).alias("query"), "k", "norm", F.lit(None).cast("double").alias("s"))
+    both = both.union(hits.select("query", "k", F.lit(None).cast("double"), "s")).withColumn("norm", F.max("norm").over(Window.partitionBy("k")))
+    scored = both.where("s is not null").join(few(lengths), "query").select("query", F.col("k").alias(key), F.bround(F.col("s") / (F.col("norm") * F.col("long")), 12).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", key, "score")
