@@ -156,6 +156,48 @@ def _verify(texts: pa.Array, own: np.ndarray, i: int, j: int, width: int, bound:
     return np.triu(near, 1)
 
 
+_KEY = ["d1", "d2", "n_words"]
+
+
+def digests(column: pa.Array) -> dict[str, pa.Array]:
+    """n_words, d1 and d2 of each text: equal for texts of equal words, and else different (128 bits)."""
+    words, offsets = word_hashes(column)
+    n = np.diff(offsets)
+    place = np.arange(len(words)) - np.repeat(offsets[:-1], n)
+    sums = []
+    for salt in (1, 2):
+        h = mix(words + mix(place.astype(np.uint64) * np.uint64(2) + np.uint64(salt)))
+        at = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
+        sums.append((at[offsets[1:]] - at[offsets[:-1]]).view(np.int64))
+    return {"n_words": pa.array(n, pa.int64()), "d1": pa.array(sums[0]), "d2": pa.array(sums[1])}
+
+
+def digested(docs: DataFrame) -> DataFrame:
+    """docs with n_words, d1 and d2 (columns of those names are replaced)."""
+    docs = docs.drop(*_KEY)
+    schema = docs.select("*").schema  # a copy, which add() may change
+    for c in ("n_words", "d1", "d2"):
+        schema = schema.add(c, "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.record_batch({c: part.column(c) for c in docs_columns} | digests(part.column("text")))
+
+    docs_columns = docs.columns
+    return docs.mapInArrow(trimmed(run), schema)
+
+
+def _least(df: DataFrame, classes: DataFrame) -> DataFrame:
+    """df's rows of the least id of their class (null ids, if it has no other), with the columns of classes."""
+    own = classes.withColumnsRenamed({c: f"__{c}" for c in _KEY})
+    same = [df[c] == own[f"__{c}"] for c in _KEY] + [df["doc_id"].eqNullSafe(own["first"])]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return df.join(own, on).drop(*[f"__{c}" for c in _KEY])
+
+
 def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, target: float = 0.999) -> DataFrame:
     """doc_id, rep_id, class_id, n_links, n_class, n_words for each row of docs (doc_id, text).
 
@@ -163,30 +205,23 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, target: float
     all its words as its one shingle. rep_id: least id of the rows with the same words. class_id: least id of
     the texts that links of similarity or more connect with it. n_links: number of other rows at that similarity,
     copies counted. n_class: rows of the class. Texts without words (null, empty, blank) are linked with nothing:
-    rep_id and class_id are their own ids and n_links 0. Ids are unique; rows that repeat an id are copies or
-    links of each other as their texts say. An empty table gives no rows; other columns of docs are left out.
+    rep_id and class_id are their own ids and n_links 0. Rows that repeat an id, or have none, are copies or links
+    of others as their texts say; null ids come last, so rep_id and class_id are null only where all rows of the
+    class have null ids. An empty table gives no rows; other columns of docs are left out.
 
     A pair at exactly the bound is found with chance `target` or more, others with more; all found are exact.
     """
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                words, offsets = word_hashes(part.column("text"))
-                n = np.diff(offsets)
-                place = np.arange(len(words)) - np.repeat(offsets[:-1], n)
-                sums = []
-                for salt in (1, 2):
-                    h = mix(words + mix(place.astype(np.uint64) * np.uint64(2) + np.uint64(salt)))
-                    at = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
-                    sums.append((at[offsets[1:]] - at[offsets[:-1]]).view(np.int64))
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_words": pa.array(n), "d1": pa.array(sums[0]), "d2": pa.array(sums[1])})
+    return _joined(docs, similarity, width, target)[0]
+
 
+def _joined(docs: DataFrame, similarity: float = 0.8, width: int = 5, target: float = 0.999) -> tuple[DataFrame, DataFrame]:
+    """join()'s rows; and each distinct text's digest, least id (first) and component."""
     docs = docs.select("doc_id", "text")
-    key = ["d1", "d2", "n_words"]
-    digested = keep(docs.mapInArrow(trimmed(digests), "doc_id long, n_words long, d1 long, d2 long"))
-    classes = keep(digested.where("n_words > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
-    picked = classes.select(F.col("node").alias("doc_id"), "copies")
+    rows_ = keep(digested(docs).drop("text"))
+    classes = rows_.where("n_words > 0").groupBy(*_KEY).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    # written, so that a text's node stays what it is
+    classes = keep(classes.withColumn("node", F.monotonically_increasing_id()))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,17 +230,19 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, target: float
                 some = n > 0
                 signs = pa.array([r.tobytes() for r in sign[some]], pa.binary())
                 chars = np.array([len(x) for x in strings(part.column("text")).to_pylist()], np.int64)[some]
-                yield pa.record_batch({"node": part.column("doc_id").filter(pa.array(some)), "chars": pa.array(chars), "signature": signs})
+                key = {c: x.filter(pa.array(some)) for c, x in digests(part.column("text")).items()}
+                yield pa.record_batch({"doc_id": part.column("doc_id").filter(pa.array(some)), **key, "chars": pa.array(chars), "signature": signs})
 
     # every row is signed, where it lies, and only then joined with the representatives: no text is shuffled
-    every = docs.mapInArrow(trimmed(signed), "node long, chars long, signature binary")
-    nodes = keep(every.join(picked.withColumnRenamed("doc_id", "node"), "node").dropDuplicates(["node"]))
+    every = docs.mapInArrow(trimmed(signed), "doc_id long, n_words long, d1 long, d2 long, chars long, signature binary")
+    nodes = keep(_least(every, classes).select("node", "chars", "signature", "copies").dropDuplicates(["node"]))
     loose = max(0.0, similarity - 5.3 * (similarity * (1 - similarity) / (TREES * DEPTH)) ** 0.5)
     groups = keep(components(_candidates(nodes, prefix_depth(similarity, target), loose)))
     light = nodes.select("node", "chars", "copies").join(groups, "node")
     sizes = light.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS)).alias("blocks"))
-    members = light.join(sizes, "component").select("node", "copies", "component", "blocks")
-    full = docs.withColumnRenamed("doc_id", "node").join(small(keep(members)), "node").dropDuplicates(["node", "component"])
+    members = light.join(sizes, "component").select("node", "component", "blocks")
+    members = small(keep(classes.join(members, "node").select(*_KEY, "first", "copies", "node", "component", "blocks")))
+    full = _least(digested(docs), members).select("node", "copies", "component", "blocks", "text").dropDuplicates(["node"])
     rows = _blocked(full, "component", F.col("blocks"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +268,17 @@ def join(docs: DataFrame, similarity: float = 0.8, width: int = 5, target: float
     linked = components(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     classes = classes.join(links, "node", "left").join(linked, "node", "left")
-    classes = classes.select(*key, "node", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("class_id"))
-    total = classes.groupBy("class_id").agg(F.sum("copies").alias("n_class"))
-    classes = classes.join(total, "class_id")
-    out = digested.join(classes, key, "left")
-    return out.select(
-        "doc_id", F.coalesce("node", "doc_id").alias("rep_id"), F.coalesce("class_id", "doc_id").alias("class_id"),
+    classes = classes.select(*_KEY, "node", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
+    total = classes.groupBy("component").agg(F.sum("copies").alias("n_class"), F.min("first").alias("class_id"))
+    of = classes.join(total, "component")
+    out = rows_.join(of, _KEY, "left").withColumn("known", F.col("node").isNotNull())
+    out = out.select(
+        "doc_id", F.when(F.col("known"), F.col("first")).otherwise(F.col("doc_id")).alias("rep_id"),
+        F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"), "n_words",
     )
+    return out, classes.select(*_KEY, "first", "component")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,10 +286,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class stays; its rows, if an id repeats, are brought down to one."""
+    """Of each class of linked texts, the document of least id stays (null ids last; of texts that share it, the
+    one of least digest); its rows of that text, if there are several, are brought down to one. Texts without
+    words are linked with nothing: each stays, but rows of one id are brought down to one."""
     tuned(spark)
-    kept = join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    classes = _joined(docs)[1]
+    order = F.struct(F.col("first").isNull(), "first", *_KEY)
+    kept = classes.groupBy("component").agg(F.min_by(F.struct("first", *_KEY), order).alias("x")).select("x.*")
+    every = digested(docs)
+    columns = [c for c in docs.columns if c not in _KEY]
+    rows = _least(every, small(keep(kept))).drop("first").union(every.where("n_words = 0"))
+    # blank texts without an id have nothing that could repeat
+    own = F.when((F.col("n_words") == 0) & F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    one = Window.partitionBy("doc_id", *_KEY, "__own").orderBy(F.xxhash64(*columns))
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return out.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n") if repeated else out
+    out = rows.withColumn("__own", own).withColumn("__n", F.row_number().over(one)).where("__n = 1") if repeated else rows
+    return out.select(*columns)

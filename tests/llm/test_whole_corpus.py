@@ -1,7 +1,7 @@
 """Whole jobs: what an operator finds isn't cut by fragments, endings, ids or short tables."""
 
 import pytest
-from tessera.llm import pii
+from tessera.llm import nearjoin, pii
 
 
 @pytest.mark.parametrize(("text", "kind"), [
@@ -33,3 +33,23 @@ def test_any_ending_of_an_address(text):
 @pytest.mark.parametrize("text", ["We met at noon.Then we left", "look at it.It is", "open at 9.am", "look at notes.txt", "stand at x.y", "we stay at home.", "be at home. de", "see you at 10.30 or at 5.x2", "at chez.moié", "Sei um 8 at haus. es"])
 def test_prose_without_an_address(text):
     assert pii.spans(text) == ([], [])
+
+
+A, B, C = ("one fine day in spring the birds sang over a field of barley", "rain fell on slate roofs while seven clerks counted copper coins", "no ship has left this harbour since the old lighthouse lost its lamp")
+
+
+def test_texts_of_null_and_shared_ids_survive(spark):
+    rows = [(None, A), (None, A), (5, B), (5, C), (5, C), (9, C), (None, B.upper()), (1, None), (None, ""), (None, ""), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, (r.text or "").lower()) for r in nearjoin.stage(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, A), (5, B), (5, C), (1, ""), (None, ""), (None, ""), (2, "")], key=str)
+    got = sorted(((r.doc_id, r.rep_id, r.class_id, r.n_links, r.n_class) for r in nearjoin.join(docs).where("n_words > 0").collect()), key=str)
+    assert got == sorted([(None, None, None, 1, 2)] * 2 + [(5, 5, 5, 1, 2), (None, 5, 5, 1, 2)] + [(5, 5, 5, 2, 3)] * 2 + [(9, 5, 5, 2, 3)], key=str)
+
+
+def test_null_ids_are_linked(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(None, text + " end"), (None, text + " stop"), (4, A), (4, text)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_words): (r.class_id, r.n_links, r.n_class) for r in nearjoin.join(docs).collect()}
+    assert got == {(None, 201): (4, 2, 3), (4, 200): (4, 2, 3), (4, 13): (4, 0, 1)}
+    assert sorted((r.doc_id, r.text) for r in nearjoin.stage(spark, docs, "").collect()) == sorted([(4, A), (4, text)])
