@@ -438,7 +438,7 @@ def cca_views(spark, d):
 
 @query()
 def cross_validated_cca(spark, d):
-    return rounded(spark.createDataFrame(linalg.cross_validated_cca(_views(spark, d), "vec_id", "a", "b", splits=2, components=3)))
+    return rounded(spark.createDataFrame(linalg.cross_validated_cca(_views(spark, d), "vec_id", "a", "b")))
 
 
 @query()

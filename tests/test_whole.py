@@ -1,6 +1,7 @@
 """Whole jobs of the library's operators: no word and no replicate is left out."""
 
-from tessera.operators import tfidf
+from tessera.operators import linalg, tfidf
+from tessera.plans import catalog
 
 
 def test_search_by_rare_words(spark):
@@ -9,3 +10,10 @@ def test_search_by_rare_words(spark):
     asked = spark.createDataFrame([(0, "needle"), (1, "straw hay")], "query int, t string")
     got = {(r.query, r["rank"]): r.id for r in tfidf.search(rows, "id", "t", asked).collect()}
     assert got == {(0, 1): 2, (1, 1): 3, (1, 2): 2}
+
+
+def test_cross_validation_has_all_splits_and_components(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(linalg, "cross_validated_cca", lambda df, *names, splits=10, components=10: asked.update(splits=splits, components=components) or [(0, 0.0)])
+    catalog.QUERIES["cross_validated_cca"](spark, "/root/testdata/sf0.001")
+    assert asked == {"splits": 10, "components": 10}
