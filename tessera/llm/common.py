@@ -59,6 +59,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hash_bound(share: float) -> int:
+    """The bound of  hash <= bound  that the least `share` of all signed 64-bit hashes keep."""
+    return min(int(share * 2**64), 2**64 - 1) - 2**63
+
+
 def held_out(doc_id) -> F.Column:
     """True where crc32 of the id as text is divisible by 5 (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, table, trimmed, tuned
+from .common import hash_bound, held_out, slices, table, trimmed, tuned
 from .words import ngram_counts
 
 DIMS, ORDERS = 512, (1, 2, 3)
@@ -73,9 +73,9 @@ def learn(docs: DataFrame, rows: int = 4000, seed: int = 17):
     if not counts:
         return None
     each = max(1, rows // len(counts))
-    chance = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(1_000_000 * min(1.0, 1.2 * each / n)))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1_000_000))
-    some = known.where(draw < F.element_at(chance, F.col("lang"))).select("lang", "text", draw.alias("draw"))
+    chance = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, hash_bound(1.2 * each / n))])
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text")
+    some = known.where(draw <= F.element_at(chance, F.col("lang"))).select("lang", "text", draw.alias("draw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,8 +83,11 @@ def learn(docs: DataFrame, rows: int = 4000, seed: int = 17):
                 x = features(part.column("text"))
                 yield pa.record_batch({"lang": part.column("lang"), "draw": part.column("draw"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
+    drawn = sorted((r.lang, r.draw, bytes(r.x)) for r in some.mapInArrow(trimmed(run), "lang string, draw long, x binary").limit(2 * rows).collect())
+    if not drawn:
+        raise RuntimeError(f"no row drawn from {sum(counts.values())}")
     got, taken = [], dict.fromkeys(counts, 0)
-    for lang, draw_, x in sorted((r.lang, r.draw, bytes(r.x)) for r in some.mapInArrow(trimmed(run), "lang string, draw long, x binary").limit(2 * rows).collect()):
+    for lang, draw_, x in drawn:
         x = np.frombuffer(x, np.float32)
         if taken[lang] < each and x.any():
             taken[lang] += 1

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, strings, table, trimmed, utf8
+from .common import hash_bound, held_out, slices, strings, table, trimmed, utf8
 from .words import ngram_counts, word_hashes
 
 DIMS, ORDERS, SHAPES = 512, (1, 2), 12
@@ -97,12 +97,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 
 def _sample(docs: DataFrame, rows: int, seed: int) -> np.ndarray:
-    """Features of about `rows` rows, never more, drawn by a hash of the id and text."""
+    """Features of about `rows` rows, never more, drawn by a hash of the id and text; a table with rows gives some."""
     total = docs.count()
     if not total:
         return np.zeros((0, DIMS * len(ORDERS) + SHAPES), np.float32)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1_000_000))
-    some = docs.where(draw < int(1_000_000 * min(1.0, 1.1 * rows / total))).select("text", draw.alias("draw"))
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text")
+    some = docs.where(draw <= hash_bound(1.1 * rows / total)).select("text", draw.alias("draw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +111,9 @@ def _sample(docs: DataFrame, rows: int, seed: int) -> np.ndarray:
                 yield pa.record_batch({"draw": part.column("draw"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     got = sorted((r.draw, bytes(r.x)) for r in some.mapInArrow(trimmed(run), "draw long, x binary").limit(2 * rows).collect())[:rows]
-    return np.stack([np.frombuffer(x, np.float32) for _, x in got]) if got else np.zeros((0, DIMS * len(ORDERS) + SHAPES), np.float32)
+    if not got:
+        raise RuntimeError(f"no row drawn from {total}")
+    return np.stack([np.frombuffer(x, np.float32) for _, x in got])
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = 3000, prior: float | None = None, seed: int = 7):
