@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -20,8 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import slices, table, trimmed, tuned
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+# every pattern reads a text in one pass: what repeats is possessive, and runs are entered at their first character only
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -38,19 +41,22 @@ _ALIKE = {
 _GONE = "­​‌‍⁠﻿"
 _FOLD = re.compile("[" + re.escape("".join(_ALIKE)) + _GONE + "！-～\U0001d400-\U0001d7ff٠-٩۰-۹०-९①-⑨]")
 _NUMBER = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_WORD = "(?:" + "|".join(_NUMBER) + ")"
-_SPELLED_RUN = re.compile(rf"(?<![A-Za-z]){_WORD}(?:[\x20-]+(?:{_WORD}|dot|point|[0-9.()-]+)){{2,}}(?![A-Za-z])", re.I)
-_ONE = re.compile(rf"(?P<digit>{_WORD})(?![A-Za-z])|(?P<dot>dot|point)(?![A-Za-z])", re.I)
-_AT = re.compile(r"\x20*[\[({<]\x20*at\x20*[\])}>]\x20*|\x20+at\x20+|\x20+@\x20*|(?<=[A-Za-z0-9])@\x20+", re.I)
-_DOT = re.compile(r"\x20*[\[({<]\x20*(?:dot|\.)\x20*[\])}>]\x20*|\x20+dot\x20+", re.I)
-_NAME = r"[A-Za-z0-9._%+-]+"
-_SIGN = r"(?:\x20*[\[({<]\x20*at\x20*[\])}>]\x20*|\x20+at\x20+|\x20*@\x20*)"
-_STOP = r"(?:\x20*[\[({<]\x20*(?:dot|\.)\x20*[\])}>]\x20*|\x20+dot\x20+|\.)"
-_DISGUISED = re.compile(rf"{_NAME}(?:{_STOP}{_NAME})*{_SIGN}[A-Za-z0-9-]+(?:{_STOP}[A-Za-z0-9-]+)+", re.I)
+_WORD = "(?:" + "|".join(_NUMBER) + ")(?![A-Za-z])"
+_SPELLED_RUN = re.compile(rf"(?<![A-Za-z]){_WORD}(?:[\x20-]++(?:{_WORD}|(?:dot|point)(?![A-Za-z])|[0-9.()](?:-*+[0-9.()])*+(?![A-Za-z]))){{2,}}+", re.I)
+_ONE = re.compile(rf"(?P<digit>{_WORD})|(?P<dot>dot|point)(?![A-Za-z])", re.I)
+_PLUS = re.compile(rf"(?<![A-Za-z])plus[\x20-]++(?={_WORD}|[0-9])", re.I)
+_BRACKETED = r"(?<!\x20)\x20*+[\[({{<]\x20*+{0}\x20*+[\])}}>]\x20*+"
+_AT = re.compile(_BRACKETED.format("at") + r"|(?<!\x20)\x20++(?:at\x20++|@\x20*+)|(?<=[A-Za-z0-9])@\x20++", re.I)
+_PLAIN_AT = re.compile(r"(?<!\x20)\x20++at\x20++", re.I)
+_DOT = re.compile(_BRACKETED.format(r"(?:dot|\.)") + r"|(?<!\x20)\x20++dot\x20++", re.I)
+_SIGN = re.compile(_BRACKETED.format("at") + r"|(?<!\x20)\x20++at\x20++|(?<!\x20)\x20*+@\x20*+", re.I)
+# names with full stops in them, and spelled dots between them; then a sign; then labels with either between them
+_CHAIN = re.compile(rf"[A-Za-z0-9._%+-]++(?:(?:{_DOT.pattern})[A-Za-z0-9._%+-]++)*+", re.I)
+_LABELS = re.compile(rf"[A-Za-z0-9-]++(?:(?:{_DOT.pattern}|\.)[A-Za-z0-9-]++)++", re.I)
 #: Endings of files that aren't endings of domains: "look at notes.txt" is prose.
 _FILES = frozenset("bak bat bmp cfg class conf cpp css csv dat dll doc docx exe gif gz html htm ini ipynb jar java jpeg jpg js json jsonl lock log mkv mp npy pdf parquet php png pptx sql svg tar tex toml tsv txt wav xls xlsx xml yaml yml".split())
 _KNOWN = frozenset("com org net edu gov io info example test".split())
-_HINT = re.compile(r"[\[({<]\x20*(?:at|dot|\.)\x20*[\])}>]|\x20(?:at|@)\x20+[^\s]+(?:\x20+dot\x20|\.[A-Za-z])|\x20dot\x20|\x20@|@\x20", re.I)
+_HINT = re.compile(r"[\[({<]\x20*+(?:at|dot|\.)\x20*+[\])}>]|\x20at\x20++[^\s.]++\.[^\s]|\x20dot\x20|\x20@|@\x20", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -63,11 +69,26 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> list[tuple[int, int, int]]:
+    """Left of each sign, as far as names reach and the last find allows; right of it, the labels."""
+    out, last, sign = [], 0, text.find("@")
+    while sign >= 0:
+        a = sign
+        while a > last and text[a - 1] in _LOCAL:
+            a -= 1
+        if a < sign and (domain := _DOMAIN.match(text, sign + 1)):
+            last = domain.end()
+            out.append((0, a, last))
+        last = max(last, sign + 1)
+        sign = text.find("@", last)
+    return out
+
+
 def identifiers(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the identifiers that stand in the text as they are, by kind, then start."""
     out = []
     if "@" in text:
-        out += [(0, m.start(), m.end()) for m in _EMAIL.finditer(text)]
+        out += _emails(text)
     if not _DIGIT.search(text):
         return out
     if "." in text:
@@ -160,19 +181,20 @@ def deobfuscate(text: str) -> Tape:
             else:
                 changes.append((a, m.end(), _NUMBER[m["digit"].lower()]))
             previous = m.end()
-    plus = [(m.start(), m.end(), "+") for m in re.finditer(rf"(?<![A-Za-z])plus[\x20-]+(?={_WORD}(?![A-Za-z])|[0-9])", tape.text, re.I)] if "plus" in tape.text.lower() else []
+    plus = [(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)]
     tape.rewrite(sorted(plus + changes))
     if _HINT.search(tape.text):
-        changes = []
-        for m in _DISGUISED.finditer(tape.text):
-            if not (_AT.search(m[0]) or _DOT.search(m[0])):
+        changes, at = [], 0
+        while chain := _CHAIN.search(tape.text, at):
+            at = chain.end()
+            if not ((sign := _SIGN.match(tape.text, at)) and (labels := _LABELS.match(tape.text, sign.end()))):
                 continue
-            inside = [(x.start(), x.end(), "@") for x in re.compile(_SIGN, re.I).finditer(tape.text, m.start(), m.end())]
-            inside += [(x.start(), x.end(), ".") for x in _DOT.finditer(tape.text, m.start(), m.end())]
-            plain_at = re.search(r"\x20at\x20+", m[0], re.I)
-            if plain_at and not re.search(r"[\[({<]|\x20dot\x20", m[0], re.I) and not _address(m[0][: plain_at.start()].rstrip(), m[0][plain_at.end() :], tape.text[m.end() : m.end() + 1]):
+            at = labels.end()
+            dots = [(x.start(), x.end(), ".") for part in (chain, labels) for x in _DOT.finditer(tape.text, *part.span())]
+            if _PLAIN_AT.fullmatch(sign[0]) and not dots and not _address(chain[0], labels[0], tape.text[at : at + 1]):
                 continue  # "look at it. Then" is prose
-            changes += inside
+            if dots or sign[0] != "@":
+                changes += [(*sign.span(), "@"), *dots]
         tape.rewrite(sorted(changes))
         tape_text = tape.text
         parts = [(m.start(), m.end(), ".") for m in _DOT.finditer(tape_text) if tape_text[m.start() - 1 : m.start()].isdigit() and tape_text[m.end() : m.end() + 1].isdigit()]
@@ -187,11 +209,13 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     tape = deobfuscate(text)
     if tape.start is None:
         return base, base
-    every = list(base)
+    every = set(base)
     for kind, a, b in identifiers(tape.text):
         a, b = tape.source(a, b)
-        if not any(k == kind and x <= a and b <= y for k, x, y in base):
-            every.append((kind, a, b))
+        # base spans of a kind don't overlap, so only the last that starts no later can hold this one
+        k = bisect_right(base, (kind, a, len(text))) - 1
+        if k < 0 or base[k][0] != kind or base[k][2] < b:
+            every.add((kind, a, b))
     return base, sorted(every)
 
 
