@@ -51,7 +51,7 @@ def test_base_spans_are_those_of_the_plain_patterns():
         t = "".join(draw.choices("ab.@@_-%1 ", k=draw.randint(1, 16)))
         assert [x[1:] for x in pii.identifiers(t) if x[0] == 0] == [m.span() for m in email.finditer(t)]
         t = "".join(draw.choices("12...a", k=draw.randint(1, 22)))
-        assert [x[1:] for x in pii.identifiers(t) if x[0] == 1] == [m.span() for m in ip.finditer(t)]
+        assert [x[1:] for x in pii.identifiers(t) if x[0] == 1] == [m.span() for m in ip.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
 
 
 def same_ids(words: WordTokenizer, texts: list[str]) -> None:
