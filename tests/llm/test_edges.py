@@ -34,11 +34,11 @@ def clash(docs):
 
 
 def test_licenses(spark, docs, none, clash):
-    known = licenses.known(spark, licenses.LICENSES)
+    known = licenses.known(spark, licenses.LICENSES, licenses.DIGESTS)
     for df in (docs, clash):
-        rows = licenses.scan(df, known, licenses.NOTICES).collect()
+        rows = licenses.scan(df, known, licenses.notices()).collect()
         assert len(rows) == 10 and all(r.license_id is None and r.notice_ids == "" and len(r.digest) == 64 for r in rows)
-    assert licenses.scan(none, known, licenses.NOTICES).count() == 0
+    assert licenses.scan(none, known, licenses.notices()).count() == 0
     assert licenses.scan(docs, known, []).count() == 10
 
 

@@ -81,3 +81,25 @@ def test_a_part_of_many_ids_and_what_is_remembered():
     words.encode(pa.array(["e"]), 1)
     words.encode(pa.array(["f"]), 1)
     assert words.held < 10 and long not in words.new
+
+
+def test_spellings_are_of_whole_words(spark):
+    from tessera.llm import licenses
+
+    rows = spark.createDataFrame([(1, "While still programmed by the programmer in centred organisms"), (2, "Licence licence\nLICENCE; whilst organisations, organised")], "k int, t string")
+    got = [r[0] for r in rows.orderBy("k").select(licenses._one_line(licenses._folded(F.col("t")))).collect()]
+    assert got == ["while still programmed by the programmer in centred organisms", "license license license while organizations organized"]
+
+
+def test_whole_licences_among_many_texts(spark):
+    import os
+
+    from tessera.llm import licenses
+
+    folder = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    planted = [(want, open(f"{folder}/{f}", encoding="utf8").read()) for f, want in files.items() if os.path.exists(f"{folder}/{f}")] + [(k, "Copyright 2021 X\n\n" + t) for k, t in licenses.LICENSES]
+    docs = spark.range(3000).select("id", F.concat(F.lit("some prose of row "), "id").alias("text")).union(spark.createDataFrame([(10_000 + k, t.replace(" ", "  ").replace("organization", "organisation")) for k, (_, t) in enumerate(planted)], "id long, text string"))
+    got = {r.id: r.license_id for r in licenses.scan(docs, licenses.known(spark, licenses.LICENSES, licenses.DIGESTS), licenses.notices()).collect()}
+    assert len(got) == 3000 + len(planted) and all(v is None for k, v in got.items() if k < 10_000)
+    assert [got[10_000 + k] for k in range(len(planted))] == [want for want, _ in planted]

@@ -48,7 +48,7 @@ def test_licence_spellings(spark):
         (1, "Copyright (c) 2020 Somebody\n\n" + mit.replace("\n", " ").replace("sublicense", "sub-licence")), (2, "MIT LICENSE\n(c) 1999 x\n" + mit.upper()),
         (3, mit + " And more."), (4, "Some words.\nReleased under the MIT licence!\nlicensed under CC BY-NC 4.0\nmore"),
     ]
-    got = licenses.scan(spark.createDataFrame(rows, "doc_id int, text string"), licenses.known(spark, licenses.LICENSES), licenses.NOTICES)
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id int, text string"), licenses.known(spark, licenses.LICENSES, licenses.DIGESTS), licenses.notices())
     assert [(r.license_id, r.notice_ids) for r in got.orderBy("doc_id").collect()] == [("MIT", ""), ("MIT", ""), (None, ""), (None, "CC-BY-NC-4.0,MIT")]
 
 
