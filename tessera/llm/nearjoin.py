@@ -1,18 +1,21 @@
 """N-gram Jaccard self-join by a MinHash LSH forest, verified exactly.
 
 Texts with equal word sequences form a class, of which one member, its representative, is joined. Each
-representative has a signature of TREES strings of up to DEPTH min-hashes, one for each tree of the forest; a
-tree is the sorted table of its strings, so that a prefix is a node of its trie. Prefixes start at full
-depth and are shortened until two texts at the similarity bound share one in some tree with at least the
-target recall. Members of a node are compared by whole signatures, in blocks of bounded size, and those that
-can be similar at all are linked to form candidate groups. Within a group, all pairs are verified on their
-shingle sets, in blocks again: sets are rows of a matrix over the shingles that two of the block share, and
-one product gives all intersections, so pairs are never listed. What leaves a block is a count of links for
-each text, and a spanning forest of links.
+representative has a signature of TREES strings of DEPTH min-hashes, one for each tree of the forest. A tree is
+the sorted table of its strings, so that runs of a common prefix are the nodes of its trie, and two texts meet
+where their strings part. Matched prefixes are shortened from full depth until the target recall: a text stops at
+the longest prefix that a partner shares in some tree with that chance, given the least similarity that a partner
+of a text of its number of shingles can have (short texts stop early). A pair meets at the longer of its two stops.
+
+A pair belongs to the first tree where it meets, so it is looked at once. Within a node, members compare whole
+signatures; those with a likely partner there send their texts, and likely pairs alone are verified on their shingle
+sets. Nodes of many members are cut into blocks, and each pair of blocks is a task's work: pairs never leave it.
+What does is a count of links for each text, and a spanning forest of links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from .common import keep, slices, small, strings, table, trimmed, tuned
 from .graph import components
 from .words import mix, shingles, word_hashes
 
-TREES, DEPTH, BLOCK_ROWS, BLOCK_CHARS = 12, 6, 512, 2_000_000
+TREES, DEPTH, BLOCK_ROWS, BLOCK_CHARS, GROWTH, TILE = 12, 6, 512, 8_000_000, 16, 512
 _A = np.random.default_rng(29).integers(1, 2**64, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 _B = np.random.default_rng(31).integers(0, 2**64, TREES * DEPTH, dtype=np.uint64)
 
@@ -37,6 +40,21 @@ def prefix_depth(similarity: float, target: float) -> int:
     return depth
 
 
+def least_similarity(n: int, bound: float) -> float:
+    """The least Jaccard similarity, of at least `bound`, that a set of n elements can have with any set."""
+    found = 1.0
+    for common in range(max(1, math.ceil(bound * n - 1e-9)), n + 1):
+        union = int(common / bound + 1e-9)  # the largest that keeps the bound
+        if union >= n:
+            found = min(found, common / union)
+    return found
+
+
+def stops(similarity: float, target: float) -> np.ndarray:
+    """The prefix at which a text of 0, 1, 2, ... shingles stops; the last entry is of all longer texts."""
+    return np.array([DEPTH, *[prefix_depth(least_similarity(n, similarity), target) for n in range(1, 65)], prefix_depth(similarity, target)], np.uint8)
+
+
 def signatures(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Min-hashes of each text's shingles [texts, TREES * DEPTH], and numbers of shingles."""
     sets, offsets = shingles(column, width)
@@ -50,6 +68,13 @@ def signatures(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
+def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingles() of many texts, a slice of them at a time."""
+    parts = [shingles(strings(b.column("text")), width) for b in slices(pa.record_batch({"text": texts}))]
+    ends = np.cumsum([0] + [len(s) for s, _ in parts])
+    return np.concatenate([s for s, _ in parts]), np.concatenate([[0], *[at[1:] + e for (_, at), e in zip(parts, ends)]])
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least member of each of n nodes' components under links a-b."""
     label = np.arange(n)
@@ -87,73 +112,125 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.T
         yield rest
 
 
-def _blocked(df: DataFrame, key: str, blocks: F.Column) -> DataFrame:
+def _blocked(df: DataFrame, key: list[str], blocks: F.Column, order: F.Column) -> DataFrame:
     """Cuts each group of `key` into blocks by a hash of node and gives each row to all pairs of blocks that
     hold its own: (key, i, j) with i <= j then sees at most two blocks of rows, and every pair of rows once
-    at least. own: the row's block."""
+    at least. own: the row's block. Rows of a pair of blocks are sorted by `order`."""
     df = df.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), (F.col("m") - 1).cast("int")))
     df = df.withColumn("o", other).withColumn("i", F.least("own", "o")).withColumn("j", F.greatest("own", "o")).drop("o", "m")
-    return df.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
-
-
-def _candidates(nodes: DataFrame, depth: int, loose: float) -> DataFrame:
-    """Links (a, b) that span, within each node of each trie, what signatures leave possible."""
-    keys = F.expr(f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(signature, t * {4 * DEPTH} + 1, {4 * depth})))")
-    strings_ = nodes.select("node", F.explode(keys).alias("key"))
-    shared = strings_.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keep(strings_.join(shared, "key"))
-    # most texts share no node; the signatures of the others alone are shuffled
-    asked = nodes.join(shared.select("node").distinct(), "node", "left_semi")
-    rows = _blocked(shared.join(asked, "node"), "key", F.ceil(F.col("n") / BLOCK_ROWS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, ["key", "i", "j"]):
-            node = t.column("node").to_numpy()
-            sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(len(node), -1)
-            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-            left, right, shift = [], [], 1
-            at = np.arange(len(node))
-            while True:
-                at = at[at < len(node) - shift]
-                at = at[(key[:, at] == key[:, at + shift]).all(0)]
-                if not len(at):
-                    break
-                for some in np.array_split(at, max(1, len(at) // 50_000)):
-                    fits = (sign[some] == sign[some + shift]).mean(1) >= loose
-                    left.append(some[fits])
-                    right.append(some[fits] + shift)
-                shift += 1
-            if left:
-                root = _roots(len(node), np.concatenate(left), np.concatenate(right))
-                other = root != np.arange(len(root))
-                yield pa.record_batch({"a": pa.array(node[other]), "b": pa.array(node[root[other]])})
-
-    return rows.select("key", "i", "j", "node", "signature").mapInArrow(trimmed(run), "a long, b long").where("a <> b").distinct()
-
-
-def _verify(texts: pa.Array, own: np.ndarray, i: int, j: int, width: int, bound: float) -> np.ndarray:
-    """Which pairs of a block pair have that Jaccard similarity: [rows, rows], upper triangle, exact."""
-    sets, offsets = shingles(texts, width)
-    n = len(offsets) - 1
+    return df.repartition(*key, "i", "j").sortWithinPartitions(*key, "i", "j", order)
+
+
+def _meet(x: np.ndarray, y: np.ndarray, need: np.ndarray, tree: np.ndarray, loose: float) -> np.ndarray:
+    """Of pairs of signatures, those that are likely similar and whose first common node, `need` hashes deep, is in
+    `tree`. x and y broadcast to [..., TREES * DEPTH]; need and tree to [...]."""
+    first, same = np.full(need.shape, TREES, np.uint8), np.zeros(need.shape, np.uint8)
+    for t in range(TREES - 1, -1, -1):
+        run, depth = None, np.zeros(need.shape, np.uint8)
+        for k in range(DEPTH):
+            equal = x[..., t * DEPTH + k] == y[..., t * DEPTH + k]
+            same += equal
+            run = equal if run is None else run & equal
+            depth += run
+        first[depth >= need] = t
+    return (first == tree) & (same >= loose * TREES * DEPTH)
+
+
+def _pairs(group: np.ndarray, own: np.ndarray, sign: np.ndarray, stop: np.ndarray, loose: float, partner_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Likely pairs (places) of rows of equal group (rows: tree, key, i, j), all groups at once. Between blocks i < j
+    only pairs of both. partner_only: pairs of two rows that have one already are passed over."""
+    n, shift, at = len(own), 1, np.arange(len(own))
+    has = np.zeros(n, bool)
+    while True:
+        at = at[at < n - shift]
+        at = at[(group[:, at] == group[:, at + shift]).all(0)]
+        if not len(at):
+            return
+        go = at[(group[2, at] == group[3, at]) | (own[at] != own[at + shift])]
+        if partner_only:
+            go = go[~(has[go] & has[go + shift])]
+        for some in np.array_split(go, max(1, len(go) // 20_000)):
+            x, y = some, some + shift
+            fine = _meet(sign[x], sign[y], np.maximum(stop[x], stop[y]), group[0, x], loose)
+            has[x[fine]] = has[y[fine]] = True
+            yield x[fine], y[fine]
+        shift += 1
+
+
+def _common(sets: np.ndarray, offsets: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets x[k] and y[k]."""
+    size = np.diff(offsets)
+    out = np.zeros(len(x), np.int64)
+    step = np.cumsum(size[x] + size[y]) // 2_000_000
+    for part in np.split(np.arange(len(x)), np.flatnonzero(np.diff(step)) + 1):
+        rows = np.concatenate([x[part], y[part]])
+        n = size[rows]
+        values = sets[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[rows], n)]
+        pair = np.repeat(np.tile(np.arange(len(part)), 2), n)
+        order = np.lexsort((values, pair))
+        values, pair = values[order], pair[order]
+        both = (values[1:] == values[:-1]) & (pair[1:] == pair[:-1])
+        out[part] = np.bincount(pair[1:][both], minlength=len(part))
+    return out
+
+
+def _products(sets: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of each of sets a with each of sets b, as products of rows over the elements that
+    both sides have."""
+
+    def laid(rows):
+        n = np.diff(offsets)[rows]
+        return sets[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[rows], n)], np.repeat(np.arange(len(rows)), n)
+
+    (va, ra), (vb, rb) = laid(a), laid(b)
+    shared = np.intersect1d(np.unique(va), np.unique(vb), assume_unique=True)
+    out, wide = np.zeros((len(a), len(b)), np.float32), max(1, 8_000_000 // max(len(a), len(b), 1))
+    for k in range(0, len(shared), wide):
+        some = shared[k : k + wide]
+        x, y = np.zeros((len(a), len(some)), np.float32), np.zeros((len(b), len(some)), np.float32)
+        for m, v, r in ((x, va, ra), (y, vb, rb)):
+            at = np.minimum(np.searchsorted(some, v), len(some) - 1)
+            held = some[at] == v
+            m[r[held], at[held]] = 1
+        out += x @ y.T
+    return out
+
+
+def _verified(group: np.ndarray, own: np.ndarray, sign: np.ndarray, stop: np.ndarray, sets: np.ndarray, offsets: np.ndarray, bound: float, loose: float):
+    """Places (x, y) of all pairs of equal group that meet there and have that similarity, exactly, a part at a time.
+
+    Small groups' likely pairs are verified one by one, all groups together; of large ones, a tile of rows by a tile
+    of rows at a time, by products.
+    """
     size = np.diff(offsets)
-    doc = np.repeat(np.arange(n), size)
-    values, column = np.unique(sets, return_inverse=True)
-    common = np.bincount(column, minlength=len(values)) > 1
-    place = np.cumsum(common) - 1
-    use = common[column]
-    doc, column = doc[use], place[column[use]]
-    both = np.zeros((n, n), np.float32)
-    width_ = max(1, 16_000_000 // max(n, 1))
-    for a in range(0, int(common.sum()), width_):
-        x = np.zeros((n, min(width_, int(common.sum()) - a)), np.float32)
-        part = (column >= a) & (column < a + width_)
-        x[doc[part], column[part] - a] = 1
-        both += x @ x.T
-    union = size[:, None] + size[None, :] - both
-    near = (both >= bound * union - 1e-6) & (both > 0)
-    near &= (own[:, None] != own[None, :]) if i != j else np.ones((n, n), bool)
-    return np.triu(near, 1)
+    near = lambda both, x, y: (both >= bound * (size[x] + size[y] - both) - 1e-6) & (both > 0)
+    cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist(), len(own)]
+    few = np.repeat(np.diff(cuts) <= 32, np.diff(cuts)) if len(own) else np.zeros(0, bool)
+    place = np.flatnonzero(few)
+    for x, y in _pairs(group[:, place], own[place], sign[place], stop[place], loose):
+        x, y = place[x], place[y]
+        fine = near(_common(sets, offsets, x, y), x, y)
+        yield x[fine], y[fine]
+    for a, b in zip(cuts, cuts[1:]):
+        if b - a > 32:
+            one = group[2, a] == group[3, a]
+            order = a + np.argsort(own[a:b], kind="stable")
+            middle = int(np.count_nonzero(own[a:b] == group[2, a]))
+            left, right = (order, order) if one else (order[:middle], order[middle:])
+            for p in range(0, len(left), TILE):
+                for q in range(p if one else 0, len(right), TILE):
+                    x, y = left[p : p + TILE], right[q : q + TILE]
+                    likely = _meet(sign[x][:, None], sign[y][None], np.maximum(stop[x][:, None], stop[y][None]), group[0, a], loose)
+                    if one and p == q:
+                        likely = np.triu(likely, 1)
+                    # only rows with a likely partner in the tile are laid out
+                    r, c = np.flatnonzero(likely.any(1)), np.flatnonzero(likely.any(0))
+                    if len(r):
+                        both = np.zeros(likely.shape, np.float32)
+                        both[np.ix_(r, c)] = _products(sets, offsets, x[r], y[c])
+                        u, v = np.nonzero(likely & near(both, x[:, None], y[None]))
+                        yield x[u], y[v]
 
 
 _KEY = ["d1", "d2", "n_words"]
@@ -222,6 +299,7 @@ def _joined(docs: DataFrame, similarity: float = 0.8, width: int = 5, target: fl
     classes = rows_.where("n_words > 0").groupBy(*_KEY).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     # written, so that a text's node stays what it is
     classes = keep(classes.withColumn("node", F.monotonically_increasing_id()))
+    stop_at = stops(similarity, target)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,40 +309,69 @@ def _joined(docs: DataFrame, similarity: float = 0.8, width: int = 5, target: fl
                 signs = pa.array([r.tobytes() for r in sign[some]], pa.binary())
                 chars = np.array([len(x) for x in strings(part.column("text")).to_pylist()], np.int64)[some]
                 key = {c: x.filter(pa.array(some)) for c, x in digests(part.column("text")).items()}
-                yield pa.record_batch({"doc_id": part.column("doc_id").filter(pa.array(some)), **key, "chars": pa.array(chars), "signature": signs})
+                stop = pa.array(stop_at[np.minimum(n[some], len(stop_at) - 1)].astype(np.int32))
+                yield pa.record_batch({"doc_id": part.column("doc_id").filter(pa.array(some)), **key, "chars": pa.array(chars), "stop": stop, "signature": signs})
 
     # every row is signed, where it lies, and only then joined with the representatives: no text is shuffled
-    every = docs.mapInArrow(trimmed(signed), "doc_id long, n_words long, d1 long, d2 long, chars long, signature binary")
-    nodes = keep(_least(every, classes).select("node", "chars", "signature", "copies").dropDuplicates(["node"]))
+    every = docs.mapInArrow(trimmed(signed), "doc_id long, n_words long, d1 long, d2 long, chars long, stop int, signature binary")
+    nodes = keep(_least(every, classes).select("node", "chars", "stop", "signature").dropDuplicates(["node"]))
     loose = max(0.0, similarity - 5.3 * (similarity * (1 - similarity) / (TREES * DEPTH)) ** 0.5)
-    groups = keep(components(_candidates(nodes, prefix_depth(similarity, target), loose)))
-    light = nodes.select("node", "chars", "copies").join(groups, "node")
-    sizes = light.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("chars") / BLOCK_CHARS)).alias("blocks"))
-    members = light.join(sizes, "component").select("node", "component", "blocks")
-    members = small(keep(classes.join(members, "node").select(*_KEY, "first", "copies", "node", "component", "blocks")))
-    full = _least(digested(docs), members).select("node", "copies", "component", "blocks", "text").dropDuplicates(["node"])
-    rows = _blocked(full, "component", F.col("blocks"))
+    # a row a tree, under the shortest prefix that any text stops at; nodes further down are told apart within it
+    roots = F.expr(f"transform(sequence(0, {TREES - 1}), t -> struct(t AS tree, xxhash64(substring(signature, t * {4 * DEPTH} + 1, {4 * int(stop_at.min())})) AS key))")
+    strings_ = nodes.select("node", "chars", F.explode(roots).alias("r")).select("node", "chars", "r.*")
+    sizes = strings_.groupBy("tree", "key").agg(F.count("*").alias("n"), F.sum("chars").alias("c")).where("n > 1")
+    # blocks of a large node grow with the square root of its members: so do copies of a row and pairs of blocks
+    rows = F.greatest(F.lit(BLOCK_ROWS), F.sqrt("n") * GROWTH)
+    sizes = sizes.select("tree", "key", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("c") / BLOCK_CHARS)).alias("blocks"))
+    shared = keep(strings_.drop("chars").join(sizes, ["tree", "key"]))
+    # most texts share no node; the signatures of the others alone are shuffled
+    asked = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "stop", "signature")
+    key = ["tree", "key", "i", "j"]
+    string = F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
+    placed = _blocked(shared.join(asked, "node"), ["tree", "key"], F.col("blocks"), string)
+
+    def held(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        node, own, stop = (t.column(c).to_numpy() for c in ("node", "own", "stop"))
+        sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(len(node), -1)
+        return node, np.stack([t.column(c).to_numpy().astype(np.int64) for c in key]), own, sign, stop.astype(np.uint8)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, key):
+            t = t.combine_chunks()
+            node, group, own, sign, stop = held(t)
+            some = np.zeros(len(node), bool)
+            for x, y in _pairs(group, own, sign, stop, loose, partner_only=True):
+                some[x] = some[y] = True
+            if some.any():
+                yield from t.select([*key, "own", "node", "stop", "signature"]).filter(pa.array(some)).to_batches()
+
+    columns = "tree int, key long, i int, j int, own int, node long, stop int, signature binary"
+    wanted = keep(placed.select(*[c.split()[0] for c in columns.split(", ")]).mapInArrow(trimmed(likely), columns))
+    members = small(keep(classes.join(wanted.select("node").distinct(), "node").select(*_KEY, "first", "copies", "node")))
+    full = _least(digested(docs), members).select("node", "copies", "text").dropDuplicates(["node"])
+    verifying = wanted.join(full, "node").repartition(*key).sortWithinPartitions(*key)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, ["component", "i", "j"]):
+        for t in _grouped(batches, key):
             t = t.combine_chunks()
-            group = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("component", "i", "j")])
-            cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist(), t.num_rows]
-            out_node, out_links, out_root = [], [], []
-            for a, b in zip(cuts, cuts[1:]):
-                part = t.slice(a, b - a)
-                node, copies, own = (part.column(c).to_numpy() for c in ("node", "copies", "own"))
-                near = _verify(strings(part.column("text")), own, group[1, a], group[2, a], width, similarity)
-                x, y = np.nonzero(near)
-                both = near | near.T
-                root = _roots(len(node), x, y)
-                out_node.append(node)
-                out_links.append(both @ copies)
-                out_root.append(node[root])
-            yield pa.record_batch({"node": pa.array(np.concatenate(out_node)), "links": pa.array(np.concatenate(out_links).astype(np.int64)), "root": pa.array(np.concatenate(out_root))})
-
-    columns = ["component", "i", "j", "own", "node", "copies", "text"]
-    verified = keep(rows.select(*columns).mapInArrow(trimmed(verify), "node long, links long, root long").where("links > 0"))
+            node, group, own, sign, stop = held(t)
+            copies = t.column("copies").to_numpy()
+            sets, offsets = _sets(strings(t.column("text")), width)
+            links, left, right = np.zeros(len(node), np.int64), [], []
+            for x, y in _verified(group, own, sign, stop, sets, offsets, similarity, loose):
+                links += np.bincount(x, copies[y], len(node)).astype(np.int64) + np.bincount(y, copies[x], len(node)).astype(np.int64)
+                if len(x):  # a forest of what was found so far stands for it
+                    left.append(x)
+                    right.append(y)
+                if sum(map(len, left)) > 4 * len(node) + 1_000_000:
+                    root = _roots(len(node), np.concatenate(left), np.concatenate(right))
+                    left, right = [np.arange(len(node))], [root]
+            some = links > 0
+            if some.any():
+                root = _roots(len(node), np.concatenate(left), np.concatenate(right))
+                yield pa.record_batch({"node": pa.array(node[some]), "links": pa.array(links[some]), "root": pa.array(node[root[some]])})
+
+    verified = keep(verifying.select(*key, "own", "node", "stop", "signature", "copies", "text").mapInArrow(trimmed(verify), "node long, links long, root long"))
     linked = components(verified.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     classes = classes.join(links, "node", "left").join(linked, "node", "left")

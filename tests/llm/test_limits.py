@@ -103,3 +103,35 @@ def test_whole_licences_among_many_texts(spark):
     got = {r.id: r.license_id for r in licenses.scan(docs, licenses.known(spark, licenses.LICENSES, licenses.DIGESTS), licenses.notices()).collect()}
     assert len(got) == 3000 + len(planted) and all(v is None for k, v in got.items() if k < 10_000)
     assert [got[10_000 + k] for k in range(len(planted))] == [want for want, _ in planted]
+
+
+def test_stops_shorten_with_the_least_similarity():
+    from tessera.llm import nearjoin
+
+    sizes = range(1, 65)
+    brute = [min(c / (n + m - c) for m in range(1, 90) for c in range(1, min(n, m) + 1) if c / (n + m - c) >= 0.8 - 1e-12) for n in sizes]
+    assert [nearjoin.least_similarity(n, 0.8) for n in sizes] == pytest.approx(brute)
+    at = nearjoin.stops(0.8, 0.999)
+    assert at[1] == nearjoin.DEPTH and at[7] == 5 and at[6] == 4 and at[4] == at[-1] == 3
+
+
+def test_pairs_meet_in_one_tree_and_often_enough():
+    from tessera.llm import nearjoin
+
+    draw = np.random.default_rng(5)
+    width = nearjoin.TREES * nearjoin.DEPTH
+    x = draw.integers(0, 2**32, (4000, width), dtype=np.uint32)
+    y = np.where(draw.random((4000, width)) < 0.8, x, draw.integers(0, 2**32, (4000, width), dtype=np.uint32))
+    need = np.full(4000, 3, np.uint8)
+    times = sum(nearjoin._meet(x, y, need, np.full(4000, t), 0.0).astype(int) for t in range(nearjoin.TREES))
+    assert times.max() == 1 and times.mean() > 0.999
+
+
+def test_short_texts_and_copies_against_all_pairs(spark):
+    from tessera.llm import nearjoin
+    from test_results import check_join
+
+    draw = np.random.default_rng(8)
+    texts = [" ".join(draw.choice(list("abc"), draw.integers(0, 14))) for _ in range(700)]
+    wrong, links = check_join(nearjoin.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_words > 0 or n_links >= 0").collect(), list(range(700)), texts)
+    assert links > 300 and wrong == 0

@@ -317,8 +317,11 @@ def test_near_join(spark):
     assert links > 50 and wrong == 0
 
 
-def test_near_join_of_a_large_group_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("growth", "tile"), [(0, 512), (4, 7)])
+def test_near_join_of_a_large_group_in_blocks(spark, monkeypatch, growth, tile):
     monkeypatch.setattr(nearjoin, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nearjoin, "GROWTH", growth)
+    monkeypatch.setattr(nearjoin, "TILE", tile)
     rng = np.random.default_rng(4)
     base = [f"w{k}" for k in range(60)]
     texts = []
