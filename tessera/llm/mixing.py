@@ -1,14 +1,14 @@
 """Mixing sources to target weights by a multivariate hypergeometric splitting tree.
 
-Each source's documents form a stream in a pseudo-random order that depends on ids alone; the mix takes the
-first `target` words of that stream, going through it again where the target is larger than the source. A
-stream is cut into blocks by equal ranges of the order's hash. A binary tree over the output shards splits
-each node's block quotas, all sources at once, by a multivariate hypergeometric draw, as a uniform shuffle of
-all blocks would. A shard then takes its quota of each source's permuted blocks, disjoint from other shards',
-and its rows are shuffled locally by a hash.
-
-All that a document needs to know is one row of its source: how often it is taken whole, where the stream's
-order ends and the permutation. So texts are moved once, to their shards.
+Each source is cut into 2^m blocks of some thousand words, by ranges of a hash of its documents, and its blocks are
+permuted by a seeded bijection. The mix takes the first blocks of that order, the last one in part, until `target` words
+are reached, going through them again where the target is larger than the source: a quota of blocks. A binary tree
+over the output shards splits each node's quotas, all sources at once, by a multivariate hypergeometric draw, as a
+uniform shuffle of all blocks would. A shard draws its quota of each source's permuted blocks, disjoint from other
+shards', and its rows are shuffled locally by a hash. What is taken of a document is what shards drew of its block.
+
+All that a document needs to know is one row of its source: its permutation, where its quota ends and which shard
+draws which blocks. So texts are moved once, to their shards.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, small, table, tuned
 
+#: At most so many groups of sources; rounds of the bijection that permutes blocks.
+GROUPS, ROUNDS = 1024, 3
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,19 +51,21 @@ def targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return s.select("source", "sid", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source in each shard, [shards, sources]; columns add up to the quotas, and shards have
-    as equal totals as can be. Each node draws with a seed of its own place, so reruns agree."""
-    out = np.zeros((shards, len(quotas)), np.int64)
+def splitting_tree(quotas: np.ndarray, shards: int, seed: int, room: np.ndarray | None = None) -> np.ndarray:
+    """Blocks of each source in each shard, [shards, sources]; columns add up to the quotas. room: blocks that each
+    shard takes; else shards have as equal totals as can be. Each node draws with a seed of its own place, so reruns
+    agree."""
+    out, total = np.zeros((shards, len(quotas)), np.int64), int(quotas.sum())
+    if room is None:
+        room = np.diff([total * k // shards for k in range(shards + 1)])
 
     def split(a: int, b: int, have: np.ndarray) -> None:
-        if b - a == 1:
+        if b - a == 1 or not have.any():
             out[a] = have
             return
-        middle, total = (a + b) // 2, int(have.sum())
-        draw = total * (middle - a) // (b - a)
+        middle = (a + b) // 2
         key = int.from_bytes(hashlib.sha256(f"{seed}/{a}/{b}".encode()).digest()[:8], "little")
-        left = np.random.default_rng(key).multivariate_hypergeometric(have, draw, method="marginals") if total else have
+        left = np.random.default_rng(key).multivariate_hypergeometric(have, int(room[a:middle].sum()), method="marginals")
         split(a, middle, left)
         split(middle, b, have - left)
 
@@ -68,18 +73,60 @@ def splitting_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def _shares(goals: DataFrame, shards: int, seed: int) -> DataFrame:
+    """goals (sid, quota) with upto and at: that shard at[k] draws the quota's blocks up to upto[k], from upto[k - 1].
+
+    Sources are split in groups of some thousand, and the tree of the groups, of which there are GROUPS at most, gives
+    each group's room in each shard; drawing within a group, given its totals, is the same as drawing at once.
+    """
+    n = goals.count()
+    groups = max(1, min(GROUPS, -(-n // 1024)))
+    goals = goals.withColumn("__g", F.pmod("sid", F.lit(groups)).cast("int"))
+    totals = np.zeros(groups, np.int64)
+    for r in goals.groupBy("__g").agg(F.sum("quota").alias("n")).collect():
+        totals[r["__g"]] = r.n
+    room = splitting_tree(totals, shards, seed)
+
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("sid")
+        g = int(rows["__g"].iloc[0])
+        drawn = splitting_tree(rows.quota.to_numpy(), shards, seed + 1 + g, room[:, g]).T
+        at = [np.flatnonzero(x) for x in drawn]
+        return pd.DataFrame({"sid": rows.sid, "upto": [x[k].cumsum() for x, k in zip(drawn, at)], "at": at})
+
+    return goals.drop("__g").join(goals.select("__g", "sid", "quota").groupBy("__g").applyInPandas(split, "sid int, upto array<long>, at array<int>"), "sid")
+
+
 def _order(seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size")).cast("binary"))
 
 
-def _edges(light: DataFrame, goals: DataFrame) -> DataFrame:
+def _number(text: Column, digits: int) -> Column:
+    return F.conv(F.substring(text, 1, digits), 16, 10).cast("long")
+
+
+def _permuted(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (doc_id, size, sid, bits) with o: the order's key, of the permuted block's place (left-aligned in 32 bits),
+    then the hash. The bijection on m bits: three times, times an odd number, plus a number, xor its own upper half."""
+    mask = F.expr("shiftleft(1L, bits) - 1")
+    x = F.expr("shiftright(conv(substring(o, 1, 8), 16, 10) :: long, 32 - bits)")
+    for r in range(ROUNDS):
+        drawn = F.md5(F.concat_ws("|", F.lit(seed), F.col("sid"), F.lit(r)).cast("binary"))
+        odd, plus = _number(drawn, 7).bitwiseOR(F.lit(1)), _number(F.substring(drawn, 9, 7), 7)
+        rows = rows.withColumn("__x", (x * odd + plus).bitwiseAND(mask))
+        rows = rows.withColumn("__x", F.expr("`__x` ^ shiftright(`__x`, greatest(1, int((bits + 1) / 2)))"))
+        x = F.col("__x")
+    return rows.withColumn("o", F.concat(F.lower(F.lpad(F.hex(F.expr("shiftleft(`__x`, 32 - bits)")), 8, "0")), F.col("o"))).drop("__x")
+
+
+def _edges(light: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
     """sid, edge, edge_words: the order's key at which the rest of a source's target ends, and how many words
     of the document there it takes (rows with the same key, repeats of an id and size, take equal parts).
 
     Sums of 4096 ranges of the key tell the range in which the rest ends; only its documents are put in order.
     """
-    goals = small(goals.select(F.col("source").alias("__s"), "sid", "rest"))
-    light = light.join(goals, F.col("source").eqNullSafe(F.col("__s")))
+    goals = small(goals.select(F.col("source").alias("__s"), "sid", "bits", "rest"))
+    light = _permuted(light.join(goals, F.col("source").eqNullSafe(F.col("__s"))), seed).withColumn("b", F.substring("o", 1, 3))
     sums = light.groupBy("sid", "b").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("sid").orderBy("b")) - F.col("n"))
     rest = goals.select("sid", "rest")
@@ -93,53 +140,50 @@ def _edges(light: DataFrame, goals: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, shards: int | None = None, block_words: int = 4096, seed: int = 11, weights=(5, 2, 1), share: float = 1.5) -> DataFrame:
     """docs (doc_id, source, size and any other columns) with source_size, target, taken and draws.
 
-    draws: array of (copy, words, shard, key): which copies of the document the mix holds, how many of its
-    first words each copy has (all but for the one document of a source where the target ends), the shard
-    and the place within it by rising key. Each source's words add up to its target, rounded; a document is
-    taken at most twice. Documents without words are taken without words, never; null sources are a source;
-    repeated rows are documents of their own; an empty table gives an empty result. Columns of docs with the
+    draws: array of (copy, words, shard, key): which copies of the document shards drew, how many of its first
+    words each copy has (all but for the one document of a source where the target ends), the shard and the place
+    within it by rising key. taken: the words of its draws. Each source's words add up to its target, rounded; a
+    document is taken at most twice. Documents without words are taken without words, never; null sources are a
+    source; repeated rows are documents of their own; an empty table gives an empty result. Columns of docs with the
     names added here are replaced.
 
-    shards: as many as there are shuffle partitions, unless given. To the driver comes a row a source. The
-    hypergeometric draws need under 10^9 blocks, so blocks grow with the words beyond that.
+    shards: as many as there are shuffle partitions, unless given. To the driver come totals of GROUPS groups of
+    sources at most. The hypergeometric draws need under 10^9 blocks, so blocks grow with the words beyond that.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.drop("source_size", "target", "taken", "draws")
-    light = docs.select("source", "doc_id", "size", _order(seed).alias("o")).withColumn("b", F.substring("o", 1, 3))
+    light = docs.select("source", "doc_id", "size", _order(seed).alias("o"))
     goals = keep(targets(docs, weights, share).withColumn("n", F.floor(F.col("target") + 0.5)))
+    block = max(block_words, math.ceil((goals.agg(F.sum("source_size")).first()[0] or 0) / 1e8))
+    goals = goals.withColumn("__b", F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)))
+    goals = goals.withColumn("bits", F.when(F.col("__b") > 1, F.length(F.bin(F.col("__b") - 1))).otherwise(0).cast("int")).drop("__b")
     goals = goals.withColumn("full", F.when(F.col("source_size") > 0, F.expr("n div source_size")).otherwise(0).cast("int"))
     goals = goals.withColumn("rest", F.col("n") - F.col("full") * F.col("source_size"))
-    ending = _edges(light, goals)
-    goals = goals.join(ending, "sid", "left").orderBy("sid")
-    rows = goals.collect()
-    block = max(block_words, math.ceil(sum(r.target for r in rows) / 5e8))
-    blocks = [max(1, -(-r.source_size // block)) for r in rows]
-    place = lambda o, k: int(o[:8], 16) * k >> 32
-    quotas = [r.full * k + (place(r.edge, k) + 1 if r.edge else 0) for r, k in zip(rows, blocks)]
-    upto = splitting_tree(np.array(quotas, np.int64), shards, seed).cumsum(0).T if rows else np.zeros((0, shards), np.int64)
-    plan = []
-    for r, k, q, u in zip(rows, blocks, quotas, upto):
-        step = next((a for a in range(int(q * 0.6180339887) or 1, 2 * q + 2) if math.gcd(a, q) == 1), 1) if q else 1
-        plan.append((r.source, r.source_size, r.target, r.full, r.edge, r.edge_words, k, max(q, 1), step, [int(x) for x in u]))
-    schema = "__s string, source_size long, target double, full int, edge string, edge_words long, blocks long, q long, step long, upto array<long>"
-    plan = small(spark.createDataFrame(plan, schema), 40_000_000 // (8 * shards))
-    docs = docs.join(plan, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__o", _order(seed))
+    goals = goals.join(_edges(light, goals, seed), "sid", "left").withColumn("blocks", F.expr("shiftleft(1L, bits)"))
+    into = F.when(F.col("edge").isNull(), 0).otherwise(F.expr("shiftright(conv(substring(edge, 1, 8), 16, 10) :: long, 32 - bits) + 1"))
+    goals = keep(goals.withColumn("quota", F.col("full") * F.col("blocks") + into))
+    plan = _shares(goals, shards, seed).select(F.col("source").alias("__s"), "sid", "source_size", "target", "bits", "full", "edge", "edge_words", "blocks", "quota", "upto", "at")
+    plan = small(keep(plan), 40_000_000 // (12 * shards))
+    own = ["__s", "sid", "bits", "full", "edge", "edge_words", "blocks", "quota", "upto", "at", "o"]
+    held = {c: f"__own_{c}" for c in own if c in docs.columns}  # columns of docs that are called so
+    docs = docs.withColumnsRenamed(held)
+    docs = _permuted(docs.join(plan, F.col("source").eqNullSafe(F.col("__s"))).withColumn("o", _order(seed)), seed)
     halves = F.array(*[F.lit(1 << k) for k in range(shards.bit_length() - 1, -1, -1)])
-    at = F.shiftright(F.conv(F.substring("__o", 1, 8), 16, 10).cast("long") * F.col("blocks"), 32)
-    part = F.when(F.col("__o") < F.col("edge"), F.col("size")).when(F.col("__o") == F.col("edge"), F.col("edge_words")).otherwise(0)
+    place = F.expr("shiftright(conv(substring(o, 1, 8), 16, 10) :: long, 32 - bits)")
+    part = F.when(F.col("o") < F.col("edge"), F.col("size")).when(F.col("o") == F.col("edge"), F.col("edge_words")).otherwise(0)
 
     def draw(copy: int) -> Column:
-        words = F.when(F.col("full") > copy, F.col("size")).when(F.col("full") == copy, part).otherwise(0)
-        rank = F.pmod((at + copy * F.col("blocks")) * F.col("step"), F.col("q"))
-        # the number of entries of upto that are <= rank, by halving
-        go = lambda at, step: F.when((at + step <= shards) & (F.get("upto", F.least(at + step, F.lit(shards)) - 1) <= rank), at + step).otherwise(at)
-        shard = F.least(F.aggregate(halves, F.lit(0), go), F.lit(shards - 1))
-        return F.struct(F.lit(copy).alias("copy"), words.alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed), "__o", F.lit(copy)).alias("key"))
+        at = place + copy * F.col("blocks")
+        # the number of entries of upto that are <= at, by halving: the shard that draws this block, if one does
+        go = lambda k, step: F.when((k + step <= F.size("upto")) & (F.get("upto", k + step - 1) <= at), k + step).otherwise(k)
+        shard = F.get("at", F.aggregate(halves, F.lit(0), go))
+        words = F.when(shard.isNull(), 0).when((at == F.col("quota") - 1) & F.col("edge").isNotNull(), part).otherwise(F.col("size"))
+        return F.struct(F.lit(copy).alias("copy"), words.cast("long").alias("words"), shard.alias("shard"), F.xxhash64(F.lit(seed), "o", F.lit(copy)).alias("key"))
 
     docs = docs.withColumn("draws", F.filter(F.array(draw(0), draw(1)), lambda x: x.words > 0))
     docs = docs.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x.words))
-    return docs.drop("__s", "full", "edge", "edge_words", "blocks", "q", "step", "upto", "__o")
+    return docs.drop(*own).withColumnsRenamed({v: k for k, v in held.items()})
 
 
 def spread(mixed: DataFrame, shards: int | None = None) -> DataFrame:
@@ -167,6 +211,17 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _permuted_sql() -> str:
+    """Rounds of _permuted() over d (x, bits, sid), as common table expressions x0, x1, ..."""
+    out = []
+    for r in range(ROUNDS):
+        h = f"md5('11|' || sid || '|{r}')"
+        step = f"((x * (('0x' || substr({h}, 1, 7))::BIGINT | 1) + ('0x' || substr({h}, 9, 7))::BIGINT) & ((1::BIGINT << bits) - 1))"
+        before = "b" if r == 0 else f"x{r - 1}"
+        out.append(f"x{r} AS (SELECT * REPLACE (xor(x, x >> greatest(1, (bits + 1) // 2)) AS x) FROM (SELECT * REPLACE ({step} AS x) FROM {before}))")
+    return ", ".join(out)
+
+
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
@@ -175,9 +230,11 @@ r AS (SELECT *, cap / weight AS ratio FROM w),
 l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::BIGINT
         - coalesce(sum(cap) OVER (ORDER BY ratio, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / (sum(weight) OVER (ORDER BY ratio, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM r),
-t AS (SELECT source, source_size, least(cap, (SELECT arg_min(level, (ratio, sid)) FROM l WHERE level <= ratio) * weight) AS target FROM l),
-c AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS n,
-        (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('11|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.size), d.doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS place
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+t AS (SELECT source, sid, source_size, least(cap, (SELECT arg_min(level, (ratio, sid)) FROM l WHERE level <= ratio) * weight) AS target,
+        CASE WHEN source_size <= 4096 THEN 0 ELSE length(bin((source_size + 4095) // 4096 - 1)) END::BIGINT AS bits FROM l),
+h AS (SELECT d.doc_id, d.size, t.sid, t.source_size, t.target, t.bits, floor(t.target + 0.5)::BIGINT AS n,
+        md5('11|' || coalesce(d.doc_id::VARCHAR, '') || '|' || d.size) AS o FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT *, ('0x' || substr(o, 1, 8))::BIGINT >> (32 - bits) AS x FROM h), {_permuted_sql()},
+c AS (SELECT *, (sum(size) OVER (PARTITION BY sid ORDER BY x, o, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS place FROM x{ROUNDS - 1})
 SELECT doc_id, size, source_size, target,
   (greatest(0, least(size, n - place)) + greatest(0, least(size, n - place - source_size)))::BIGINT AS taken FROM c"""

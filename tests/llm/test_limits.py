@@ -135,3 +135,43 @@ def test_short_texts_and_copies_against_all_pairs(spark):
     texts = [" ".join(draw.choice(list("abc"), draw.integers(0, 14))) for _ in range(700)]
     wrong, links = check_join(nearjoin.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_words > 0 or n_links >= 0").collect(), list(range(700)), texts)
     assert links > 300 and wrong == 0
+
+
+def test_what_is_taken_is_what_shards_draw(spark, monkeypatch):
+    from tessera.llm import mixing
+
+    docs = mixing.sized(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).drop("text")
+    kept = mixing.splitting_tree
+    rows = mixing.mix(docs, shards=5, block_words=64).collect()
+    assert all(r.taken == sum(x.words for x in r.draws) for r in rows) and {x["shard"] for r in rows for x in r.draws} == set(range(5))
+    other = mixing.mix(docs, shards=5, block_words=64, seed=12).collect()
+    assert {r.doc_id: r.taken for r in rows} != {r.doc_id: r.taken for r in other}
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, shards, seed, room=None: kept(q, shards, seed, room) * (np.arange(shards) > 0)[:, None])
+    less = mixing.mix(docs, shards=5, block_words=64).collect()  # a tree that gives the first shard nothing
+    assert sum(r.taken for r in less) < 0.9 * sum(r.taken for r in rows)
+
+
+def test_many_sources_are_split_in_groups(spark, monkeypatch):
+    from tessera.llm import mixing
+
+    monkeypatch.setattr(mixing, "GROUPS", 3)
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.expr("CASE WHEN id < 3000 THEN 0 ELSE id % 2500 END")).alias("source"), F.expr("10 + id % 7").cast("long").alias("size"))
+    rows = mixing.mix(docs, shards=6, block_words=20).toPandas()
+    words = rows.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (words.taken - words.target).abs().max() <= 0.5 + 1e-6 and (rows.taken <= 2 * rows["size"]).all()
+    by_shard = rows.explode("draws").dropna(subset="draws").draws.map(lambda x: (x["shard"], x["words"]))
+    totals = np.bincount([s for s, _ in by_shard], [w for _, w in by_shard])
+    assert len(totals) == 6 and totals.min() > 0.8 * totals.max()
+
+
+def test_groups_of_sources_are_drawn_as_if_at_once():
+    from tessera.llm import mixing
+
+    quotas, draws = np.array([6, 2, 4]), []
+    for seed in range(1500):
+        room = mixing.splitting_tree(np.array([8, 4]), 2, seed)
+        within = mixing.splitting_tree(quotas[:2], 2, seed + 10**6, room[:, 0])
+        assert within.sum(0).tolist() == [6, 2] and within.sum(1).tolist() == room[:, 0].tolist()
+        draws.append(within[0])
+    # hypergeometric: means of 6 * 6/12 and 2 * 6/12; variance of the first n K/N (N-K)/N (N-n)/(N-1)
+    assert np.allclose(np.mean(draws, 0), [3, 1], atol=0.1) and abs(np.var([d[0] for d in draws]) - 6 * 0.25 * 6 / 11) < 0.1
