@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import hash_bound, keep, table
 
-DIMS, CELL_ROWS, SAMPLE, CONFIDENCE = 16, 4096, 16_384, 0.98
+DIMS, CELL_ROWS, SAMPLE, CONFIDENCE = 24, 1024, 16_384, 0.93
+#: A task compares at most about so many vectors with so many queries.
+PART_ROWS, QUERY_ROWS = 16_384, 8_192
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
@@ -63,11 +65,13 @@ class Tree:
 
 
 def _found(x: np.ndarray, ids: list, y: np.ndarray, q: np.ndarray, z: np.ndarray, radius: float, tree: Tree, wide: float, k: int):
-    """The k best (score, id) among candidates x, verified by rising projected distance till the test holds."""
+    """The k best (score, id) among candidates x, verified by rising projected distance till the test holds; the
+    distance squared that bounds others; and how many were verified."""
     projected = ((y - z) ** 2).sum(1)
-    order = np.argsort(projected, kind="stable")
+    order = np.flatnonzero(projected <= radius * wide * (1 + 1e-9) + 1e-12)
+    order = order[np.argsort(projected[order], kind="stable")]
     limit, base = radius, tree.square + float(q @ q)
-    score, done, step = np.zeros(len(order)), 0, 4 * k
+    score, done, step = np.zeros(len(projected)), 0, 4 * k
     while done < len(order) and projected[order[done]] <= limit * wide * (1 + 1e-9) + 1e-12:
         some = order[done : done + step]
         score[some] = x[some] @ q
@@ -81,22 +85,24 @@ def _found(x: np.ndarray, ids: list, y: np.ndarray, q: np.ndarray, z: np.ndarray
         least = np.partition(score[seen], len(seen) - k)[len(seen) - k]
         seen = seen[score[seen] >= least]
     rows = sorted((-score[i], j) for i in seen for j in ids[i])[:k]
-    return [(-s, j) for s, j in rows], limit
+    return [(-s, j) for s, j in rows], limit, done
 
 
 def search(vectors: DataFrame, queries: F.Column, k: int = 20, confidence: float = CONFIDENCE, seed: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row of vectors for which `queries` holds.
+    """query_id, rank, vec_id, score: the k nearest found of each row of vectors for which `queries` holds; and what
+    the query cost: cells it visited and vectors that were verified.
 
     vectors: vec_id, embedding. Rows with a null id, or a vector that is null, zero, holds null or non-finite
     components, or has another length than most have, take no part. Ties go to smaller ids; a row isn't its own
     neighbour; rows that repeat an id count as one query. Fewer than k others: all of them are returned. An
     empty table gives no rows. Other columns are left out.
 
-    The tree is fitted on at most SAMPLE vectors; every vector is indexed and can be found. Cells of more than
-    CELL_ROWS vectors are searched in several parts, so none has to fit one task.
+    The tree is fitted on at most SAMPLE vectors, so it has at most SAMPLE / 16 cells, whose boxes alone reach the
+    driver; every vector is indexed and can be found. Cells of many vectors, and visits of many queries to a cell,
+    are searched in parts, so none has to fit one task.
     """
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, cells long, verified long")
     v = F.col("embedding")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
@@ -111,8 +117,9 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, confidence: float
     asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), *key).distinct()
     about = classes.agg(F.count("*").alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda a, b: a + b * b)).alias("square")).first()
     sample_rows = max(256, min(SAMPLE, 8_000_000 // length.d))
-    part = min(1.0, 1.1 * sample_rows / about.n)
-    drawn = classes.where(F.pmod("h1", F.lit(1_000_000)) < int(1_000_000 * part)).select("h1", "x").limit(2 * sample_rows).collect()
+    drawn = classes.where(F.col("h1") <= hash_bound(1.1 * sample_rows / about.n)).select("h1", "x").limit(2 * sample_rows).collect()
+    if not drawn:
+        raise RuntimeError(f"no vector drawn from {about.n}")
     sample = np.array([r.x for r in sorted(drawn, key=lambda r: r.h1)[:sample_rows]]).reshape(-1, length.d)
     depth = max(0, min(math.ceil(math.log2(max(1, about.n / CELL_ROWS))), int(math.log2(max(1, len(sample) / 16)))))
     tree, wide, top = Tree(sample, about.square * (1 + 1e-12), depth, seed), chi_square_quantile(confidence, DIMS), k + 1
@@ -123,29 +130,39 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, confidence: float
             yield b
 
     index = keep(classes.mapInPandas(placed, "h1 long, h2 long, x array<double>, ids array<long>, cell int"))
-    sizes = {r.cell: -(-r.n // (2 * CELL_ROWS)) for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    many = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
-    index = index.withColumn("part", F.pmod("h2", F.element_at(many, F.col("cell"))).cast("int"))
 
-    def box(b: pd.DataFrame) -> pd.DataFrame:
-        y = tree.project(np.stack(b.x))
-        return pd.DataFrame({"cell": [b.cell.iloc[0]], "part": [b.part.iloc[0]], "low": [y.min(0)], "high": [y.max(0)]})
-
-    boxes = index.groupBy("cell", "part").applyInPandas(box, "cell int, part int, low array<double>, high array<double>").toPandas()
-    low, high = np.stack(boxes.low), np.stack(boxes.high)
-    cells, parts = boxes.cell.to_numpy(), boxes.part.to_numpy()
-    answer = "q1 long, q2 long, limit double, scores array<double>, ids array<long>"
+    def boxes(batches):
+        held: dict = {}
+        for b in batches:
+            if len(b):
+                y, cells = tree.project(np.stack(b.x)), b.cell.to_numpy()
+                for c in np.unique(cells):
+                    own = y[cells == c]
+                    low, high, n = held.get(c, (np.inf, -np.inf, 0))
+                    held[c] = np.minimum(low, own.min(0)), np.maximum(high, own.max(0)), n + len(own)
+        yield pd.DataFrame([(c, *x) for c, x in held.items()], columns=["cell", "low", "high", "n"])
+
+    def united(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cell": [b.cell.iloc[0]], "low": [np.stack(b.low).min(0)], "high": [np.stack(b.high).max(0)], "n": [b.n.sum()]})
+
+    box = "cell int, low array<double>, high array<double>, n long"
+    box = index.select("cell", "x").mapInPandas(boxes, box).groupBy("cell").applyInPandas(united, box).toPandas()
+    low, high, cells = np.stack(box.low), np.stack(box.high), box.cell.to_numpy()
+    sizes = {int(c): -(-int(n) // PART_ROWS) for c, n in zip(cells, box.n)}
+    many = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("cell"))
+    index = index.withColumn("part", F.pmod("h2", many).cast("int"))
+    answer = "q1 long, q2 long, limit double, scores array<double>, ids array<long>, verified long"
 
     def in_cell(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(b) or not len(q):
-            return pd.DataFrame([], columns=["q1", "q2", "limit", "scores", "ids"], dtype=object)
+            return pd.DataFrame([], columns=["q1", "q2", "limit", "scores", "ids", "verified"], dtype=object)
         x, ids = np.stack(b.x), b.ids.tolist()
         y = tree.project(x)
         qx = np.stack(q.x)
         z = tree.project(qx, query=True)
         out = [_found(x, ids, y, qx[i], z[i], r, tree, wide, top) for i, r in enumerate(q["limit"])]
-        lists = {"scores": [[s for s, _ in f] for f, _ in out], "ids": [[j for _, j in f] for f, _ in out]}
-        return pd.DataFrame({"q1": q.h1, "q2": q.h2, "limit": [r for _, r in out]} | lists)
+        lists = {"scores": [[s for s, _ in f] for f, _, _ in out], "ids": [[j for _, j in f] for f, _, _ in out]}
+        return pd.DataFrame({"q1": q.h1, "q2": q.h2, "limit": [r for _, r, _ in out]} | lists | {"verified": [n for _, _, n in out]})
 
     def home(batches):
         for b in batches:
@@ -154,32 +171,41 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, confidence: float
                 b["cell"] = [c if c in sizes else cells[0] for c in b.cell]
             else:
                 b["cell"] = np.zeros(0, np.int32)
-            b["part"], b["limit"] = np.zeros(len(b), np.int32), np.full(len(b), np.inf)
+            b["limit"] = np.full(len(b), np.inf)
             yield b
 
     def others(batches):
         for b in batches:
             got = []
-            for h1, h2, x, c, r, f in zip(b.h1, b.h2, b.x, b.cell, b["limit"], b.n):
+            for h1, h2, x, c, r, f in zip(b.h1, b.h2, b.x, b.home, b["limit"], b.n):
                 z = tree.project(x[None, :], query=True)[0]
                 near = (np.maximum(np.maximum(low - z, z - high), 0) ** 2).sum(1)
-                go = np.flatnonzero(((f < top) | (near <= r * wide * (1 + 1e-9) + 1e-12)) & ~((cells == c) & (parts == 0)))
-                got += [(h1, h2, x, cells[i], parts[i], r if f >= top else np.inf) for i in go]
-            yield pd.DataFrame(got, columns=["h1", "h2", "x", "cell", "part", "limit"])
-
-    asking = "h1 long, h2 long, x array<double>, cell int, part int, limit double"
-    who = keep(classes.join(asked.select(*key).distinct(), key, "left_semi").select("h1", "h2", "x").mapInPandas(home, asking))
-    near = lambda q: index.groupBy("cell", "part").cogroup(q.groupBy("cell", "part")).applyInPandas(in_cell, answer)
-    first = keep(near(who))
+                go = np.flatnonzero((f < top) | (near <= r * wide * (1 + 1e-9) + 1e-12))
+                got += [(h1, h2, x, c, cells[i], r if f >= top else np.inf) for i in go]
+            yield pd.DataFrame(got, columns=["h1", "h2", "x", "home", "cell", "limit"])
+
+    who = keep(classes.join(asked.select(*key).distinct(), key, "left_semi").select("h1", "h2", "x").mapInPandas(home, "h1 long, h2 long, x array<double>, cell int, limit double"))
+    asking = -(-who.count() // QUERY_ROWS)
+
+    def near(q: DataFrame) -> DataFrame:
+        base = index.withColumn("some", F.explode(F.sequence(F.lit(0), F.lit(max(asking, 1) - 1))))
+        q = q.withColumn("some", F.pmod("h1", F.lit(max(asking, 1))).cast("int"))
+        return base.groupBy("cell", "part", "some").cogroup(q.groupBy("cell", "part", "some")).applyInPandas(in_cell, answer)
+
+    first = keep(near(who.withColumn("part", F.lit(0))))
     bound = first.select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), F.col("limit").alias("r"), F.size("ids").alias("n"))
-    rest = who.drop("limit", "part").join(bound, key).withColumnRenamed("r", "limit").mapInPandas(others, asking)
-    every = first.unionByName(near(rest.repartition("cell", "part"))).select("q1", "q2", F.explode(F.arrays_zip("scores", "ids")).alias("f"))
+    rest = who.drop("limit").withColumnRenamed("cell", "home").join(bound, key, "left")
+    rest = rest.withColumn("limit", F.coalesce("r", F.lit(float("inf")))).withColumn("n", F.coalesce("n", F.lit(0))).drop("r").mapInPandas(others, "h1 long, h2 long, x array<double>, home int, cell int, limit double")
+    rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0), many.cast("int") - 1))).where("not (cell = home and part = 0)")
+    answers = keep(first.unionByName(near(rest)))
+    cost = answers.groupBy("q1", "q2").agg(F.count("*").alias("cells"), F.sum("verified").alias("verified"))
+    every = answers.select("q1", "q2", F.explode(F.arrays_zip("scores", "ids")).alias("f"))
     every = every.select("q1", "q2", F.col("f.scores").alias("score"), F.col("f.ids").alias("vec_id"))
     order = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id")
-    best = every.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top).drop("n")
+    best = every.withColumn("n", F.row_number().over(order)).where(F.col("n") <= top).drop("n").join(cost, ["q1", "q2"])
     out = asked.join(best, (asked.h1 == best.q1) & (asked.h2 == best.q2)).where("query_id <> vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "cells", "verified")
 
 
 def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
