@@ -91,39 +91,44 @@ def differing(a: str, b: str) -> list[int]:
 
 
 def with_next(docs: DataFrame, ranges_a_task: int = 4) -> DataFrame:
-    """(range, is_next, key, doc_id, text) so that each row's successor in doc_id order follows it.
+    """(range, is_next, doc_id, text) so that each row's successor follows it. Rows are in order of doc_id, nulls
+    first; null and equal ids in order of a hash of their texts, then the texts.
 
-    Rows are cut into ranges of doc_id; the first row of each range is also given, as is_next, to the end of
-    the range before (of the first range: to the last), so one shuffle suffices and no task sees all rows.
-    To the driver come the bounds and first ids of the ranges.
+    Rows are cut into ranges of that order, rows of null ids into ranges of the hash; the first row of each range is
+    also given, as is_next, to the end of the range before (of the first range: to the last), so one shuffle suffices
+    and no task sees all rows. To the driver come the ranges' bounds, a stated number for each shuffle partition.
     """
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low = -(2**63)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("key"))
-    keys = docs.select(F.col("key").cast("double").alias("key"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("key"))
+    docs = docs.withColumn("tie", F.xxhash64("text"))
     n = parts * ranges_a_task
-    bounds = keys.approxQuantile("key", [k / n for k in range(1, n)], 0.2 / n) if docs.limit(1).count() else []
-    splits = [-float("inf"), *sorted(set(bounds) - {float(low)}), float("inf")]
+    count = docs.agg(F.count("*").alias("n"), F.count_if(F.col("key").isNull()).alias("none")).first()
+    keys = docs.where("key is not null").select(F.col("key").cast("double").alias("key"))
+    bounds = keys.approxQuantile("key", [k / n for k in range(1, n)], 0.2 / n) if count.n > count.none else []
+    splits = [-float("inf"), *sorted(set(bounds)), float("inf")]
     if len(splits) < 3:
         splits = [-float("inf"), 0.0, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="__k", outputCol="__r")
+    none = max(1, -(-count.none * n // max(count.n, 1)))  # ranges of null ids, by the upper bits of the hash
 
     def ranged(df: DataFrame) -> DataFrame:
-        return cut.transform(df.withColumn("__k", F.col("key").cast("double"))).withColumn("range", F.col("__r").cast("int")).drop("__k", "__r")
-
-    firsts = sorted(tuple(r) for r in ranged(docs.select("key")).groupBy("range").agg(F.min("key")).collect())
-    before = {key: firsts[i - 1][0] for i, (_, key) in enumerate(firsts)}
-    docs = ranged(docs)
-    copies = F.array(F.struct(F.col("range"), F.lit(False).alias("is_next")))
-    if before:
-        other = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("key"))
-        extra = F.array(F.struct(F.col("range"), F.lit(False).alias("is_next")), F.struct(other.alias("range"), F.lit(True).alias("is_next")))
-        copies = F.when(F.col("key").isin(list(before)), extra).otherwise(copies)
-    docs = docs.withColumn("__c", F.explode(copies)).select("__c.range", "__c.is_next", "key", "doc_id", "text")
-    return docs.repartition(parts, "range").sortWithinPartitions("range", "is_next", "key", "text")
+        of_null = F.floor((F.shiftright("tie", 32) + 2**31) * F.lit(none) / F.lit(2.0**32))
+        df = cut.transform(df.withColumn("__k", F.coalesce("key", F.lit(0)).cast("double")))
+        return df.withColumn("range", F.when(F.col("key").isNull(), of_null).otherwise(F.col("__r") + none).cast("int")).drop("__k", "__r")
+
+    firsts = ranged(docs.select("key", "tie", "text")).groupBy("range").agg(F.min(F.struct(F.col("key"), "tie")).alias("first"))
+    firsts = sorted((r["range"], r["first"]["key"], r["first"]["tie"]) for r in firsts.collect())
+    before = [(at, firsts[i - 1][0], key, tie) for i, (at, key, tie) in enumerate(firsts)]
+    before = F.broadcast(spark.createDataFrame(before, "range int, __to int, __key long, __tie long"))
+    docs = ranged(docs).join(before, "range", "left")
+    first = F.col("key").eqNullSafe(F.col("__key")) & (F.col("tie") == F.col("__tie"))
+    own = F.struct(F.col("range"), F.lit(False).alias("is_next"))
+    copies = F.when(first, F.array(own, F.struct(F.col("__to").alias("range"), F.lit(True).alias("is_next")))).otherwise(F.array(own))
+    docs = docs.withColumn("__c", F.explode(copies)).select("__c.range", "__c.is_next", "key", "tie", "doc_id", "text")
+    return docs.repartition(parts, "range").sortWithinPartitions("range", "is_next", "key", "tie", "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -132,8 +137,8 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, of its edited text, and likenesses (see SCHEMA and op6).
 
-    Null texts are empty. Rows of equal doc_id follow each other by text; null ids come first. A table of one
-    row is its own successor; an empty one gives no rows. Other columns of docs are left out.
+    Null texts are empty. Rows of equal doc_id follow each other by a hash of the text; null ids come first. A table
+    of one row is its own successor; an empty one gives no rows. Other columns of docs are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

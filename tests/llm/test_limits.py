@@ -175,3 +175,111 @@ def test_groups_of_sources_are_drawn_as_if_at_once():
         draws.append(within[0])
     # hypergeometric: means of 6 * 6/12 and 2 * 6/12; variance of the first n K/N (N-K)/N (N-n)/(N-1)
     assert np.allclose(np.mean(draws, 0), [3, 1], atol=0.1) and abs(np.var([d[0] for d in draws]) - 6 * 0.25 * 6 / 11) < 0.1
+
+
+def merkle_by_hand(text: str) -> tuple[str, list[str]]:
+    """The root and the leaves' short digests, from the tree's definition: sentences, paragraphs, sections, root."""
+    from hashlib import blake2b
+
+    digest = lambda *parts: blake2b(b"".join(parts), digest_size=16).digest()
+    paragraphs, leaves = [], []
+    for line in text.split("\n"):
+        sentences = [digest(x.encode()) for x in line.split(". ")]
+        paragraphs.append(digest(*sentences))
+        leaves += [x.hex()[:8] for x in sentences] if len(sentences) > 1 else [paragraphs[-1].hex()[:8]]
+    sections, open_ = [], []
+    for p in paragraphs:
+        open_.append(p)
+        if p[0] < 32:
+            sections.append(digest(*open_))
+            open_ = []
+    sections += [digest(*open_)] if open_ else []
+    return digest(*sections).hex(), leaves
+
+
+def test_fingerprints_and_likeness_by_hand(spark):
+    from collections import Counter
+
+    import pandas as pd
+    from tessera.llm import merkle, queries
+
+    texts = pd.read_parquet("/root/testdata/sf0.001/documents.parquet").sort_values("doc_id").text.fillna("").tolist()
+    for k, r in enumerate(queries.QUERIES["op6_merkle_fingerprint"](spark, "/root/testdata/sf0.001").orderBy("doc_id").collect()):
+        t, following = texts[k], texts[(k + 1) % len(texts)]
+        trees = [merkle_by_hand(x) for x in (t, t[: len(t) - len(t) // 2] + following[: len(t) // 2], following)]
+        assert r.fingerprint.startswith(trees[0][0]) and r.edited_fingerprint.startswith(trees[1][0])
+        for near, (root, leaves) in ((r.near_edited, trees[1]), (r.near_next, trees[2])):
+            a, b = Counter(trees[0][1]), Counter(leaves)
+            assert near == pytest.approx(1.0 if root == trees[0][0] else (a & b).total() / (a | b).total())
+
+
+def test_successors_of_null_and_equal_ids(spark):
+    from tessera.llm import merkle
+
+    rows = [(None, f"text {k % 50}") for k in range(400)] + [(k // 3, f"row {k}") for k in range(300)] + [(None, None), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {r.t: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().collect()}
+    ordered = sorted(((d is not None, d or 0, tie[t or ""], t or "") for d, t in rows))
+    want = [(x[1] if x[0] else None, merkle.fingerprint(x[3]), merkle.likeness(merkle.fingerprint(x[3]), merkle.fingerprint(ordered[(k + 1) % len(ordered)][3]))) for k, x in enumerate(ordered)]
+    got = [(r.doc_id, r.fingerprint, r.near_next) for r in merkle.compare(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def naive_counts(text, dims, orders, letters_only):
+    data = (text or "").lower().encode()
+    data = bytes(c if c > 127 or chr(c).isalpha() or not letters_only else 32 for c in data)
+    out = np.zeros(dims * len(orders))
+    for j, order in enumerate(orders):
+        for at in range(len(data) - order + 1):
+            key = 0
+            for c in data[at : at + order]:
+                key = (key * 257 + c) % 2**32
+            out[j * dims + ((key * 2654435761 % 2**32) >> 8) % dims] += 1
+    return out
+
+
+def test_languages_by_naive_decoding(spark):
+    from tessera.llm import langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    languages, code, w, b, bit = model = langid.learn(docs)
+    for r in langid.identify(docs.where("length(text) < 3000"), model).collect():
+        counts = naive_counts(r.text, langid.DIMS, langid.ORDERS, True)
+        margin = np.sqrt(counts / max(counts[: langid.DIMS].sum(), 1)) @ w + b
+        loss = [sum(bit[k] * np.log1p(np.exp(-margin[k] * row[k])) for k in range(len(row))) for row in code]
+        if any(c.isalpha() for c in r.text):
+            assert loss[languages.index(r.lang_pred)] == pytest.approx(min(loss), abs=1e-5)
+            assert r.score == pytest.approx(1 / sum(np.exp((min(loss) - x) * code.shape[1]) for x in loss), abs=1e-4)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0)
+
+
+def test_quality_by_naive_features_and_risk(spark):
+    import zlib
+
+    from tessera.llm import quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    w, b, prior = model = quality.learn(docs, labels)
+    scored = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    grams = quality.DIMS * len(quality.ORDERS)
+    x, rows = [], docs.orderBy("doc_id").collect()
+    for r in rows:
+        counts, t = naive_counts(r.text, quality.DIMS, quality.ORDERS, False), (r.text or "")
+        data, words = t.encode(), re.findall(r"[^\t-\r ]+", t.lower())
+        n, m = max(len(data), 1), max(len(words), 1)
+        letter, digit = sum(chr(c).isalpha() or c > 127 for c in data), sum(48 <= c <= 57 for c in data)
+        white = sum(c in (10, 32) for c in data)
+        shape = [letter / n, digit / n, (len(data) - letter - digit - white) / n, 10 * data.count(10) / n, white / n, sum(p == q for p, q in zip(words, words[1:])) / m, len(set(words)) / m, n / m / 10, np.log1p(n) / 10, sum(65 <= c <= 90 for c in data) / n, sum(c in (44, 46) for c in data) / n, min(len(words), 50) / 50]
+        x.append(np.concatenate([np.sqrt(counts / max(counts[: quality.DIMS].sum(), 1)), shape]))
+        assert scored[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-(x[-1] @ w + b))), abs=2e-3) and len(x[-1]) == grams + quality.SHAPES
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    x, keep = np.array(x), np.array([zlib.crc32(str(r.doc_id).encode()) % 5 != 0 for r in rows])
+    positive = x[keep & np.array([r.doc_id in good for r in rows])]
+
+    def risk(w, b):
+        p, u = positive @ w + b, x[keep] @ w + b
+        return prior * np.logaddexp(0, -p).mean() + max(0.0, np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean())
+
+    assert risk(w, b) < 0.6 * risk(0 * w, 0.0)
