@@ -46,15 +46,17 @@ def best_two_fit(counts: np.ndarray) -> list[tuple[dict[int, int], int]]:
             least = min(used)
             room = left[lengths] - np.array([used.get(int(x), 0) for x in lengths])
             free, twice = lengths[room > 0], set(lengths[room > 1].tolist())
-            best, pair = least, None
+            best, pair = (least, capacity), None
             if len(free):
                 partner = np.searchsorted(free, gap + least - free, side="right") - 1
                 for i in np.flatnonzero((partner >= 0) & (free + free[np.maximum(partner, 0)] > least)):
                     a, j = int(free[i]), int(partner[i])
                     if a == free[j] and a not in twice:
                         j -= 1
-                    if j >= 0 and a + int(free[j]) > best:
-                        best, pair = a + int(free[j]), (a, int(free[j]))
+                    b = int(free[j])
+                    # of equal sums, the one with the longest piece
+                    if j >= 0 and (a + b, max(a, b)) > best:
+                        best, pair = (a + b, max(a, b)), (a, b)
             if pair:
                 used[least] -= 1
                 if not used[least]:
