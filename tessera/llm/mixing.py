@@ -30,7 +30,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def sized(docs: DataFrame) -> DataFrame:
     """docs with size, the number of words of the text (null: 0)."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    return _once(docs.drop("size"), "size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: what uses it often doesn't repeat it, as it would a projection."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def targets(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -105,28 +110,39 @@ def _number(text: Column, digits: int) -> Column:
     return F.conv(F.substring(text, 1, digits), 16, 10).cast("long")
 
 
-def _permuted(rows: DataFrame, seed: int) -> DataFrame:
-    """rows (doc_id, size, sid, bits) with o: the order's key, of the permuted block's place (left-aligned in 32 bits),
-    then the hash. The bijection on m bits: three times, times an odd number, plus a number, xor its own upper half."""
-    mask = F.expr("shiftleft(1L, bits) - 1")
-    x = F.expr("shiftright(conv(substring(o, 1, 8), 16, 10) :: long, 32 - bits)")
+def _steps(seed: int) -> Column:
+    """Odd factors and numbers of each round of a source's permutation."""
+    out = []
     for r in range(ROUNDS):
         drawn = F.md5(F.concat_ws("|", F.lit(seed), F.col("sid"), F.lit(r)).cast("binary"))
-        odd, plus = _number(drawn, 7).bitwiseOR(F.lit(1)), _number(F.substring(drawn, 9, 7), 7)
-        rows = rows.withColumn("__x", (x * odd + plus).bitwiseAND(mask))
-        rows = rows.withColumn("__x", F.expr("`__x` ^ shiftright(`__x`, greatest(1, int((bits + 1) / 2)))"))
-        x = F.col("__x")
-    return rows.withColumn("o", F.concat(F.lower(F.lpad(F.hex(F.expr("shiftleft(`__x`, 32 - bits)")), 8, "0")), F.col("o"))).drop("__x")
+        out += [_number(drawn, 7).bitwiseOR(F.lit(1)), _number(F.substring(drawn, 9, 7), 7)]
+    return F.array(*out)
+
+
+def _permuted(o: Column) -> Column:
+    """The order's key of a row with bits and steps: the permuted block's place (left-aligned in 32 bits), then the hash
+    o. The bijection on m bits: for each round, times an odd number, plus a number, xor its own upper half."""
+    x = F.call_function("shiftright", _number(o, 8), F.lit(32) - F.col("bits"))
+    held = F.struct(x.alias("x"), F.expr("shiftleft(1L, bits) - 1").alias("mask"), F.expr("greatest(1, int((bits + 1) / 2))").alias("half"))
+
+    def round_(s: Column, r: Column) -> Column:
+        moved = (s["x"] * F.get("steps", 2 * r) + F.get("steps", 2 * r + 1)).bitwiseAND(s["mask"])
+        return F.transform(F.array(moved), lambda y: F.struct(y.bitwiseXOR(F.call_function("shiftright", y, s["half"])).alias("x"), s["mask"].alias("mask"), s["half"].alias("half")))[0]
+
+    placed = F.aggregate(F.array(*map(F.lit, range(ROUNDS))), held, round_)["x"]
+    return F.concat(F.lower(F.lpad(F.hex(F.call_function("shiftleft", placed, F.lit(32) - F.col("bits"))), 8, "0")), o)
 
 
-def _edges(light: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
+def _edges(light: DataFrame, goals: DataFrame) -> DataFrame:
     """sid, edge, edge_words: the order's key at which the rest of a source's target ends, and how many words
     of the document there it takes (rows with the same key, repeats of an id and size, take equal parts).
 
     Sums of 4096 ranges of the key tell the range in which the rest ends; only its documents are put in order.
     """
-    goals = small(goals.select(F.col("source").alias("__s"), "sid", "bits", "rest"))
-    light = _permuted(light.join(goals, F.col("source").eqNullSafe(F.col("__s"))), seed).withColumn("b", F.substring("o", 1, 3))
+    goals = small(goals.select(F.col("source").alias("__s"), "sid", "bits", "steps", "rest"))
+    light = light.join(goals, F.col("source").eqNullSafe(F.col("__s")))
+    light = _once(light.select("sid", "size", "rest", "bits", "steps", F.col("o").alias("__o")), "o", _permuted(F.col("__o")))
+    light = light.select("sid", "size", "rest", "o", F.substring("o", 1, 3).alias("b"))
     sums = light.groupBy("sid", "b").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("sid").orderBy("b")) - F.col("n"))
     rest = goals.select("sid", "rest")
@@ -153,28 +169,28 @@ def mix(docs: DataFrame, shards: int | None = None, block_words: int = 4096, see
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.drop("source_size", "target", "taken", "draws")
-    light = docs.select("source", "doc_id", "size", _order(seed).alias("o"))
-    goals = keep(targets(docs, weights, share).withColumn("n", F.floor(F.col("target") + 0.5)))
+    light = keep(docs.select("source", "size", _order(seed).alias("o")))  # texts are read for their sizes once, and once more below
+    goals = keep(targets(light, weights, share).withColumn("n", F.floor(F.col("target") + 0.5)))
     block = max(block_words, math.ceil((goals.agg(F.sum("source_size")).first()[0] or 0) / 1e8))
     goals = goals.withColumn("__b", F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)))
-    goals = goals.withColumn("bits", F.when(F.col("__b") > 1, F.length(F.bin(F.col("__b") - 1))).otherwise(0).cast("int")).drop("__b")
+    goals = goals.withColumn("bits", F.when(F.col("__b") > 1, F.length(F.bin(F.col("__b") - 1))).otherwise(0).cast("int")).drop("__b").withColumn("steps", _steps(seed))
     goals = goals.withColumn("full", F.when(F.col("source_size") > 0, F.expr("n div source_size")).otherwise(0).cast("int"))
     goals = goals.withColumn("rest", F.col("n") - F.col("full") * F.col("source_size"))
-    goals = goals.join(_edges(light, goals, seed), "sid", "left").withColumn("blocks", F.expr("shiftleft(1L, bits)"))
+    goals = goals.join(_edges(light, goals), "sid", "left").withColumn("blocks", F.expr("shiftleft(1L, bits)"))
     into = F.when(F.col("edge").isNull(), 0).otherwise(F.expr("shiftright(conv(substring(edge, 1, 8), 16, 10) :: long, 32 - bits) + 1"))
     goals = keep(goals.withColumn("quota", F.col("full") * F.col("blocks") + into))
-    plan = _shares(goals, shards, seed).select(F.col("source").alias("__s"), "sid", "source_size", "target", "bits", "full", "edge", "edge_words", "blocks", "quota", "upto", "at")
+    plan = _shares(goals, shards, seed).select(F.col("source").alias("__s"), "sid", "source_size", "target", "bits", "steps", "full", "edge", "edge_words", "blocks", "quota", "upto", "at")
     plan = small(keep(plan), 40_000_000 // (12 * shards))
-    own = ["__s", "sid", "bits", "full", "edge", "edge_words", "blocks", "quota", "upto", "at", "o"]
+    own = ["__s", "sid", "bits", "steps", "full", "edge", "edge_words", "blocks", "quota", "upto", "at", "o", "__place"]
     held = {c: f"__own_{c}" for c in own if c in docs.columns}  # columns of docs that are called so
     docs = docs.withColumnsRenamed(held)
-    docs = _permuted(docs.join(plan, F.col("source").eqNullSafe(F.col("__s"))).withColumn("o", _order(seed)), seed)
+    docs = _once(docs.join(plan, F.col("source").eqNullSafe(F.col("__s"))), "o", _permuted(_order(seed)))
+    docs = docs.withColumn("__place", F.expr("shiftright(conv(substring(o, 1, 8), 16, 10) :: long, 32 - bits)"))
     halves = F.array(*[F.lit(1 << k) for k in range(shards.bit_length() - 1, -1, -1)])
-    place = F.expr("shiftright(conv(substring(o, 1, 8), 16, 10) :: long, 32 - bits)")
     part = F.when(F.col("o") < F.col("edge"), F.col("size")).when(F.col("o") == F.col("edge"), F.col("edge_words")).otherwise(0)
 
     def draw(copy: int) -> Column:
-        at = place + copy * F.col("blocks")
+        at = F.col("__place") + copy * F.col("blocks")
         # the number of entries of upto that are <= at, by halving: the shard that draws this block, if one does
         go = lambda k, step: F.when((k + step <= F.size("upto")) & (F.get("upto", k + step - 1) <= at), k + step).otherwise(k)
         shard = F.get("at", F.aggregate(halves, F.lit(0), go))
