@@ -402,7 +402,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = classes.groupBy("component").agg(F.min_by(F.struct("first", *_KEY), order).alias("x")).select("x.*")
     every = digested(docs)
     columns = [c for c in docs.columns if c not in _KEY]
-    rows = _least(every, small(keep(kept))).drop("first").union(every.where("n_words = 0"))
+    # most texts stay, so this table grows with them; its join shuffles at any size
+    rows = _least(every, keep(kept).hint("merge")).drop("first").union(every.where("n_words = 0"))
     # blank texts without an id have nothing that could repeat
     own = F.when((F.col("n_words") == 0) & F.col("doc_id").isNull(), F.monotonically_increasing_id())
     one = Window.partitionBy("doc_id", *_KEY, "__own").orderBy(F.xxhash64(*columns))
