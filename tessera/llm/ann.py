@@ -3,10 +3,11 @@
 Largest inner products are least distances once each vector has one more coordinate that makes all vectors
 equally long (0 for queries). Vectors are projected to a few dimensions by Gaussian rows, which are 2-stable:
 projected distance squared / distance squared is chi-square with that many degrees. A kd-tree over
-projections, fitted on a bounded sample, gives cells. A query first searches its own cell; that bounds the
-distance r of its k-th neighbour. It then visits every cell whose box isn't further, in projection, than
-r * sqrt(c), where a chi-square variable is below c with the wanted confidence. In a cell, candidates come by
-rising projected distance and are verified on whole vectors until the same test holds for the next.
+projections, fitted on a bounded sample, gives cells, and its upper levels branches of cells. A query first searches
+its own branch; that bounds the distance r of its k-th neighbour. It then visits the cells of other branches whose box
+isn't further, in projection, than r * sqrt(c), where a chi-square variable is below c with the wanted confidence.
+In a branch, candidates of the visited cells come by rising projected distance and are verified on whole vectors until
+the same test holds for the next; a branch answers with its k best.
 
 Equal vectors are searched once: their k + 1 least ids stand for them, which is all that a result can hold.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import hash_bound, keep, table
 
 DIMS, CELL_ROWS, SAMPLE, CONFIDENCE = 24, 1024, 16_384, 0.93
-#: A task compares at most about so many vectors with so many queries.
+#: A task compares a branch of about so many vectors with so many queries.
 PART_ROWS, QUERY_ROWS = 16_384, 8_192
 
 
@@ -64,18 +65,20 @@ class Tree:
         return at - (2**self.depth - 1)
 
 
-def _found(x: np.ndarray, ids: list, y: np.ndarray, q: np.ndarray, z: np.ndarray, radius: float, tree: Tree, wide: float, k: int):
-    """The k best (score, id) among candidates x, verified by rising projected distance till the test holds; the
-    distance squared that bounds others; and how many were verified."""
-    projected = ((y - z) ** 2).sum(1)
-    order = np.flatnonzero(projected <= radius * wide * (1 + 1e-9) + 1e-12)
-    order = order[np.argsort(projected[order], kind="stable")]
+def _found(x: np.ndarray, ids: list, y: np.ndarray, box: np.ndarray, open_: np.ndarray, q: np.ndarray, z: np.ndarray, radius: float, tree: Tree, wide: float, k: int):
+    """The k best (score, id) among candidates x whose box is open, verified by rising projected distance till the test
+    holds; the distance squared that bounds others; how many boxes were visited, and candidates verified."""
+    some = np.flatnonzero(open_[box])
+    projected = ((y[some] - z) ** 2).sum(1)
+    fits = projected <= radius * wide * (1 + 1e-9) + 1e-12
+    some, projected = some[fits], projected[fits]
+    order = np.argsort(projected, kind="stable")
     limit, base = radius, tree.square + float(q @ q)
     score, done, step = np.zeros(len(projected)), 0, 4 * k
     while done < len(order) and projected[order[done]] <= limit * wide * (1 + 1e-9) + 1e-12:
-        some = order[done : done + step]
-        score[some] = x[some] @ q
-        done += len(some)
+        next_ = order[done : done + step]
+        score[next_] = x[some[next_]] @ q
+        done += len(next_)
         if done >= k:
             best = np.partition(score[order[:done]], done - k)[done - k]
             limit = min(limit, max(base - 2 * best, 0.0))
@@ -84,8 +87,8 @@ def _found(x: np.ndarray, ids: list, y: np.ndarray, q: np.ndarray, z: np.ndarray
     if len(seen) > k:
         least = np.partition(score[seen], len(seen) - k)[len(seen) - k]
         seen = seen[score[seen] >= least]
-    rows = sorted((-score[i], j) for i in seen for j in ids[i])[:k]
-    return [(-s, j) for s, j in rows], limit, done
+    rows = sorted((-score[i], j) for i in seen for j in ids[some[i]])[:k]
+    return [(-s, j) for s, j in rows], limit, int(open_[np.unique(box)].sum()), done
 
 
 def search(vectors: DataFrame, queries: F.Column, k: int = 20, confidence: float = CONFIDENCE, seed: int = 5) -> DataFrame:
@@ -98,7 +101,7 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, confidence: float
     empty table gives no rows. Other columns are left out.
 
     The tree is fitted on at most SAMPLE vectors, so it has at most SAMPLE / 16 cells, whose boxes alone reach the
-    driver; every vector is indexed and can be found. Cells of many vectors, and visits of many queries to a cell,
+    driver; every vector is indexed and can be found. Branches of many vectors, and visits of many queries to one,
     are searched in parts, so none has to fit one task.
     """
     spark = vectors.sparkSession
@@ -146,31 +149,42 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, confidence: float
         return pd.DataFrame({"cell": [b.cell.iloc[0]], "low": [np.stack(b.low).min(0)], "high": [np.stack(b.high).max(0)], "n": [b.n.sum()]})
 
     box = "cell int, low array<double>, high array<double>, n long"
-    box = index.select("cell", "x").mapInPandas(boxes, box).groupBy("cell").applyInPandas(united, box).toPandas()
+    box = index.select("cell", "x").mapInPandas(boxes, box).groupBy("cell").applyInPandas(united, box).toPandas().sort_values("cell")
     low, high, cells = np.stack(box.low), np.stack(box.high), box.cell.to_numpy()
-    sizes = {int(c): -(-int(n) // PART_ROWS) for c, n in zip(cells, box.n)}
-    many = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("cell"))
-    index = index.withColumn("part", F.pmod("h2", many).cast("int"))
-    answer = "q1 long, q2 long, limit double, scores array<double>, ids array<long>, verified long"
+    below = depth - max(0, min(depth, math.ceil(math.log2(max(1, about.n / PART_ROWS)))))
+    branches = cells >> below
+    sizes = {int(c): -(-int(box.n[branches == c].sum()) // (2 * PART_ROWS)) for c in np.unique(branches)}
+    many = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("branch")).cast("int")
+    index = index.withColumn("branch", F.shiftright("cell", below)).withColumn("part", F.pmod("h2", many).cast("int"))
+    answer = "q1 long, q2 long, limit double, scores array<double>, ids array<long>, cells long, verified long"
 
-    def in_cell(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def apart(z: np.ndarray) -> np.ndarray:
+        return (np.maximum(np.maximum(low - z, z - high), 0) ** 2).sum(1)
+
+    def near_boxes(z: np.ndarray, radius: float) -> np.ndarray:
+        return apart(z) <= radius * wide * (1 + 1e-9) + 1e-12
+
+    def in_branch(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(b) or not len(q):
-            return pd.DataFrame([], columns=["q1", "q2", "limit", "scores", "ids", "verified"], dtype=object)
-        x, ids = np.stack(b.x), b.ids.tolist()
-        y = tree.project(x)
-        qx = np.stack(q.x)
+            return pd.DataFrame([], columns=["q1", "q2", "limit", "scores", "ids", "cells", "verified"], dtype=object)
+        x, ids, own = np.stack(b.x), b.ids.tolist(), np.searchsorted(cells, b.cell)
+        y, qx = tree.project(x), np.stack(q.x)
         z = tree.project(qx, query=True)
-        out = [_found(x, ids, y, qx[i], z[i], r, tree, wide, top) for i, r in enumerate(q["limit"])]
-        lists = {"scores": [[s for s, _ in f] for f, _, _ in out], "ids": [[j for _, j in f] for f, _, _ in out]}
-        return pd.DataFrame({"q1": q.h1, "q2": q.h2, "limit": [r for _, r, _ in out]} | lists | {"verified": [n for _, _, n in out]})
+        here, out = np.unique(own), []
+        for i, r in enumerate(q["limit"]):
+            if np.isinf(r):  # the nearest cell bounds the others
+                nearest = np.zeros(len(cells), bool)
+                nearest[here[np.argmin(apart(z[i])[here])]] = True
+                found, bound, *_ = _found(x, ids, y, own, nearest, qx[i], z[i], r, tree, wide, top)
+                r = bound if len(found) == top else r
+            out.append(_found(x, ids, y, own, near_boxes(z[i], r), qx[i], z[i], r, tree, wide, top))
+        lists = {"scores": [[s for s, _ in f[0]] for f in out], "ids": [[j for _, j in f[0]] for f in out]}
+        return pd.DataFrame({"q1": q.h1, "q2": q.h2, "limit": [f[1] for f in out]} | lists | {"cells": [f[2] for f in out], "verified": [f[3] for f in out]})
 
     def home(batches):
         for b in batches:
-            if len(b):
-                b["cell"] = tree.cell(tree.project(np.stack(b.x), query=True)).astype(np.int32)
-                b["cell"] = [c if c in sizes else cells[0] for c in b.cell]
-            else:
-                b["cell"] = np.zeros(0, np.int32)
+            own = tree.cell(tree.project(np.stack(b.x), query=True)) >> below if len(b) else np.zeros(0, np.int64)
+            b["branch"] = np.where(np.isin(own, branches), own, branches[0]).astype(np.int32)
             b["limit"] = np.full(len(b), np.inf)
             yield b
 
@@ -178,27 +192,27 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, confidence: float
         for b in batches:
             got = []
             for h1, h2, x, c, r, f in zip(b.h1, b.h2, b.x, b.home, b["limit"], b.n):
+                r = r if f >= top else np.inf
                 z = tree.project(x[None, :], query=True)[0]
-                near = (np.maximum(np.maximum(low - z, z - high), 0) ** 2).sum(1)
-                go = np.flatnonzero((f < top) | (near <= r * wide * (1 + 1e-9) + 1e-12))
-                got += [(h1, h2, x, c, cells[i], r if f >= top else np.inf) for i in go]
-            yield pd.DataFrame(got, columns=["h1", "h2", "x", "home", "cell", "limit"])
+                got += [(h1, h2, x, c, i, r) for i in np.unique(branches[near_boxes(z, r)])]
+            yield pd.DataFrame(got, columns=["h1", "h2", "x", "home", "branch", "limit"])
 
-    who = keep(classes.join(asked.select(*key).distinct(), key, "left_semi").select("h1", "h2", "x").mapInPandas(home, "h1 long, h2 long, x array<double>, cell int, limit double"))
-    asking = -(-who.count() // QUERY_ROWS)
+    who = keep(classes.join(asked.select(*key).distinct(), key, "left_semi").select("h1", "h2", "x").mapInPandas(home, "h1 long, h2 long, x array<double>, branch int, limit double"))
+    asking = max(1, -(-who.count() // QUERY_ROWS))
 
     def near(q: DataFrame) -> DataFrame:
-        base = index.withColumn("some", F.explode(F.sequence(F.lit(0), F.lit(max(asking, 1) - 1))))
-        q = q.withColumn("some", F.pmod("h1", F.lit(max(asking, 1))).cast("int"))
-        return base.groupBy("cell", "part", "some").cogroup(q.groupBy("cell", "part", "some")).applyInPandas(in_cell, answer)
+        base = index.withColumn("some", F.explode(F.sequence(F.lit(0), F.lit(asking - 1))))
+        q = q.withColumn("some", F.pmod("h1", F.lit(asking)).cast("int"))
+        return base.groupBy("branch", "part", "some").cogroup(q.groupBy("branch", "part", "some")).applyInPandas(in_branch, answer)
 
     first = keep(near(who.withColumn("part", F.lit(0))))
     bound = first.select(F.col("q1").alias("h1"), F.col("q2").alias("h2"), F.col("limit").alias("r"), F.size("ids").alias("n"))
-    rest = who.drop("limit").withColumnRenamed("cell", "home").join(bound, key, "left")
-    rest = rest.withColumn("limit", F.coalesce("r", F.lit(float("inf")))).withColumn("n", F.coalesce("n", F.lit(0))).drop("r").mapInPandas(others, "h1 long, h2 long, x array<double>, home int, cell int, limit double")
-    rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0), many.cast("int") - 1))).where("not (cell = home and part = 0)")
+    rest = who.drop("limit").withColumnRenamed("branch", "home").join(bound, key, "left")
+    rest = rest.withColumn("limit", F.coalesce("r", F.lit(float("inf")))).withColumn("n", F.coalesce("n", F.lit(0))).drop("r")
+    rest = rest.mapInPandas(others, "h1 long, h2 long, x array<double>, home int, branch int, limit double")
+    rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0), many - 1))).where("not (branch = home and part = 0)")
     answers = keep(first.unionByName(near(rest)))
-    cost = answers.groupBy("q1", "q2").agg(F.count("*").alias("cells"), F.sum("verified").alias("verified"))
+    cost = answers.groupBy("q1", "q2").agg(F.sum("cells").alias("cells"), F.sum("verified").alias("verified"))
     every = answers.select("q1", "q2", F.explode(F.arrays_zip("scores", "ids")).alias("f"))
     every = every.select("q1", "q2", F.col("f.scores").alias("score"), F.col("f.ids").alias("vec_id"))
     order = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id")
