@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from hashlib import sha256
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .agreement import alpha, label_counts
 
+#: Of 2^32, the numbers below which a Poisson variable with mean 1 is at most 0, 1, 2, ...
+CUTS = [int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+
 
 def draw(seed, *parts) -> Column:
     """An integer in [0, 2^32) that depends on the seed and the parts alone."""
@@ -23,96 +32,150 @@ def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(by_hash(seed, F.col(key)), key).limit(n)
 
 
-def _numbered_units(units: DataFrame) -> DataFrame:
-    """units with i = 0, 1, ... in order of unit. Ranges of units are numbered side by side."""
-    ranged = units.repartitionByRange("unit").sortWithinPartitions("unit").withColumn("p", F.spark_partition_id())
-    inside = ranged.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("unit")) - 1)
-    sizes = inside.groupBy("p").agg(F.count("*").alias("k"))
-    starts = sizes.withColumn("start", F.sum("k").over(Window.orderBy("p")) - F.col("k"))
-    return inside.join(starts.select("p", "start"), "p").withColumn("i", F.col("start") + F.col("r")).drop("p", "r", "start")
+def times(seed, reps: int, units) -> np.ndarray:
+    """How often each unit counts in each replicate, [units, reps]: Poisson with mean 1, the limit of drawing as many
+    units as there are with replacement. A replicate's number is 32 bits of sha256 of seed, unit and eighth."""
+    eighths = range(-(-reps // 8))
+    drawn = b"".join([sha256(f"{seed}|{u}|{k}".encode()).digest() for u in units for k in eighths])
+    return np.searchsorted(CUTS, np.frombuffer(drawn, ">u4"), side="right").astype(np.uint8).reshape(len(units), -1)[:, :reps]
+
+
+def _replicated(rows: DataFrame, unit, sums: dict[str, Column], reps: int, seed, by: Sequence[str] = (), label: Column | None = None) -> DataFrame:
+    """by, b and the sums over rows, each times its unit's count in replicate b; with label, also `same`: the sum of
+    t (t - 1) over the totals t of the first sum by label.
+
+    A task adds its rows to one array of replicates for each group and label, so what is shuffled are such arrays.
+    """
+    by, names = list(by), list(sums)
+    tag = F.lit("") if label is None else F.coalesce(F.concat(F.lit("="), label.cast("string")), F.lit("0"))
+    own = F.concat_ws("|", *by, unit) if by else unit.cast("string")
+    flat = rows.select(*by, F.coalesce(own, F.lit("")).alias("__u"), tag.alias("tag"), *[v.cast("double").alias(f"__{n}") for n, v in sums.items()])
+
+    def written(held: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*key, list(x)) for key, x in held.items()], columns=[*by, "tag", "x"])
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at : at + 1000]
+                code, unit = pd.factorize(part["__u"])
+                w = times(seed, reps, unit)[code].astype(np.float64)
+                for key, at_key in part.groupby([*by, "tag"], dropna=False, sort=False).indices.items():
+                    key = key if isinstance(key, tuple) else (key,)
+                    total = part.iloc[at_key][[f"__{n}" for n in names]].to_numpy().T @ w[at_key]
+                    held[key] = held[key] + total.ravel() if key in held else total.ravel()
+            if len(held) > 2000:
+                yield written(held)
+                held = {}
+        yield written(held)
+
+    plain = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in flat.select(*by).schema) if by else ""
+    parts = flat.mapInPandas(run, f"{plain}tag string, x array<double>").select(*by, "tag", F.posexplode("x").alias("p", "v"))
+    each = parts.groupBy(*by, "tag", F.pmod("p", F.lit(reps)).alias("b")).agg(*[F.sum(F.when(F.floor(F.col("p") / reps) == k, F.col("v"))).alias(n) for k, n in enumerate(names)])
+    same = [F.sum(F.col(names[0]) * (F.col(names[0]) - 1)).alias("same")] if label is not None else []
+    return each.groupBy(*by, "b").agg(*[F.sum(n).alias(n) for n in names], *same)
+
+
+def _interval(each: DataFrame, value: str, level: float) -> DataFrame:
+    return each.agg(F.percentile(value, F.lit(level / 2)).alias("low"), F.percentile(value, F.lit(1 - level / 2)).alias("high"), F.count(value).alias("reps"))
+
+
+def _nominal_replicates(c: DataFrame, reps: int, seed, by: Sequence[str]) -> DataFrame:
+    # of a unit's m rows, c of a label: sums over labels of c, and of what makes m (m - 1) - sum c (c - 1), by m - 1
+    sums = {"n": F.col("c"), "apart": F.col("c") - F.col("c") * (F.col("c") - 1) / (F.col("m") - 1)}
+    n = F.col("n")
+    each = _replicated(c, F.col("unit"), sums, reps, seed, by, F.col("label")).where("n > 1")
+    return each.select(*by, "b", alpha(F.col("apart") / n, (n * (n - 1) - F.col("same")) / (n * (n - 1))).alias("alpha"))
 
 
 def bootstrap_nominal(df: DataFrame, unit_col: str, label: str, reps: int, seed: int = 0, level: float = 0.05) -> DataFrame:
-    """point, low, high, reps: percentile interval of nominal alpha under resampling of units.
+    """low, high, reps: percentile interval of nominal alpha under resampling of units (see times()).
 
-    Duplicate draws of a unit are units of their own. All replicates are one table of (replicate, unit, times).
-    ValueError if fewer than two units have two rows.
+    A unit that counts twice is two units. Replicates without two rows are left out. ValueError if fewer than two
+    units have two rows.
     """
     c = label_counts(df, unit_col, label)
-    units = _numbered_units(c.groupBy("unit").agg(F.max("m").alias("m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same")))
-    g = units.count()
-    if g < 2:
+    if c.select("unit").distinct().limit(2).count() < 2:
         raise ValueError("a bootstrap needs at least two pairable units")
-    reps_df = df.sparkSession.range(reps).select(F.col("id").alias("b"))
-    draws = reps_df.crossJoin(df.sparkSession.range(g).select(F.col("id").alias("j")))  # reps a unit, by design
-    times = draws.select("b", F.pmod(draw(seed, F.col("b"), F.col("j")), F.lit(g)).alias("i")).groupBy("b", "i").agg(F.count("*").alias("w"))
-    drawn = times.join(units, "i")
-    n = F.sum(F.col("w") * F.col("m"))
-    obs = drawn.groupBy("b").agg(n.alias("n"), F.sum(F.col("w") * (F.col("m") * (F.col("m") - 1) - F.col("same")) / (F.col("m") - 1)).alias("apart"))
-    pool = drawn.select("b", "unit", "w").join(c.select("unit", "label", "c"), "unit").groupBy("b", "label").agg(F.sum(F.col("w") * F.col("c")).alias("c"))
-    pool = pool.groupBy("b").agg(F.sum(F.col("c") * (F.col("c") - 1)).cast("double").alias("same"))
-    size = F.col("n").cast("double")
-    each = obs.join(pool, "b").select(alpha(F.col("apart") / size, (size * (size - 1) - F.col("same")) / (size * (size - 1))).alias("alpha"))
-    return each.agg(F.percentile("alpha", F.lit(level / 2)).alias("low"), F.percentile("alpha", F.lit(1 - level / 2)).alias("high"), F.count("*").alias("reps"))
+    return _interval(_nominal_replicates(c, reps, seed, []), "alpha", level)
 
 
 def bootstrap_nominal_by(df: DataFrame, unit_col: str, label: str, by: str, reps: int, seed: int = 0) -> DataFrame:
-    """by, b, alpha: nominal alpha of each group under reps resamplings of the group's units.
-
-    Units are numbered over all groups by ranges, so a group that holds most of them is split too; a unit's draw
-    points to a place counted from its group's first. Groups with fewer than two pairable units are left out.
-    """
-    c = label_counts(df, unit_col, label, [by]).withColumnRenamed(by, "g")
-    units = c.groupBy(F.struct("g", "unit").alias("unit")).agg(F.max("m").alias("m"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same"))
-    units = _numbered_units(units).select("unit.g", "unit.unit", "m", "same", "i")
-    sizes = units.groupBy("g").agg(F.min("i").alias("first"), F.count("*").alias("size")).where("size >= 2")
-    units = units.join(sizes, "g").withColumn("i", F.col("i") - F.col("first"))
-    reps_df = df.sparkSession.range(reps).select(F.col("id").alias("b"))
-    draws = units.select("g", "i", "size").crossJoin(F.broadcast(reps_df))  # reps a unit, by design
-    times = draws.select("g", "b", F.pmod(draw(seed, F.col("g"), F.col("b"), F.col("i")), "size").alias("i")).groupBy("g", "b", "i").agg(F.count("*").alias("w"))
-    drawn = times.join(units, ["g", "i"])
-    obs = drawn.groupBy("g", "b").agg(F.sum(F.col("w") * F.col("m")).cast("double").alias("n"), F.sum(F.col("w") * (F.col("m") * (F.col("m") - 1) - F.col("same")) / (F.col("m") - 1)).alias("apart"))
-    pool = drawn.select("g", "b", "unit", "w").join(c.select("g", "unit", "label", "c"), ["g", "unit"]).groupBy("g", "b", "label").agg(F.sum(F.col("w") * F.col("c")).alias("c"))
-    pool = pool.groupBy("g", "b").agg(F.sum(F.col("c") * (F.col("c") - 1)).cast("double").alias("same"))
-    n = F.col("n")
-    return obs.join(pool, ["g", "b"]).select(F.col("g").alias(by), "b", alpha(F.col("apart") / n, (n * (n - 1) - F.col("same")) / (n * (n - 1))).alias("alpha"))
+    """by, b, alpha: nominal alpha of each group under reps resamplings of the group's units. Groups with fewer than
+    two pairable units are left out."""
+    c = label_counts(df, unit_col, label, [by])
+    several = c.groupBy(by).agg((F.min("unit") < F.max("unit")).alias("__two")).where("__two").select(by)
+    return _nominal_replicates(c, reps, seed, [by]).join(several, by, "left_semi")
 
 
-def bootstrap_mean(df: DataFrame, key: str, value: str, reps: int, seed: int = 0, level: float = 0.05) -> DataFrame:
-    """low, high: percentile interval of the mean of value under resampling of rows."""
-    rows = _numbered_units(df.select(F.col(key).alias("unit"), value))
-    n = rows.count()
-    spark = df.sparkSession
-    draws = spark.range(reps).select(F.col("id").alias("b")).crossJoin(spark.range(n).select(F.col("id").alias("j")))  # reps a row, by design
-    times = draws.select("b", F.pmod(draw(seed, F.col("b"), F.col("j")), F.lit(n)).alias("i")).groupBy("b", "i").agg(F.count("*").alias("w"))
-    means = times.join(rows, "i").groupBy("b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
-    return means.agg(F.percentile("m", F.lit(level / 2)).alias("low"), F.percentile("m", F.lit(1 - level / 2)).alias("high"))
+def bootstrap_mean(df: DataFrame, key: str, values: list[str], reps: int, seed: int = 0, level: float = 0.05) -> DataFrame:
+    """value, low, high: percentile interval of the mean of each column under resampling of rows, told apart by key."""
+    sums = {"w": F.lit(1)} | {f"s{k}": F.col(v) for k, v in enumerate(values)}
+    each = _replicated(df, F.col(key), sums, reps, seed).where("w > 0")
+    long = each.select("w", F.explode(F.array(*[F.struct(F.lit(v).alias("value"), (F.col(f"s{k}") / F.col("w")).alias("m")) for k, v in enumerate(values)])).alias("x"))
+    return _interval(long.select("x.*").groupBy("value"), "m", level).drop("reps")
 
 
-def bootstrap_semantic(df: DataFrame, unit_col: str, vec: str, reps: int, seed: int = 0, level: float = 0.05) -> DataFrame:
-    """Like bootstrap_nominal, for squared cosine distance: replicate-weighted sums of outer products.
+def bootstrap_semantic(df: DataFrame, unit_col: str, vec: str, reps: int, seed: int = 0, level: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """Like bootstrap_nominal, for squared cosine distance; by: groups of units, each with its interval.
 
-    Units' own sums are made once. Every task adds its vectors, times their units' weights, to one matrix for
-    each replicate, so memory goes with the replicates of a block, not with units.
+    Units' own sums are made once. A task adds its vectors' outer products, times their units' counts, to one matrix
+    for each replicate, some replicates a pass where vectors are long, and vectors aren't shuffled for it.
     """
-    from .agreement import _distances, _unit_vectors, pooled
+    from .agreement import _distances, _unit_vectors
 
-    x = _unit_vectors(df, unit_col, vec, ())
-    units = _numbered_units(_distances(x, ()))
-    g = units.count()
-    if g < 2:
+    by = list(by)
+    x = _unit_vectors(df, unit_col, vec, by)
+    units = _distances(x, by)
+    if units.limit(2).count() < 2:
         raise ValueError("a bootstrap needs at least two pairable units")
-    spark = df.sparkSession
-    draws = spark.range(reps).select(F.col("id").alias("b")).crossJoin(spark.range(g).select(F.col("id").alias("j")))  # reps a unit, by design
-    times = draws.select("b", F.pmod(draw(seed, F.col("b"), F.col("j")), F.lit(g)).alias("i")).groupBy("b", "i").agg(F.count("*").alias("w"))
-    drawn = times.join(units.select("i", "unit", "m", "total"), "i")
-    size = F.sum(F.col("w") * F.col("m")).cast("double")
-    obs = drawn.groupBy("b").agg(size.alias("n"), F.sum(F.col("w") * F.col("total") / (F.col("m") - 1)).alias("apart"))
-    rows = drawn.select("b", "unit", "w").join(x.select("unit", "x"), "unit")
-    pool = pooled(rows.select("b", "x", "w"), "x", ["b"], weight="w").select("b", F.col("total").alias("pool"))
+    obs = _replicated(units, F.col("unit"), {"n": F.col("m"), "apart": F.col("total") / (F.col("m") - 1)}, reps, seed, by).where("n > 1")
+    d = x.select(F.size("x")).first()[0]
+    own = F.coalesce(F.concat_ws("|", *by, "unit") if by else F.col("unit").cast("string"), F.lit("")).alias("__u")
+    flat = x.select(*by, own, "x")
+    plain = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in flat.select(*by).schema) if by else ""
+    at_once, cut = max(1, 4_000_000 // (d + 1) ** 2), 8192
+
+    def matrices(first: int, last: int):
+        def written(held: dict) -> pd.DataFrame:
+            rows = [(*key, first + b, k, m.ravel()[k : k + cut]) for key, a in held.items() for b, m in enumerate(a) for k in range(0, (d + 1) ** 2, cut)]
+            return pd.DataFrame(rows, columns=[*by, "b", "k", "row"])
+
+        def run(batches):
+            held: dict = {}
+            for batch in batches:
+                for key, g in batch.groupby(by, dropna=False, sort=False) if by else [((), batch)]:
+                    if not len(g):
+                        continue
+                    code, unit = pd.factorize(g["__u"])
+                    w = times(seed, reps, unit)[code, first:last].astype(np.float64)
+                    v = np.concatenate([np.stack(g.x), np.ones((len(g), 1))], 1)
+                    a = held.setdefault(key, np.zeros((last - first, d + 1, d + 1)))
+                    for b in range(last - first):
+                        a[b] += (v * w[:, b, None]).T @ v
+                if len(held) > 8:
+                    yield written(held)
+                    held = {}
+            yield written(held)
+
+        return (flat.sortWithinPartitions(*by) if by else flat).mapInPandas(run, f"{plain}b int, k int, row array<double>")
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        row = np.sum(np.stack(g.row), 0)
+        i, j = np.divmod(int(g.k.iloc[0]) + np.arange(len(row)), d + 1)
+        square, linear = (row[(i < d) & (j < d)] ** 2).sum(), (row[(i == d) & (j < d)] ** 2).sum()
+        return pd.DataFrame([[*(g[c].iloc[0] for c in [*by, "b"]), square - 2 * linear]], columns=[*by, "b", "part"])
+
+    parts = None
+    for first in range(0, reps, at_once):
+        some = matrices(first, min(reps, first + at_once))
+        parts = some if parts is None else parts.union(some)
+    pool = parts.groupBy(*by, "b", "k").applyInPandas(add, f"{plain}b int, part double").groupBy(*by, "b").agg(F.sum("part").alias("part"))
     n = F.col("n")
-    each = obs.join(pool, "b").select(alpha(F.col("apart") / n, F.col("pool") / (n * (n - 1))).alias("alpha"))
-    return each.agg(F.percentile("alpha", F.lit(level / 2)).alias("low"), F.percentile("alpha", F.lit(1 - level / 2)).alias("high"), F.count("*").alias("reps"))
+    both = obs.withColumn("b", F.col("b").cast("int")).join(pool, [*by, "b"])
+    each = both.select(*by, alpha(F.col("apart") / n, (n * n + F.col("part")) / (n * (n - 1))).alias("alpha"))
+    return _interval(each.groupBy(*by) if by else each, "alpha", level)
 
 
 def noisy_subset(df: DataFrame, key: str, rate: float, seed: int, even: bool = False) -> tuple[DataFrame, int]:

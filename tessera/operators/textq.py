@@ -41,21 +41,27 @@ def flag_truncated(df: DataFrame, text: str, dictionary: DataFrame | None = None
     """df with truncated: the text doesn't end in .!? and its last word is rare, while longer words that begin
     with it are common; words of 4 letters or more of the dictionary (column word) are never cut words.
 
-    Word counts are one aggregate; each distinct word then gives its count to its proper prefixes.
+    Word counts are one aggregate. Only rare words that end a text without a mark are asked for, so each other distinct
+    word is cut to the few lengths that those have, and cuts that aren't among them go before they are added up.
     """
-    tokens = df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    low = F.lower(text)
+    tokens = df.select(F.explode(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0))).alias("w"))
     vocabulary = tokens.groupBy("w").agg(F.count("*").alias("c"))
-    long = vocabulary.where(F.length("w") > 1)
-    prefixes = long.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda k: F.substr("w", F.lit(1), k))).alias("p"), "c")
-    extensions = prefixes.groupBy("p").agg(F.sum("c").alias("x"))
-    tails = df.withColumn("w", F.try_element_at(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), F.lit(-1)))
-    out = tails.join(vocabulary, "w", "left").join(extensions.withColumnRenamed("p", "w"), "w", "left")
-    flag = no_terminal(F.col(text)) & F.col("w").isNotNull() & (F.coalesce("c", F.lit(0)) <= rare) & (F.coalesce("x", F.lit(0)) >= common)
+    # the last word is the first of the text read backwards
+    last = F.reverse(F.regexp_extract(F.reverse(low), "^[^a-z]*+([a-z]++)", 1))
+    tails = df.withColumn("w", F.when(no_terminal(F.col(text)), F.nullif(last, F.lit(""))))
+    asked = tails.select("w").where("w is not null").distinct().join(vocabulary.where(F.col("c") <= rare), "w")
+    sizes = F.broadcast(asked.agg(F.collect_set(F.length("w")).alias("sizes")))
+    cuts = vocabulary.crossJoin(sizes).select("w", "c", F.explode(F.filter("sizes", lambda k: k < F.length("w"))).alias("k"))
+    cuts = cuts.select(F.substr("w", F.lit(1), F.col("k")).alias("w"), F.col("c").alias("x"))
+    found = cuts.join(asked.select("w"), "w", "left_semi").groupBy("w").agg(F.sum("x").alias("x")).where(F.col("x") >= common)
+    out = tails.join(found, "w", "left")
+    flag = F.col("x").isNotNull()
     if dictionary is not None:
         known = dictionary.select(F.col("word").alias("w"), F.lit(True).alias("known")).distinct()
         out = out.join(known, "w", "left")
         flag = flag & ~((F.length("w") >= 4) & F.coalesce("known", F.lit(False)))
-    return out.withColumn("truncated", F.coalesce(flag, F.lit(False))).drop("w", "c", "x", "known")
+    return out.withColumn("truncated", F.coalesce(flag, F.lit(False))).drop("w", "x", "known")
 
 
 def length_distribution(df: DataFrame, text: str) -> DataFrame:

@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import agreement, knn, pooling, rank, resample, textq, tfidf
 from ..sources import report, synthetic
 from ..sources.tables import table
-from .catalog import _DIS, _NEAREST_LABEL, _SUBSET, _TEXTS, _TRUNC_SQL, ORACLES, _disagreement, _graph_sql, _nominal_sql, _texts, query, rounded
+from .catalog import _DIS, _NEAREST_LABEL, _SUBSET, _TEXTS, _TRUNC_SQL, ORACLES, _disagreement, _graph_sql, _nominal_sql, _texts, chi2_p_sql, query, rounded, weights_sql
 
 # --- labs under resampling -----------------------------------------------------------------------------------
 
-_LABS = """
+_LABS = f"""
 WITH c AS (SELECT l_orderkey % 7 AS g, l_orderkey AS u, l_returnflag AS l, count(*) AS c FROM lineitem GROUP BY ALL),
 p AS (SELECT * FROM (SELECT *, sum(c) OVER (PARTITION BY g, u) AS m FROM c) WHERE m >= 2),
-pu AS (SELECT g, u, max(m) AS m, sum(c * (c - 1)) AS same FROM p GROUP BY g, u),
-un AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY u) - 1 AS i, count(*) OVER (PARTITION BY g) AS size FROM pu),
-dw AS (SELECT g, b, ('0x' || substr(md5('0|' || g || '|' || b || '|' || i), 1, 8))::BIGINT % size AS t FROM un, range(20) r(b)),
-w AS (SELECT g, b, t AS i, count(*) AS w FROM dw GROUP BY ALL), dr AS (SELECT * FROM w JOIN un USING (g, i)),
+un AS (SELECT g, u, max(m) AS m, sum(c * (c - 1)) AS same FROM p GROUP BY g, u), dr AS (SELECT * FROM {weights_sql("un", 300, 0, "g || '|' || u")} WHERE w > 0),
 o AS (SELECT g, b, sum(w * m)::DOUBLE AS n, sum(w * (m * (m - 1) - same) / (m - 1)::DOUBLE) AS apart FROM dr GROUP BY g, b),
 e AS (SELECT g, b, sum(t * (t - 1))::DOUBLE AS same FROM (SELECT g, b, l, sum(w * c) AS t FROM dr JOIN p USING (g, u) GROUP BY g, b, l) GROUP BY g, b),
 a AS (SELECT g AS lab, b, round(1 - (apart / n) / ((n * (n - 1) - same) / (n * (n - 1))), 10) AS alpha FROM o JOIN e USING (g, b)),
@@ -26,7 +23,7 @@ ci AS (SELECT lab, quantile_cont(alpha, 0.025) AS low, quantile_cont(alpha, 0.97
 
 def _by_lab(spark, d):
     rows = table(spark, d, "lineitem").withColumn("lab", F.col("l_orderkey") % 7)
-    each = resample.bootstrap_nominal_by(rows, "l_orderkey", "l_returnflag", "lab", 20).withColumn("alpha", F.round("alpha", 10))
+    each = resample.bootstrap_nominal_by(rows, "l_orderkey", "l_returnflag", "lab", 300).withColumn("alpha", F.round("alpha", 10))
     at = lambda q: F.percentile("alpha", F.lit(q))
     return rows, each, each.groupBy("lab").agg(at(0.025).alias("low"), at(0.975).alias("high"), F.count("*").alias("reps"))
 
@@ -63,12 +60,13 @@ def extreme_labs(spark, d):
 
 
 @query("""WITH c AS (SELECT year(o_orderdate) AS g, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS k FROM orders GROUP BY 1 HAVING count(*) >= 200),
-t AS (SELECT *, (sum(n) OVER ())::DOUBLE AS nn, (sum(k) OVER ())::DOUBLE AS kk FROM c), o AS (SELECT k AS o, n * kk / nn AS e FROM t UNION ALL SELECT n - k, n * (nn - kk) / nn FROM t)
-SELECT round(sum(power(o - e, 2) / e), 8) AS statistic, (count(*) // 2 - 1)::BIGINT AS dof, count(*) FILTER (e < 5) AS expected_under_5 FROM o""")
+t AS (SELECT *, (sum(n) OVER ())::DOUBLE AS nn, (sum(k) OVER ())::DOUBLE AS kk FROM c), o AS (SELECT k AS o, n * kk / nn AS e FROM t UNION ALL SELECT n - k, n * (nn - kk) / nn FROM t),
+r AS (SELECT sum(power(o - e, 2) / e) AS x, (count(*) // 2 - 1)::BIGINT AS k, count(*) FILTER (e < 5) AS expected_under_5 FROM o)
+SELECT round(x, 8) AS statistic, k AS dof, expected_under_5, round(""" + chi2_p_sql("x", "k") + ", 8) AS p FROM r")
 def chi2_period(spark, d):
     rows = table(spark, d, "orders").select(F.year("o_orderdate").alias("period"), (F.col("o_orderstatus") == "F").alias("flag"))
     large = rows.groupBy("period").count().where("count >= 200").select("period")
-    return rounded(textq.contingency(rows.join(large, "period", "left_semi"), "period", "flag").drop("p"))
+    return rounded(textq.contingency(rows.join(large, "period", "left_semi"), "period", "flag"))
 
 
 @query(_TRUNC_SQL + " SELECT count(*) AS n, count(DISTINCT length(t)) AS lengths, round(count(DISTINCT length(t)) / count(*), 8) AS concentration FROM f WHERE truncated")
@@ -160,20 +158,13 @@ def tfidf_word_grams(spark, d):
 @query(f"""
 WITH x AS (SELECT doc_id AS k, lower(t) AS t FROM {_TEXTS}), n AS (SELECT count(*) AS n FROM x),
 tf AS (SELECT k, tok, count(*)::DOUBLE AS tf FROM (SELECT k, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS tok FROM x) GROUP BY ALL),
-df AS (SELECT tok, count(*) AS df, sum(tf) AS total FROM tf GROUP BY tok ORDER BY total DESC, tok LIMIT 5000),
+df AS (SELECT tok, count(*) AS df, sum(tf) AS total FROM tf GROUP BY tok),
 i AS (SELECT tok, ln((1 + n) / (1 + df)) + 1 AS idf FROM df, n), w AS (SELECT k, tok, tf * idf AS x FROM tf JOIN i USING (tok)),
 q AS (SELECT qi, tok, tf * idf AS w FROM (SELECT item_id AS qi, tok, count(*)::DOUBLE AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS tok FROM benchmark WHERE item_id % 100 = 0) GROUP BY ALL) JOIN i USING (tok)),
 s AS (SELECT qi, k, sum(x * w) AS s FROM w JOIN q USING (tok) GROUP BY ALL), a AS (SELECT k, sqrt(sum(x * x)) AS a FROM w GROUP BY k), b AS (SELECT qi, sqrt(sum(w * w)) AS b FROM q GROUP BY qi),
 r AS (SELECT qi, k, round_even(s / (a * b), 12) AS score FROM s JOIN a USING (k) JOIN b USING (qi))
 SELECT qi AS query, (row_number() OVER (PARTITION BY qi ORDER BY score DESC, k))::INT AS rank, k AS doc_id, round(score, 8) AS score FROM r QUALIFY rank <= 10""")
 def text_search(spark, d):
-    asked = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query"), F.col("text").alias("t"))
-    return rounded(tfidf.search(_texts(spark, d), "doc_id", "t", asked, max_features=5000))
-
-
-@query(ORACLES["text_search"].replace(" ORDER BY total DESC, tok LIMIT 5000", ""))
-def text_search_whole(spark, d):
-    """The search over all words; text_search keeps to the 5000 words of its SQL."""
     asked = table(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query"), F.col("text").alias("t"))
     return rounded(tfidf.search(_texts(spark, d), "doc_id", "t", asked))
 

@@ -30,6 +30,35 @@ def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _integral(f: str, upper: str) -> str:
+    """Simpson's rule over [0, upper] with 4000 steps; f is of s."""
+    return f"(SELECT sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({f})) * max(h) / 12000 FROM (SELECT i, h, h * i / 4000 AS s FROM range(4001) r(i), (SELECT {upper} AS h)))"
+
+
+def normal_p_sql(z: str) -> str:
+    """Two-sided p of a standard normal z >= 0."""
+    return f"greatest(0, 1 - 2 * {_integral('exp(-s * s / 2)', z)} / sqrt(2 * pi()))"
+
+
+def chi2_p_sql(x: str, k: str) -> str:
+    """Upper tail of chi-square with k degrees, by x = s^2."""
+    return f"greatest(0, 1 - {_integral(f'pow(s, {k} - 1) * exp(-s * s / 2)', f'sqrt({x})')} * 2 / pow(2, {k} / 2.0) / exp(lgamma({k} / 2.0)))"
+
+
+def t_p_sql(t: str, k: str) -> str:
+    """Two-sided p of Student's t with k degrees, by t = sqrt(k) tan s."""
+    return f"greatest(0, 1 - 2 * {_integral(f'pow(cos(s), {k} - 1)', f'atan(abs({t}) / sqrt({k}))')} * exp(lgamma(({k} + 1) / 2.0) - lgamma({k} / 2.0)) / sqrt(pi()))"
+
+
+def weights_sql(units: str, reps: int, seed: int, unit: str = "u") -> str:
+    """Columns of `units`, b and w: resample.times() for each of its rows and replicates."""
+    number = "('0x' || substr(h, 1 + 8 * (b % 8), 8))::BIGINT"
+    count = " + ".join(f"(x >= {c})::INT" for c in resample.CUTS)
+    hashed = f"SELECT *, sha256('{seed}|' || ({unit}) || '|' || k) AS h FROM {units}, (SELECT unnest(range({-(-reps // 8)})) AS k)"
+    drawn = f"SELECT * EXCLUDE (h, k), {number} AS x FROM ({hashed}) JOIN (SELECT unnest(range({reps})) AS b) ON b // 8 = k"
+    return f"(SELECT * EXCLUDE (x), {count} AS w FROM ({drawn}))"
+
+
 # --- agreement ---------------------------------------------------------------------------------------------
 
 
@@ -143,20 +172,16 @@ def fleiss_kappa_orders(spark, d):
     return rounded(agreement.fleiss_kappa(rows.join(three, "l_orderkey", "left_semi"), "l_orderkey", "l_returnflag"))
 
 
-@query("""
+@query(f"""
 WITH c AS (SELECT l_orderkey AS u, l_returnflag AS l, count(*) AS c FROM lineitem GROUP BY ALL),
 p AS (SELECT * FROM (SELECT *, sum(c) OVER (PARTITION BY u) AS m FROM c) WHERE m >= 2),
-un AS (SELECT u, max(m) AS m, sum(c * (c - 1)) AS same, row_number() OVER (ORDER BY u) - 1 AS i FROM p GROUP BY u),
-g AS (SELECT count(*) AS g FROM un),
-w AS (SELECT b, ('0x' || substr(md5('0|' || b || '|' || j), 1, 8))::BIGINT % g AS i, count(*) AS w
-      FROM range(20) r(b), (SELECT unnest(range(g)) AS j, g FROM g) GROUP BY ALL),
-dr AS (SELECT * FROM w JOIN un USING (i)),
+un AS (SELECT u, max(m) AS m, sum(c * (c - 1)) AS same FROM p GROUP BY u), dr AS (SELECT * FROM {weights_sql("un", 1000, 0)} WHERE w > 0),
 o AS (SELECT b, sum(w * m)::DOUBLE AS n, sum(w * (m * (m - 1) - same) / (m - 1)::DOUBLE) AS apart FROM dr GROUP BY b),
 e AS (SELECT b, sum(t * (t - 1))::DOUBLE AS same FROM (SELECT b, l, sum(w * c) AS t FROM dr JOIN p USING (u) GROUP BY b, l) GROUP BY b),
-a AS (SELECT 1 - (apart / n) / ((n * (n - 1) - same) / (n * (n - 1))) AS alpha FROM o JOIN e USING (b))
+a AS (SELECT 1 - (apart / n) / ((n * (n - 1) - o_same) / (n * (n - 1))) AS alpha FROM (SELECT o.*, e.same AS o_same FROM o JOIN e USING (b)))
 SELECT round(quantile_cont(alpha, 0.025), 8) AS low, round(quantile_cont(alpha, 0.975), 8) AS high, count(*) AS reps FROM a""")
 def bootstrap_ci_nominal(spark, d):
-    return rounded(resample.bootstrap_nominal(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", 20))
+    return rounded(resample.bootstrap_nominal(table(spark, d, "lineitem"), "l_orderkey", "l_returnflag", 1000))
 
 
 # --- text ----------------------------------------------------------------------------------------------------
@@ -220,10 +245,11 @@ def flag_truncated(spark, d):
 
 @query(_TRUNC_SQL + """, c AS (SELECT source AS g, count(*) AS n, count(*) FILTER (truncated) AS k FROM f GROUP BY 1),
 t AS (SELECT *, (sum(n) OVER ())::DOUBLE AS nn, (sum(k) OVER ())::DOUBLE AS kk FROM c),
-o AS (SELECT k AS o, n * kk / nn AS e FROM t UNION ALL SELECT n - k, n * (nn - kk) / nn FROM t)
-SELECT round(sum(power(o - e, 2) / e), 8) AS statistic, (count(*) // 2 - 1)::BIGINT AS dof, count(*) FILTER (e < 5) AS expected_under_5 FROM o""")
+o AS (SELECT k AS o, n * kk / nn AS e FROM t UNION ALL SELECT n - k, n * (nn - kk) / nn FROM t),
+r AS (SELECT sum(power(o - e, 2) / e) AS x, (count(*) // 2 - 1)::BIGINT AS k, count(*) FILTER (e < 5) AS expected_under_5 FROM o)
+SELECT round(x, 8) AS statistic, k AS dof, expected_under_5, round(""" + chi2_p_sql("x", "k") + ", 8) AS p FROM r")
 def chi2_lab(spark, d):
-    return rounded(textq.contingency(textq.flag_truncated(_texts(spark, d), "t"), "source", "truncated").drop("p"))
+    return rounded(textq.contingency(textq.flag_truncated(_texts(spark, d), "t"), "source", "truncated"))
 
 
 @query(f"""WITH b AS (SELECT 'chars' AS measure, length(t) AS v FROM {_TEXTS} UNION ALL SELECT 'words', len(list_filter(string_split(t, ' '), lambda w: w <> '')) FROM {_TEXTS})
@@ -259,11 +285,12 @@ WITH x AS (SELECT l_quantity::DOUBLE AS v, l_returnflag = 'R' AS f FROM lineitem
 c AS (SELECT v, count(*)::DOUBLE AS t, count(*) FILTER (f) AS a FROM x GROUP BY v),
 r AS (SELECT *, sum(t) OVER (ORDER BY v) - (t - 1) / 2 AS mid FROM c),
 s AS (SELECT sum(a * mid) AS r1, sum(a)::BIGINT AS n1, (sum(t) - sum(a))::BIGINT AS n2, sum(t * t * t - t) AS ties, sum(t) AS n FROM r),
-u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM s)
-SELECT round(u, 8) AS u, n1, n2, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))), 8) AS z FROM u""")
+u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM s),
+z AS (SELECT u, n1, n2, (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))) AS z FROM u)
+SELECT round(u, 8) AS u, n1, n2, round(z, 8) AS z, round(least(1, """ + normal_p_sql("z") + "), 8) AS p FROM z")
 def mann_whitney_quantity(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("v"), (F.col("l_returnflag") == "R").alias("f"))
-    return rounded(textq.mann_whitney(rows, "v", "f").drop("p"))
+    return rounded(textq.mann_whitney(rows, "v", "f"))
 
 
 _EXCLUDED = f"""(SELECT k.name AS class, x.source, x.t FROM {_TEXTS} x, (VALUES ('all'), ('junk'), ('non_answer')) k(name)
@@ -389,13 +416,13 @@ def overlap_summary(spark, d):
 
 
 @query(f"""
-WITH s AS (SELECT vec_id AS id, {_A}::DOUBLE[] AS a, {_B}::DOUBLE[] AS b FROM embeddings ORDER BY md5('0|' || vec_id), vec_id LIMIT 200),
+WITH s AS (SELECT vec_id AS id, {_A}::DOUBLE[] AS a, {_B}::DOUBLE[] AS b FROM embeddings ORDER BY md5('0|' || vec_id), vec_id LIMIT 2000),
 u AS (SELECT id, a, b, sqrt(list_dot_product(a, a)) AS na, sqrt(list_dot_product(b, b)) AS nb FROM s),
 p AS (SELECT 1 - list_dot_product(x.a, y.a) / (x.na * y.na) AS da, 1 - list_dot_product(x.b, y.b) / (x.nb * y.nb) AS db FROM u x JOIN u y ON x.id < y.id),
 r AS (SELECT rank() OVER (ORDER BY da) + (count(*) OVER (PARTITION BY da) - 1) / 2.0 AS ra, rank() OVER (ORDER BY db) + (count(*) OVER (PARTITION BY db) - 1) / 2.0 AS rb FROM p)
 SELECT round(corr(ra, rb), 8) AS rho, count(*) AS n FROM r""")
 def rank_corr_views(spark, d):
-    s = resample.sample(_views(spark, d), "vec_id", 200, 0)
+    s = resample.sample(_views(spark, d), "vec_id", 2000, 0)
     return rounded(knn.spearman(knn.pairwise(s, "vec_id", "a", "b"), "da", "db"))
 
 
@@ -557,11 +584,12 @@ def specificity_block(spark, d):
 
 
 @query("""WITH p AS (SELECT (l_linenumber / 10.0)::DOUBLE AS rate, avg(l_discount::DOUBLE) AS score FROM lineitem GROUP BY 1), s AS (SELECT regr_slope(score, rate) AS slope, regr_intercept(score, rate) AS intercept, corr(score, rate) AS r,
- regr_sxx(score, rate) AS sxx, regr_syy(score, rate) AS syy, count(*) AS n FROM p)
-SELECT round(slope, 8) AS slope, round(intercept, 8) AS intercept, round(r, 8) AS r, round(sqrt(greatest(0, 1 - r * r) * syy / sxx / (n - 2)), 8) AS stderr, n FROM s""")
+ regr_sxx(score, rate) AS sxx, regr_syy(score, rate) AS syy, count(*) AS n FROM p),
+e AS (SELECT *, sqrt(greatest(0, 1 - r * r) * syy / sxx / (n - 2)) AS se FROM s)
+SELECT round(slope, 8) AS slope, round(intercept, 8) AS intercept, round(r, 8) AS r, round(se, 8) AS stderr, n, round(""" + t_p_sql("(slope / se)", "(n - 2)") + ", 8) AS p FROM e")
 def degradation_curve(spark, d):
     p = table(spark, d, "lineitem").groupBy((F.col("l_linenumber") / 10.0).alias("rate")).agg(F.avg(F.col("l_discount").cast("double")).alias("score"))
-    return rounded(rank.fit_line(p).drop("p"))
+    return rounded(rank.fit_line(p))
 
 
 # --- pooling, frames, ingestion ----------------------------------------------------------------------------------

@@ -8,22 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, snap, unit
 from ..operators import agreement, knn, pooling, rank, resample, textq
 from ..sources.tables import table
-from .catalog import _A, _B, _DIS, _END_SQL, _NA_SQL, _TEXTS, _UNITS_SQL, _disagreement, _graph_sql, _nominal_sql, _texts, _triples, _views, query, rounded
+from .catalog import _A, _B, _DIS, _END_SQL, _NA_SQL, _TEXTS, _UNITS_SQL, _disagreement, _graph_sql, _nominal_sql, _texts, _triples, _views, query, rounded, weights_sql
 
 
-@query("""
+@query(f"""
 WITH x AS (SELECT vec_id // 3 AS u, vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM (SELECT *, count(*) OVER (PARTITION BY u) AS m FROM x) WHERE m >= 2),
-un AS (SELECT u, any_value(m) AS m, row_number() OVER (ORDER BY u) - 1 AS i FROM p GROUP BY u), g AS (SELECT count(*) AS g FROM un),
-w AS (SELECT b, ('0x' || substr(md5('0|' || b || '|' || j), 1, 8))::BIGINT % g AS i, count(*) AS w FROM range(10) r(b), (SELECT unnest(range(g)) AS j, g FROM g) GROUP BY ALL),
-wu AS (SELECT b, u, w, m FROM w JOIN un USING (i)),
+un AS (SELECT u, any_value(m) AS m FROM p GROUP BY u), wu AS (SELECT * FROM {weights_sql("un", 300, 0)} WHERE w > 0),
 d AS (SELECT a.u AS ua, b.u AS ub, sum(power(1 - list_dot_product(a.v, b.v) / (a.n * b.n), 2)) AS d FROM p a JOIN p b ON a.k <> b.k GROUP BY 1, 2),
 o AS (SELECT b, sum(w * d / (m - 1)) AS apart, sum(w * m)::DOUBLE AS n FROM wu JOIN d ON ua = u AND ub = u GROUP BY b),
 e AS (SELECT x.b, sum(x.w * y.w * d) AS total FROM wu x JOIN wu y ON x.b = y.b JOIN d ON ua = x.u AND ub = y.u GROUP BY x.b),
 a AS (SELECT 1 - (apart / n) / (total / (n * (n - 1))) AS alpha FROM o JOIN e USING (b))
 SELECT round(quantile_cont(alpha, 0.025), 8) AS low, round(quantile_cont(alpha, 0.975), 8) AS high, count(*) AS reps FROM a""")
 def bootstrap_ci_semantic(spark, d):
-    return rounded(resample.bootstrap_semantic(_triples(spark, d), "u", "embedding", 10))
+    return rounded(resample.bootstrap_semantic(_triples(spark, d), "u", "embedding", 300))
 
 
 @query(_nominal_sql("(SELECT *, l_orderkey % 7 AS lab FROM lineitem)", "l_orderkey", "l_returnflag", "lab").replace("FROM r", "FROM r WHERE n_units >= 30 ORDER BY alpha DESC, lab LIMIT 3"))
@@ -177,15 +175,18 @@ def suspect_controls(spark, d):
     return resample.sample(s.join(rank.top(s, 200).select("id"), "id", "left_anti").select("id"), "id", 10, 9)
 
 
-@query("WITH " + _graph_sql("embedding", 10, "g") + """, p AS (SELECT id, avg((label = nlabel)::INT) AS p FROM g GROUP BY id), i AS (SELECT p, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM p),
-w AS (SELECT b, ('0x' || substr(md5('3|' || b || '|' || j), 1, 8))::BIGINT % n AS i FROM range(40) r(b), (SELECT unnest(range(n)) AS j, n FROM (SELECT count(*) AS n FROM p))),
-m AS (SELECT b, avg(p) AS m FROM w JOIN i USING (i) GROUP BY b)
-SELECT round(quantile_cont(m, 0.025), 8) AS low, round(quantile_cont(m, 0.975), 8) AS high FROM m""")
+_PURITY_KS = (1, 5, 10, 25)
+
+
+@query("WITH " + _graph_sql("embedding", 25, "g") + f""", p AS (SELECT id, {", ".join(f"avg((label = nlabel)::INT) FILTER (rank <= {k}) AS p{k}" for k in _PURITY_KS)} FROM g GROUP BY id),
+m AS (SELECT b, {", ".join(f"sum(w * p{k}) / sum(w) AS p{k}" for k in _PURITY_KS)} FROM {weights_sql("p", 1000, 3, "id")} GROUP BY b)
+""" + " UNION ALL ".join(f"SELECT {k} AS k, round(quantile_cont(p{k}, 0.025), 8) AS low, round(quantile_cont(p{k}, 0.975), 8) AS high FROM m" for k in _PURITY_KS))
 def purity_bootstrap(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    g = knn.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 10).join(rows, "id").join(rows.select(F.col("id").alias("nbr"), F.col("label").alias("nl")), "nbr")
-    each = g.groupBy("id").agg(F.avg((F.col("label") == F.col("nl")).cast("double")).alias("score"))
-    return rounded(resample.bootstrap_mean(each, "id", "score", 40, 3))
+    g = knn.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", 25).join(rows, "id").join(rows.select(F.col("id").alias("nbr"), F.col("label").alias("nl")), "nbr")
+    same = (F.col("label") == F.col("nl")).cast("double")
+    each = g.groupBy("id").agg(*[F.avg(F.when(F.col("rank") <= k, same)).alias(str(k)) for k in _PURITY_KS])
+    return rounded(resample.bootstrap_mean(each, "id", [str(k) for k in _PURITY_KS], 1000, 3).withColumn("k", F.col("value").cast("int")).drop("value"))
 
 
 @query("""SELECT vec_id, split_part('lab' || (vec_id % 5) || '+' || label || '+2024-0' || (vec_id % 9 + 1) || '-11', '+', 1) AS lab, '2024-0' || (vec_id % 9 + 1) AS month, 'cam_' || label AS slug FROM embeddings""")
