@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import t_two_sided
 from .knn import spearman
+from .ordered import ranked
 from .resample import by_hash
 from .textq import midranks
 
 
 def ensemble(scores: DataFrame) -> DataFrame:
     """id, score: minus the mean over encoders of the row's falling mid-rank. scores: encoder, id, score."""
-    counts = scores.groupBy("encoder", "score").agg(F.count("*").alias("k"))
-    order = Window.partitionBy("encoder").orderBy(F.desc("score"))
-    ranks = counts.withColumn("rank", F.sum("k").over(order) - (F.col("k") - 1) / 2)
-    return scores.join(ranks, ["encoder", "score"]).groupBy("id").agg((-F.avg("rank")).alias("score"))
+    return midranks(scores, "score", descending=True, by="encoder").groupBy("id").agg((-F.avg("rank")).alias("score"))
+
+
+def places(scores: DataFrame, seed: int = 0) -> DataFrame:
+    """id, score, rank of all rows by falling score, ties in an order that the seed draws."""
+    return ranked(scores.withColumn("__h", by_hash(seed, F.col("id"))), [F.desc("score"), F.asc("__h"), F.asc("id")], "rank").drop("__h")
 
 
 def top(scores: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -103,27 +106,40 @@ def predicted_cost(slope: float, rate: float) -> float:
     return -slope * rate
 
 
-def swap_calibration(rows: DataFrame, graph: DataFrame, key: str, label: str, sizes: list[int], seeds: int) -> DataFrame:
-    """n_swap, auc, sd, seeds: how well rows whose labels were deranged stand out from their neighbours.
+def swap_calibration(rows: DataFrame, graphs: dict[str, DataFrame], key: str, label: str, sizes: list[int], seeds: int) -> DataFrame:
+    """arm, n_swap, auc, sd, seeds: how well rows whose labels were deranged stand out from their neighbours.
 
-    All replicates are one table (size, seed, id); the neighbour graph is made once and joined with it. The score
-    is the share of neighbours with another label.
+    All replicates are one table (size, seed, id); the neighbour graphs are made once and joined with it. An arm's score
+    is the share of neighbours in its graph with another label; the arm `ensemble` has the mean of all arms' mid-ranks.
     """
     spark = rows.sparkSession
     grid = spark.createDataFrame([(s, k) for s in sizes for k in range(seeds)], "n_swap int, seed int")
-    x = rows.select(F.col(key).cast("long").alias("id"), F.col(label).alias("l")).crossJoin(F.broadcast(grid))
     own = ["n_swap", "seed"]
+    x = rows.select(F.col(key).cast("long").alias("id"), F.col(label).alias("l"))
     w = Window.partitionBy(*own)
-    h = F.row_number().over(w.orderBy(by_hash(F.col("seed"), F.col("id")), "id"))
-    picked = x.withColumn("h", h).where("h <= n_swap").withColumn("r", F.row_number().over(w.orderBy("l", "id")) - 1)
+    h = by_hash(F.col("seed"), F.col("id"))
+    # the drawn rows of a replicate are of a stated number
+    picked = x.crossJoin(F.broadcast(grid)).withColumn("h", F.row_number().over(w.orderBy(h, "id"))).where("h <= n_swap").withColumn("r", F.row_number().over(w.orderBy("l", "id")) - 1)
     shift = picked.groupBy(*own, "l").agg(F.count("*").alias("t")).groupBy(*own).agg(F.max("t").alias("t"))
     giver = picked.join(F.broadcast(shift), own).select(*own, F.pmod(F.col("r") + F.col("t"), F.col("n_swap")).alias("r"), F.col("l").alias("nl"))
-    moved = picked.select(*own, "id", "r").join(giver, [*own, "r"]).select(*own, "id", "nl")
-    now = x.join(moved, [*own, "id"], "left").select(*own, "id", F.coalesce("nl", "l").alias("l"), F.col("nl").isNotNull().cast("int").alias("y"))
-    pairs = now.join(graph.select("id", "nbr"), "id").join(now.select(*own, F.col("id").alias("nbr"), F.col("l").alias("ln")), [*own, "nbr"])
-    scores = pairs.groupBy(*own, "id").agg(F.max("y").alias("y"), F.avg((F.col("l") != F.col("ln")).cast("double")).alias("score"))
-    ties = scores.groupBy(*own, "score").agg(F.count("*").alias("k"), F.sum("y").alias("p"))
-    mid = F.sum("k").over(w.orderBy("score")) - (F.col("k") - 1) / 2
-    ranked = ties.withColumn("mid", mid).groupBy(*own).agg(F.sum(F.col("p") * F.col("mid")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("k") - F.col("p")).alias("n"))
-    auc = ranked.withColumn("auc", F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("n")))
-    return auc.groupBy("n_swap").agg(F.avg("auc").alias("auc"), F.stddev_samp("auc").alias("sd"), F.count("*").alias("seeds"))
+    moved = F.broadcast(picked.select(*own, "id", "r").join(giver, [*own, "r"]).select(*own, "id", "nl"))
+    now = x.crossJoin(F.broadcast(grid)).join(moved, [*own, "id"], "left").select(*own, "id", F.coalesce("nl", "l").alias("l"), F.col("nl").isNotNull().cast("int").alias("y"))
+    edges = None
+    for arm, graph in graphs.items():
+        some = graph.select(F.lit(arm).alias("arm"), "id", "nbr")
+        edges = some if edges is None else edges.union(some)
+    pairs = now.join(edges, "id").join(now.select(*own, F.col("id").alias("nbr"), F.col("l").alias("ln")), [*own, "nbr"])
+    scores = pairs.groupBy("arm", *own, "id").agg(F.max("y").alias("y"), F.avg((F.col("l") != F.col("ln")).cast("double")).alias("score"))
+    each = ["arm", *own]
+
+    def mid(scores: DataFrame) -> DataFrame:
+        ties = scores.groupBy(*each, "score").agg(F.count("*").alias("k"))
+        ties = ties.withColumn("mid", F.sum("k").over(Window.partitionBy(*each).orderBy("score")) - (F.col("k") - 1) / 2)
+        return scores.join(ties.drop("k"), [*each, "score"])
+
+    ranked_ = mid(scores)
+    both = ranked_.groupBy(*own, "id").agg(F.max("y").alias("y"), F.avg("mid").alias("score")).select(F.lit("ensemble").alias("arm"), *own, "id", "y", "score")
+    every = ranked_.select(*each, "y", "mid").union(mid(both).select(*each, "y", "mid"))
+    auc = every.groupBy(*each).agg(F.sum(F.col("y") * F.col("mid")).alias("r"), F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    auc = auc.withColumn("auc", F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("n")))
+    return auc.groupBy("arm", "n_swap").agg(F.avg("auc").alias("auc"), F.stddev_samp("auc").alias("sd"), F.count("*").alias("seeds"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .agreement import alpha, label_counts
+from .ordered import ranked
 
 #: Of 2^32, the numbers below which a Poisson variable with mean 1 is at most 0, 1, 2, ...
 CUTS = [int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
@@ -184,9 +185,8 @@ def noisy_subset(df: DataFrame, key: str, rate: float, seed: int, even: bool = F
         raise ValueError("rate must lie in [0, 1]")
     m = round(rate * df.count())
     m -= m % 2 if even else 0
-    picked = df.select(key).orderBy(by_hash(seed, F.col(key)), key).limit(m)
-    ranked = picked.withColumn("r", F.row_number().over(Window.orderBy(by_hash(seed, F.col(key)), key)) - 1)
-    return df.join(ranked, key, "left"), m
+    places = ranked(df.select(key, by_hash(seed, F.col(key)).alias("__h")), [F.col("__h"), F.col(key)], "r").withColumn("r", F.col("r") - 1)
+    return df.join(places.where(F.col("r") < m).select(key, "r"), key, "left"), m
 
 
 def inject_label_noise(df: DataFrame, key: str, label: str, rate: float, mode: str, seed: int = 0, nearest: DataFrame | None = None) -> DataFrame:
@@ -208,8 +208,8 @@ def inject_label_noise(df: DataFrame, key: str, label: str, rate: float, mode: s
         if mode == "swap":
             giver = chosen.select(F.pmod(F.col("r") + m // 2, F.lit(max(m, 1))).alias("r"), "__l")
         else:
-            second = F.row_number().over(Window.orderBy(by_hash(seed + 1, F.col("__k")), "__k")) - 1
-            shuffled = chosen.withColumn("r", second)
+            shuffled = chosen.withColumn("__h", by_hash(seed + 1, F.col("__k"))).drop("r")
+            shuffled = ranked(shuffled, [F.col("__h"), F.col("__k")], "r").withColumn("r", F.col("r") - 1)
             giver = shuffled.select("r", "__l")
         out = rows.join(giver, "r", "left").withColumn("new_label", F.when(F.col("r").isNotNull(), F.col("__l")).otherwise(F.col(label))).drop("__l")
     return out.drop("r").withColumn("changed", F.col("new_label") != F.col(label))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_sf, normal_sf
+from .ordered import running
 
 #: Whole answers that say nothing, in lower case, before an optional final mark (fixed values).
 NON_ANSWERS = [
@@ -95,13 +96,18 @@ def sibling_mean(df: DataFrame, unit: str, value: str) -> DataFrame:
     return df.withColumn("sibling_mean", F.try_divide(F.sum(value).over(w) - F.col(value), F.count("*").over(w) - 1))
 
 
-def midranks(df: DataFrame, value: str, name: str = "rank", descending: bool = False) -> DataFrame:
-    """df with ranks from 1, ties sharing their mean rank. Equal values are counted first, so only distinct values
-    are put in order."""
-    counts = df.groupBy(value).agg(F.count("*").alias("__k"))
-    order = F.desc(value) if descending else F.asc(value)
-    ranks = counts.withColumn(name, F.sum("__k").over(Window.orderBy(order)) - (F.col("__k") - 1) / 2).drop("__k")
-    return df.join(ranks, value)
+def midranks(df: DataFrame, value: str, name: str = "rank", descending: bool = False, by: str | None = None) -> DataFrame:
+    """df with ranks from 1 (in each group of by), ties sharing their mean rank. Equal values are counted first, so only
+    distinct values are put in order, by ranges."""
+    own = [by] if by else []
+    counts = df.groupBy(*own, value).agg(F.count("*").alias("__k"))
+    ranks = running(counts, [*map(F.asc, own), F.desc(value) if descending else F.asc(value)], "__k", name)
+    ranks = ranks.withColumn(name, F.col(name) - (F.col("__k") - 1) / 2)
+    if by:
+        sizes = counts.groupBy(by).agg(F.sum("__k").alias("__t"))
+        before = sizes.select(by, (F.sum("__t").over(Window.orderBy(by)) - F.col("__t")).alias("__b"))  # a row a group
+        ranks = ranks.join(before, by).withColumn(name, F.col(name) - F.col("__b")).drop("__b")
+    return df.join(ranks.drop("__k"), [*own, value])
 
 
 def mann_whitney(df: DataFrame, value: str, flag: str) -> DataFrame:

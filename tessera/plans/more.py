@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, snap, unit
 from ..operators import agreement, knn, pooling, rank, resample, textq
+from ..operators.ordered import ranked
 from ..sources.tables import table
 from .catalog import _A, _B, _DIS, _END_SQL, _NA_SQL, _TEXTS, _UNITS_SQL, _disagreement, _graph_sql, _nominal_sql, _texts, _triples, _views, query, rounded, weights_sql
 
@@ -101,7 +101,7 @@ def label_unlike_neighbours(spark, d):
 
 
 _CALIBRATION = """
-WITH r AS (SELECT s, seed FROM (VALUES (40), (60)) a(s), range(3) b(seed)), x AS (SELECT vec_id AS k, label AS l FROM embeddings),
+WITH r AS (SELECT s, seed FROM (VALUES (85), (169)) a(s), range(10) b(seed)), x AS (SELECT vec_id AS k, label AS l FROM embeddings),
 c0 AS (SELECT s, seed, k, l, row_number() OVER (PARTITION BY s, seed ORDER BY md5(seed || '|' || k), k) - 1 AS h FROM r, x),
 c AS (SELECT s, seed, k, l, row_number() OVER (PARTITION BY s, seed ORDER BY l, k) - 1 AS r FROM c0 WHERE h < s),
 t1 AS (SELECT s, seed, max(n) AS t FROM (SELECT s, seed, l, count(*) AS n FROM c GROUP BY ALL) GROUP BY ALL),
@@ -109,22 +109,27 @@ g AS (SELECT c.s, c.seed, (r + t1.t) % c.s AS r, l AS nl FROM c JOIN t1 USING (s
 moved AS (SELECT c.s, c.seed, k, nl FROM c JOIN g USING (s, seed, r)),"""
 
 
-@query(_CALIBRATION + _graph_sql("embedding", 10, "nn") + """,
+@query(_CALIBRATION + _graph_sql(_A, 10, "ga") + ", " + _graph_sql(_B, 10, "gb") + """,
 w AS (SELECT r.s, r.seed, x.k, coalesce(m.nl, x.l) AS l, m.k IS NOT NULL AS swapped FROM r CROSS JOIN x LEFT JOIN moved m ON m.s = r.s AND m.seed = r.seed AND m.k = x.k),
-sc AS (SELECT a.s, a.seed, a.k, any_value(a.swapped)::INT AS y, avg((a.l <> b.l)::INT) AS score FROM w a JOIN nn ON nn.id = a.k JOIN w b ON b.s = a.s AND b.seed = a.seed AND b.k = nn.nbr GROUP BY a.s, a.seed, a.k),
-rk AS (SELECT *, rank() OVER (PARTITION BY s, seed ORDER BY score) + (count(*) OVER (PARTITION BY s, seed, score) - 1) / 2.0 AS mid FROM sc),
-auc AS (SELECT s, seed, (sum(y * mid) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS auc FROM rk GROUP BY s, seed)
-SELECT s::INT AS n_swap, round(avg(auc), 8) AS auc, round(stddev_samp(auc), 8) AS sd, count(*) AS seeds FROM auc GROUP BY s""")
+nn AS (SELECT 'a' AS arm, id, nbr FROM ga UNION ALL SELECT 'b', id, nbr FROM gb),
+sc AS (SELECT arm, a.s, a.seed, a.k, any_value(a.swapped)::INT AS y, avg((a.l <> b.l)::INT) AS score FROM w a JOIN nn ON nn.id = a.k JOIN w b ON b.s = a.s AND b.seed = a.seed AND b.k = nn.nbr GROUP BY ALL),
+rk AS (SELECT *, rank() OVER (PARTITION BY arm, s, seed ORDER BY score) + (count(*) OVER (PARTITION BY arm, s, seed, score) - 1) / 2.0 AS mid FROM sc),
+en AS (SELECT 'ensemble' AS arm, s, seed, k, any_value(y) AS y, avg(mid) AS score FROM rk GROUP BY s, seed, k),
+al AS (SELECT * FROM rk UNION ALL SELECT *, rank() OVER (PARTITION BY s, seed ORDER BY score) + (count(*) OVER (PARTITION BY s, seed, score) - 1) / 2.0 FROM en),
+auc AS (SELECT arm, s, seed, (sum(y * mid) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS auc FROM al GROUP BY ALL)
+SELECT arm, s::INT AS n_swap, round(avg(auc), 8) AS auc, round(stddev_samp(auc), 8) AS sd, count(*) AS seeds FROM auc GROUP BY arm, s""")
 def label_swap_calibration(spark, d):
-    rows = table(spark, d, "embeddings")
-    return rounded(rank.swap_calibration(rows, knn.neighbours(rows, "vec_id", "embedding", 10), "vec_id", "label", [40, 60], 3))
+    v = _views(spark, d)
+    graphs = {"a": knn.neighbours(v, "vec_id", "a", 10), "b": knn.neighbours(v, "vec_id", "b", 10)}
+    return rounded(rank.swap_calibration(v, graphs, "vec_id", "label", [85, 169], 10))
 
 
 @query(f"""WITH v AS (SELECT vec_id, {_A}[1]::DOUBLE AS x FROM embeddings), r AS (SELECT vec_id, rank() OVER (ORDER BY x DESC) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS midrank, row_number() OVER (ORDER BY x, vec_id) AS ordinal FROM v)
 SELECT vec_id, midrank::DOUBLE AS midrank, ordinal::INT AS ordinal FROM r""")
 def ranks_of_scores(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
-    return textq.midranks(v, "x", "midrank", descending=True).withColumn("ordinal", F.row_number().over(Window.orderBy("x", "vec_id"))).select("vec_id", "midrank", "ordinal")
+    mid = textq.midranks(v, "x", "midrank", descending=True)
+    return ranked(mid, [F.asc("x"), F.asc("vec_id")], "ordinal").select("vec_id", "midrank", F.col("ordinal").cast("int").alias("ordinal"))
 
 
 @query("""WITH s AS (SELECT vec_id FROM embeddings ORDER BY md5('0|' || vec_id), vec_id LIMIT 100), t AS (SELECT vec_id FROM embeddings ORDER BY md5('1|' || vec_id), vec_id LIMIT 100)
@@ -155,8 +160,7 @@ SELECT count(*) FILTER (b.r <= 200) / 50.0::DOUBLE AS in_wide, quantile_cont(b.r
 def cross_encoder_rank(spark, d):
     s = _disagreement(spark, d)
     other = s.select("id", F.bround(F.col("score") * ((F.col("id") * 7) % 13), 12).alias("score"))
-    n = s.count()
-    both = rank.top(s, 50, 0).select("id").join(rank.top(other, n, 1).select("id", "rank"), "id")
+    both = rank.top(s, 50, 0).select("id").join(rank.places(other, 1).select("id", "rank"), "id")
     return both.agg((F.count_if(F.col("rank") <= 200) / 50).alias("in_wide"), F.percentile("rank", F.lit(0.5)).alias("median_rank"))
 
 
