@@ -6,16 +6,19 @@ Every function takes `by`, columns that split the input into groups, all done in
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import check_norms, unit
+from ..functions.vectors import norm, unit
 
 #: Units of more rows than this use sums of outer products in place of pairs.
 PAIR_ROWS = 512
+#: alpha_by_pairs takes so many rows at most.
+PAIRS_MOST = 20_000
 #: A task holds at most about so many groups' sums of outer products at a time.
 MATRICES = 64
 
@@ -56,16 +59,39 @@ def _unit_vectors(df: DataFrame, unit_col: str, vec: str, by: Sequence[str]) ->
 
 
 def _distances(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by, unit, m, total: sum of squared cosine distances over ordered pairs of a unit.
+    """by, unit, m, total: sum of squared cosine distances over ordered pairs of a unit. df: of _unit_vectors, which
+    leaves the rows of a unit in one partition.
 
     Small units multiply their rows with each other; of large ones, tasks add up outer products, whose squares
     give the same sum, so a unit that holds much of the table is split over tasks.
     """
     keys = [*by, "unit"]
 
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g.x)
-        return pd.DataFrame([[*(g[k].iloc[0] for k in keys), len(x), float(((1 - x @ x.T) ** 2).sum())]], columns=[*keys, "m", "total"])
+    def pairs(batches):
+        """Units come whole, one after the other: the last of a batch waits for the next. Rows meet those some places on."""
+        rest = None
+        for b in chain(batches, [None]):
+            now = rest if b is None else b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if now is None or not len(now):
+                continue
+            h = now["__h"].to_numpy()
+            cut = len(h) if b is None else int(np.append(0, np.flatnonzero(h[1:] != h[:-1]) + 1)[-1])
+            rest, now, h = now.iloc[cut:], now.iloc[:cut], h[:cut]
+            if not cut:
+                continue
+            first = np.append(0, np.flatnonzero(h[1:] != h[:-1]) + 1)
+            x, unit = np.stack(now.x), np.repeat(np.arange(len(first)), np.diff(np.append(first, cut)))
+            total, at, shift = np.zeros(len(first)), np.arange(cut), 1
+            while True:
+                at = at[at < cut - shift]
+                at = at[unit[at] == unit[at + shift]]
+                if not len(at):
+                    break
+                total += 2 * np.bincount(unit[at], (1 - np.einsum("ij,ij->i", x[at], x[at + shift])) ** 2, len(first))
+                shift += 1
+            out = now.iloc[first][[*keys, "m"]].copy()
+            out["total"] = total
+            yield out
 
     def partial(batches):
         for b in batches:
@@ -82,7 +108,8 @@ def _distances(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
     types = df.select(*keys).schema
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in types)
-    small = df.where(F.col("m") <= PAIR_ROWS).groupBy(*keys).applyInPandas(pairs, f"{plain}, m long, total double")
+    small = df.where(F.col("m") <= PAIR_ROWS).withColumn("__h", F.xxhash64(*keys)).sortWithinPartitions(*keys)
+    small = small.select(*keys, "m", "x", "__h").mapInPandas(pairs, f"{plain}, m long, total double")
     large = df.where(F.col("m") > PAIR_ROWS).select(*keys, "x").mapInPandas(partial, f"{plain}, m long, s array<double>, g array<double>")
     return small.union(large.groupBy(*keys).applyInPandas(reduced, f"{plain}, m long, total double"))
 
@@ -133,8 +160,11 @@ def alpha_semantic(df: DataFrame, unit_col: str, vec: str, by: Sequence[str] = (
     """Like alpha_nominal, with squared cosine distance, in closed form. Zero vectors: ValueError if strict."""
     x = _unit_vectors(df, unit_col, vec, by)
     if strict:
-        check_norms(df, vec)
-        if not df.groupBy(*by, unit_col).count().where("count > 1").limit(1).count():
+        sizes = df.groupBy(*by, unit_col).agg(F.count("*").alias("c"), F.min(F.coalesce(norm(vec), F.lit(0.0))).alias("least"))
+        facts = sizes.agg(F.max("c").alias("c"), F.min("least").alias("least")).first()
+        if facts.least == 0:
+            raise ValueError(f"{vec} holds a zero-norm vector")
+        if (facts.c or 0) < 2:
             raise ValueError("no pairable unit: every unit has fewer than two annotations")
     units = _distances(x, by).groupBy(*by).agg(F.sum(F.col("total") / (F.col("m") - 1)).alias("apart"), F.count("*").alias("n_units"))
     pool = pooled(x, "x", by)
@@ -147,8 +177,11 @@ def alpha_semantic(df: DataFrame, unit_col: str, vec: str, by: Sequence[str] = (
 def alpha_by_pairs(df: DataFrame, unit_col: str, distance, key: str) -> DataFrame:
     """alpha for any distance: distance(a, b) is a column of two struct columns of a row's fields.
 
-    For small tables: all pairs of pairable rows are joined. It is what the closed forms are held against.
+    For small tables: all pairs of pairable rows are joined; over PAIRS_MOST rows ValueError. It is what the closed
+    forms are held against.
     """
+    if df.limit(PAIRS_MOST + 1).count() > PAIRS_MOST:
+        raise ValueError(f"pairs of over {PAIRS_MOST} rows: use a closed form")
     rows = df.withColumn("m", F.count("*").over(Window.partitionBy(unit_col))).where("m >= 2")
     rows = rows.select(F.col(unit_col).alias("u"), F.col(key).alias("k"), "m", F.struct(*df.columns).alias("r"))
     a, b = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")

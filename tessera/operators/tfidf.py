@@ -22,7 +22,12 @@ def word_tokens(text) -> Column:
 def char_grams(text, least: int = 3, most: int = 5) -> Column:
     """Runs of least to most characters of the text in lower case, spaces made single."""
     c = F.filter(F.split(F.regexp_replace(F.lower(text), r"\s+", " "), ""), lambda x: x != "")
-    return F.flatten(F.array(*[_runs(c, n, "") for n in range(least, most + 1)]))
+    return _once(c, lambda c: F.flatten(F.array(*[_runs(c, n, "") for n in range(least, most + 1)])))
+
+
+def _once(value: Column, f) -> Column:
+    """f(value), with value computed once a row and not in each place where f's own functions use it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def _runs(parts: Column, n: int, between: str) -> Column:
@@ -32,8 +37,7 @@ def _runs(parts: Column, n: int, between: str) -> Column:
 
 def word_grams(text, most: int = 2) -> Column:
     """Words of two characters or more and runs of up to `most` of them, joined by spaces."""
-    w = word_tokens(text)
-    return F.flatten(F.array(*[_runs(w, n, " ") for n in range(1, most + 1)]))
+    return _once(word_tokens(text), lambda w: F.flatten(F.array(*[_runs(w, n, " ") for n in range(1, most + 1)])))
 
 
 def tfidf(df: DataFrame, key: str, text: str, max_features: int = 5000, tokens=word_tokens) -> DataFrame:
@@ -41,12 +45,13 @@ def tfidf(df: DataFrame, key: str, text: str, max_features: int = 5000, tokens=w
     (ties: by token); rows without tokens are left out. tokens: a function
     from a text column to its tokens (words, char_grams, word_grams)."""
     n = df.count()
-    each = df.select(F.col(key).alias("k"), F.explode(tokens(F.col(text))).alias("token"))
+    # the filter is in both branches below, so that Spark shuffles the tokens once and reuses them
+    each = df.select(F.col(key).alias("k"), F.explode(tokens(F.col(text))).alias("token")).where("token is not null")
     tf = each.groupBy("k", "token").agg(F.count("*").cast("double").alias("tf"))
     kept = tf.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "token").limit(max_features)
     w = tf.join(F.broadcast(kept), "token").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
-    norms = w.groupBy("k").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    return w.join(norms, "k").select(F.col("k").alias(key), "token", (F.col("w") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy("k")))
+    return w.withColumn("norm", norm).select(F.col("k").alias(key), "token", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def alpha_sparse(weights: DataFrame, rows: DataFrame, key: str, unit_col: str) -> DataFrame:
@@ -106,10 +111,10 @@ def alpha_sparse(weights: DataFrame, rows: DataFrame, key: str, unit_col: str) -
     return out
 
 
-def search(df: DataFrame, key: str, text: str, queries: DataFrame, k: int = 10, max_features: int | None = None) -> DataFrame:
+def search(df: DataFrame, key: str, text: str, queries: DataFrame, k: int = 10) -> DataFrame:
     """query, rank, key, score: the k rows of largest TF-IDF cosine for each query (query, t), ties to the least key.
 
-    Rows without a word of the query take no part. All words of the rows count, or the commonest max_features.
+    Rows without a word of the query take no part. All words of the rows count.
     Inverse frequencies come from the rows alone. The join is on the word, and scores are summed before ranks are
     made; Spark splits common words as skewed partitions. For lengths, the commonest words' frequencies are
     broadcast and only the others, each of few rows, are joined by a shuffle.
@@ -120,16 +125,15 @@ def search(df: DataFrame, key: str, text: str, queries: DataFrame, k: int = 10,
     tf = each.groupBy("k", "token").agg(F.count("*").cast("double").alias("tf"))
     every = tf.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     weight = (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")
-    common = every.orderBy(F.desc("total"), "token").limit(max_features or COMMON).select("token", weight)
-    idf = common if max_features else every.select("token", weight)
+    common = every.orderBy(F.desc("total"), "token").limit(COMMON).select("token", weight)
+    idf = every.select("token", weight)
     asked = queries.select("query", F.explode(word_tokens(F.col("t"))).alias("token")).where("token is not null").groupBy("query", "token").agg(F.count("*").cast("double").alias("tf"))
     few = F.broadcast if asked.limit(ASKED + 1).count() <= ASKED else lambda x: x
     q = idf.join(few(asked), "token").select("query", "token", "idf", (F.col("tf") * F.col("idf")).alias("w"))
     lengths = q.groupBy("query").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("long"))
     x = F.col("tf") * F.col("idf")
     w = tf.join(F.broadcast(common), "token").select("k", x.alias("x"))
-    if not max_features:
-        w = w.union(tf.join(F.broadcast(common.select("token")), "token", "left_anti").join(idf, "token").select("k", x.alias("x")))
+    w = w.union(tf.join(F.broadcast(common.select("token")), "token", "left_anti").join(idf, "token").select("k", x.alias("x")))
     norms = w.groupBy("k").agg(F.sqrt(F.sum(F.col("x") ** 2)).alias("norm"))
     hits = tf.join(few(q), "token").groupBy("query", "k").agg(F.sum(x * F.col("w")).alias("s"))
     # a union and a window in place of a join on the key, which would filter one branch by it

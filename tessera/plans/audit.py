@@ -137,22 +137,22 @@ def demo_corpus_audit(spark, d):
 
 def _grams_sql(tokens: str) -> str:
     return f"""
-WITH x AS (SELECT item_id AS k, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark), n AS (SELECT count(*) AS n FROM x),
+WITH x AS (SELECT doc_id AS k, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), n AS (SELECT count(*) AS n FROM x),
 tk AS ({tokens}), tf AS (SELECT k, tok, count(*)::DOUBLE AS tf FROM tk GROUP BY ALL),
 df AS (SELECT tok, count(*) AS df, sum(tf) AS total FROM tf GROUP BY tok ORDER BY total DESC, tok LIMIT 5000),
 w AS (SELECT k, tok, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (tok), n)
-SELECT k AS item_id, tok AS token, round(w / sqrt(sum(w * w) OVER (PARTITION BY k)), 8) AS w FROM w"""
+SELECT k AS doc_id, tok AS token, round(w / sqrt(sum(w * w) OVER (PARTITION BY k)), 8) AS w FROM w"""
 
 
 @query(_grams_sql("SELECT k, substr(t, i, m) AS tok FROM (SELECT k, t, m, unnest(range(1, length(t) - m + 2)) AS i FROM x, range(3, 6) r(m))"))
 def tfidf_char_grams(spark, d):
-    return rounded(tfidf.tfidf(table(spark, d, "benchmark"), "item_id", "text", tokens=tfidf.char_grams))
+    return rounded(tfidf.tfidf(table(spark, d, "documents"), "doc_id", "text", tokens=tfidf.char_grams))
 
 
 @query(_grams_sql("""SELECT k, unnest(w) AS tok FROM (SELECT k, regexp_extract_all(t, '[\\p{L}\\p{N}_]{2,}') AS w FROM x)
  UNION ALL SELECT k, w[i] || ' ' || w[i + 1] FROM (SELECT k, w, unnest(range(1, len(w))) AS i FROM (SELECT k, regexp_extract_all(t, '[\\p{L}\\p{N}_]{2,}') AS w FROM x))"""))
 def tfidf_word_grams(spark, d):
-    return rounded(tfidf.tfidf(table(spark, d, "benchmark"), "item_id", "text", tokens=tfidf.word_grams))
+    return rounded(tfidf.tfidf(table(spark, d, "documents"), "doc_id", "text", tokens=tfidf.word_grams))
 
 
 @query(f"""
