@@ -19,7 +19,7 @@ def ensemble(scores: DataFrame) -> DataFrame:
 
 def places(scores: DataFrame, seed: int = 0) -> DataFrame:
     """id, score, rank of all rows by falling score, ties in an order that the seed draws."""
-    return ranked(scores.withColumn("__h", by_hash(seed, F.col("id"))), [F.desc("score"), F.asc("__h"), F.asc("id")], "rank").drop("__h")
+    return ranked(scores.withColumn("__h", by_hash(seed, F.col("id"))), [-F.col("score"), F.col("__h"), F.col("id")], "rank").drop("__h")
 
 
 def top(scores: DataFrame, k: int, seed: int = 0) -> DataFrame:

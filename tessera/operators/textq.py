@@ -97,11 +97,11 @@ def sibling_mean(df: DataFrame, unit: str, value: str) -> DataFrame:
 
 
 def midranks(df: DataFrame, value: str, name: str = "rank", descending: bool = False, by: str | None = None) -> DataFrame:
-    """df with ranks from 1 (in each group of by), ties sharing their mean rank. Equal values are counted first, so only
+    """df with ranks from 1 of a number (in each group of by), ties sharing their mean rank. Equal values are counted first, so only
     distinct values are put in order, by ranges."""
     own = [by] if by else []
     counts = df.groupBy(*own, value).agg(F.count("*").alias("__k"))
-    ranks = running(counts, [*map(F.asc, own), F.desc(value) if descending else F.asc(value)], "__k", name)
+    ranks = running(counts, [*map(F.col, own), -F.col(value) if descending else F.col(value)], "__k", name)
     ranks = ranks.withColumn(name, F.col(name) - (F.col("__k") - 1) / 2)
     if by:
         sizes = counts.groupBy(by).agg(F.sum("__k").alias("__t"))

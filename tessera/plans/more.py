@@ -129,7 +129,7 @@ SELECT vec_id, midrank::DOUBLE AS midrank, ordinal::INT AS ordinal FROM r""")
 def ranks_of_scores(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
     mid = textq.midranks(v, "x", "midrank", descending=True)
-    return ranked(mid, [F.asc("x"), F.asc("vec_id")], "ordinal").select("vec_id", "midrank", F.col("ordinal").cast("int").alias("ordinal"))
+    return ranked(mid, [F.col("x"), F.col("vec_id")], "ordinal").select("vec_id", "midrank", F.col("ordinal").cast("int").alias("ordinal"))
 
 
 @query("""WITH s AS (SELECT vec_id FROM embeddings ORDER BY md5('0|' || vec_id), vec_id LIMIT 100), t AS (SELECT vec_id FROM embeddings ORDER BY md5('1|' || vec_id), vec_id LIMIT 100)
