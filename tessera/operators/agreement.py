@@ -174,6 +174,16 @@ def alpha_semantic(df: DataFrame, unit_col: str, vec: str, by: Sequence[str] = (
     return both.select(*by, alpha(F.col("observed"), F.col("expected")).alias("alpha"), "observed", "expected", "n_units", F.col("n").alias("n_pairable"))
 
 
+def alpha_excluding(df: DataFrame, unit_col: str, vec: str, classes: dict[str, Column]) -> DataFrame:
+    """class, alpha, delta, n_units, units_lost, half_lost: semantic alpha of all rows (class `all`) and without the
+    rows of each class (a flag; null: not of it), what that changes, and whether over half of the units went."""
+    kept = F.array_compact(F.array(F.lit("all"), *[F.when(~F.coalesce(flag, F.lit(False)), F.lit(name)) for name, flag in classes.items()]))
+    each = alpha_semantic(df.withColumn("class", F.explode(kept)), unit_col, vec, ["class"])
+    base = each.where("class = 'all'").select(F.col("alpha").alias("__a"), F.col("n_units").alias("__n"))
+    lost = F.col("__n") - F.col("n_units")
+    return each.crossJoin(F.broadcast(base)).select("class", "alpha", (F.col("alpha") - F.col("__a")).alias("delta"), "n_units", lost.alias("units_lost"), (2 * lost > F.col("__n")).alias("half_lost"))
+
+
 def alpha_by_pairs(df: DataFrame, unit_col: str, distance, key: str) -> DataFrame:
     """alpha for any distance: distance(a, b) is a column of two struct columns of a row's fields.
 

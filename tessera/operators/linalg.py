@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import ranked
 from .resample import by_hash
 
 
@@ -68,20 +69,26 @@ def gaussian_mi(correlations) -> float:
 
 
 def cross_validated_cca(df: DataFrame, key: str, a: str, b: str, splits: int = 10, components: int = 10, reg: float = 1e-4, seed: int = 0) -> pd.DataFrame:
-    """split, component, fitted, held_out: correlations on the half that fitted them and on the other."""
-    out = []
+    """split, component, fitted, in_sample, held_out, mi, difference: for each split into halves (of equal size, by a
+    hash), the correlations found on one half, those of its variates there and on the other half, the information of
+    the latter, and how far fitted ones are from those of all rows."""
+    out, n = [], df.count()
+    whole = cca(df, a, b, components, reg)[0]
     for s in range(splits):
-        half = df.withColumn("__h", F.pmod(F.conv(F.substring(by_hash(seed, s, F.col(key)), 1, 8), 16, 10).cast("long"), F.lit(2)))
+        half = ranked(df.withColumn("__x", by_hash(seed, s, F.col(key))), [F.col("__x"), F.col(key)], "__r")
+        half = half.withColumn("__h", (F.col("__r") > n // 2).cast("int"))
         r, u, v, ma, mb = cca(half.where("__h = 0"), a, b, components, reg)
         k = len(r)
 
         def project(batches, u=u, v=v, ma=ma, mb=mb):
             for x in batches:
                 if len(x):
-                    yield pd.DataFrame(np.concatenate([(np.stack(x.a) - ma) @ u, (np.stack(x.b) - mb) @ v], 1), columns=[f"c{i}" for i in range(u.shape[1] * 2)])
-
-        plain = half.where("__h = 1").select(F.col(a).cast("array<double>").alias("a"), F.col(b).cast("array<double>").alias("b"))
-        variates = plain.mapInPandas(project, ", ".join(f"c{i} double" for i in range(2 * k)))
-        test = variates.agg(*[F.corr(f"c{i}", f"c{i + k}").alias(f"r{i}") for i in range(k)]).first()
-        out += [(s, i, float(r[i]), float(test[i])) for i in range(k)]
-    return pd.DataFrame(out, columns=["split", "component", "fitted", "held_out"])
+                    both = pd.DataFrame(np.concatenate([(np.stack(x.a) - ma) @ u, (np.stack(x.b) - mb) @ v], 1), columns=[f"c{i}" for i in range(u.shape[1] * 2)])
+                    both.insert(0, "h", x.h.to_numpy())
+                    yield both
+
+        plain = half.select(F.col("__h").alias("h"), F.col(a).cast("array<double>").alias("a"), F.col(b).cast("array<double>").alias("b"))
+        variates = plain.mapInPandas(project, "h int, " + ", ".join(f"c{i} double" for i in range(2 * k)))
+        own, test = variates.groupBy("h").agg(*[F.corr(f"c{i}", f"c{i + k}").alias(f"r{i}") for i in range(k)]).orderBy("h").collect()
+        out += [(s, i, float(r[i]), own[f"r{i}"], test[f"r{i}"], gaussian_mi([abs(test[f"r{i}"])]), float(abs(r[i] - whole[i]))) for i in range(min(k, len(whole)))]
+    return pd.DataFrame(out, columns=["split", "component", "fitted", "in_sample", "held_out", "mi", "difference"])

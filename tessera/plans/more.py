@@ -8,7 +8,7 @@ from ..functions.vectors import dot, snap, unit
 from ..operators import agreement, knn, pooling, rank, resample, textq
 from ..operators.ordered import ranked
 from ..sources.tables import table
-from .catalog import _A, _B, _DIS, _END_SQL, _NA_SQL, _TEXTS, _UNITS_SQL, _disagreement, _graph_sql, _nominal_sql, _texts, _triples, _views, query, rounded, weights_sql
+from .catalog import _A, _B, _DIS, _END_SQL, _NA_SQL, _TEXTS, _UNITS_SQL, _disagreement, _graph_sql, _nominal_sql, _semantic_sql, _texts, _triples, _views, query, rounded, weights_sql
 
 
 @query(f"""
@@ -24,6 +24,36 @@ def bootstrap_ci_semantic(spark, d):
     return rounded(resample.bootstrap_semantic(_triples(spark, d), "u", "embedding", 300))
 
 
+@query(f"""
+WITH x AS (SELECT vec_id // 3 AS u, vec_id // 3 % 4 AS g, vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM (SELECT *, count(*) OVER (PARTITION BY u) AS m FROM x) WHERE m >= 2),
+un AS (SELECT g, u, any_value(m) AS m FROM p GROUP BY g, u), wu AS (SELECT * FROM {weights_sql("un", 300, 0, "g || '|' || u")} WHERE w > 0),
+d AS (SELECT a.g, a.u AS ua, b.u AS ub, sum(power(1 - list_dot_product(a.v, b.v) / (a.n * b.n), 2)) AS d FROM p a JOIN p b ON a.g = b.g AND a.k <> b.k GROUP BY ALL),
+o AS (SELECT wu.g, b, sum(w * d / (m - 1)) AS apart, sum(w * m)::DOUBLE AS n FROM wu JOIN d ON ua = u AND ub = u GROUP BY wu.g, b),
+e AS (SELECT x.g, x.b, sum(x.w * y.w * d) AS total FROM wu x JOIN wu y ON x.g = y.g AND x.b = y.b JOIN d ON ua = x.u AND ub = y.u GROUP BY x.g, x.b),
+a AS (SELECT g, 1 - (apart / n) / (total / (n * (n - 1))) AS alpha FROM o JOIN e USING (g, b)),
+ci AS (SELECT g, quantile_cont(alpha, 0.025) AS low, quantile_cont(alpha, 0.975) AS high FROM a GROUP BY g),
+pt AS (SELECT un.g, count(*) AS n_units, sum(m)::DOUBLE AS n, sum(d / (m - 1)) AS apart FROM un JOIN d ON ua = u AND ub = u GROUP BY un.g),
+al AS (SELECT g, sum(d) AS total FROM d GROUP BY g)
+SELECT g AS lab, round(1 - (apart / n) / (total / (n * (n - 1))), 8) AS alpha, n_units, round(low, 8) AS low, round(high, 8) AS high FROM pt JOIN al USING (g) JOIN ci USING (g) WHERE n_units >= 30""")
+def alpha_semantic_by_lab(spark, d):
+    rows = _triples(spark, d).withColumn("lab", F.col("u") % 4)
+    points = agreement.alpha_semantic(rows, "u", "embedding", ["lab"]).where("n_units >= 30").select("lab", "alpha", "n_units")
+    return rounded(points.join(resample.bootstrap_semantic(rows, "u", "embedding", 300, by=["lab"]).drop("reps"), "lab"))
+
+
+def _excluded_sql(name: str, where: str) -> str:
+    out = _semantic_sql("vec_id // 3").replace("FROM embeddings)", f"FROM embeddings WHERE {where})", 1)
+    return f"SELECT '{name}' AS class, * FROM ({out.replace('round(1 - observed / expected, 8)', '1 - observed / expected')})"
+
+
+@query(f"""WITH c AS ({" UNION ALL ".join(_excluded_sql(n, w) for n, w in (("all", "true"), ("seventh", "vec_id % 7 <> 0"), ("few_labels", "label > 6")))}),
+a AS (SELECT alpha AS a, n_units AS n FROM c WHERE class = 'all')
+SELECT class, round(alpha, 8) AS alpha, round(alpha - a, 8) + 0.0 AS delta, n_units, n - n_units AS units_lost, 2 * (n - n_units) > n AS half_lost FROM c, a""")
+def alpha_semantic_excluding(spark, d):
+    return rounded(agreement.alpha_excluding(_triples(spark, d), "u", "embedding", {"seventh": F.col("vec_id") % 7 == 0, "few_labels": F.col("label") <= 6}))
+
+
 @query(_nominal_sql("(SELECT *, l_orderkey % 7 AS lab FROM lineitem)", "l_orderkey", "l_returnflag", "lab").replace("FROM r", "FROM r WHERE n_units >= 30 ORDER BY alpha DESC, lab LIMIT 3"))
 def labs_by_alpha(spark, d):
     rows = table(spark, d, "lineitem").withColumn("lab", F.col("l_orderkey") % 7)
