@@ -128,24 +128,55 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
 
 
-def ksg(df: DataFrame, x: Column, y: Column, key: str, k: int = 5) -> DataFrame:
-    """mi, n: Kraskov mutual information (variant 1) of two scalars, for tables of a size that pairs allow.
+def ksg(df: DataFrame, x: list[Column], y: list[Column], key: str, k: int = 5) -> DataFrame:
+    """mi, n: Kraskov mutual information (variant 1) of two sets of columns.
 
-    digamma of integers is a harmonic number less a constant that cancels. Points are compared by maximum norm;
-    duplicate points are refused, as they have no radius.
+    digamma of integers is a harmonic number less a constant that cancels. Points are compared by maximum norm, in
+    blocks of bounded size; what leaves a pair of blocks are the k least distances, or two counts, of each point.
+    Duplicate points are refused, as they have no radius.
     """
-    p = df.select(F.col(key).alias("k"), x.alias("x"), y.alias("y"))
+    p = df.select(F.col(key).cast("long").alias("id"), F.array(*x).cast("array<double>").alias("x"), F.array(*y).cast("array<double>").alias("y"))
     n = p.count()
     if not 1 <= k < n:
         raise ValueError("k must lie in [1, number of rows)")
     if p.select("x", "y").distinct().count() < n:
         raise ValueError("duplicate points have no neighbour radius")
-    q = p.select(*[F.col(c).alias(f"{c}2") for c in p.columns])
-    pairs = p.join(q, F.col("k") != F.col("k2")).select("k", F.abs(F.col("x") - F.col("x2")).alias("dx"), F.abs(F.col("y") - F.col("y2")).alias("dy"))
-    pairs = pairs.withColumn("d", F.greatest("dx", "dy"))
-    nth = F.row_number().over(Window.partitionBy("k").orderBy("d"))
-    eps = pairs.withColumn("r", nth).where(F.col("r") == k).select("k", F.col("d").alias("eps"))
-    inside = pairs.join(eps, "k").groupBy("k").agg(F.sum((F.col("dx") < F.col("eps") - 1e-12).cast("long")).alias("nx"), F.sum((F.col("dy") < F.col("eps") - 1e-12).cast("long")).alias("ny"))
-    h = lambda m: F.aggregate(F.sequence(F.lit(0), m), F.lit(0.0), lambda s, i: s + F.when(i > 0, 1.0 / F.greatest(i, F.lit(1).cast("long"))).otherwise(0.0))
+    blocks = max(1, math.ceil(n / QUERY_ROWS))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    base = p.withColumn("j", own).select(*[F.col(c).alias(f"b{c}") for c in p.columns], "j").withColumn("i", every)
+
+    def apart(a: pd.Series, b: pd.Series) -> np.ndarray:
+        a, b = np.stack(a), np.stack(b)
+        out = np.zeros((len(a), len(b)))
+        for d in range(a.shape[1]):
+            np.maximum(out, np.abs(a[:, None, d] - b[None, :, d]), out=out)
+        return out
+
+    def nearest(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(b):
+            return pd.DataFrame({"id": [], "d": []})
+        far = np.maximum(apart(q.x, b.bx), apart(q.y, b.by))
+        far[q.id.to_numpy()[:, None] == b.bid.to_numpy()[None]] = np.inf
+        least = np.sort(far, 1)[:, :k]
+        out = pd.DataFrame({"id": np.repeat(q.id.to_numpy(), least.shape[1]), "d": least.ravel()})
+        return out[np.isfinite(out.d)]
+
+    def inside(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(b):
+            return pd.DataFrame({"id": [], "nx": [], "ny": []})
+        other, eps = q.id.to_numpy()[:, None] != b.bid.to_numpy()[None], q.eps.to_numpy()[:, None] - 1e-12
+        return pd.DataFrame({"id": q.id, "nx": ((apart(q.x, b.bx) < eps) & other).sum(1), "ny": ((apart(q.y, b.by) < eps) & other).sum(1)})
+
+    def met(rows: DataFrame, f, schema: str) -> DataFrame:
+        q = rows.withColumn("i", own).withColumn("j", every)
+        return q.groupBy("i", "j").cogroup(base.groupBy("i", "j")).applyInPandas(f, schema)
+
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("d"))
+    eps = met(p, nearest, "id long, d double").withColumn("r", nth).where(F.col("r") == k).select("id", F.col("d").alias("eps"))
+    counts = met(p.join(eps, "id"), inside, "id long, nx long, ny long").groupBy("id").agg(F.sum("nx").alias("nx"), F.sum("ny").alias("ny"))
+    # harmonic numbers of the counts that there are
+    some = counts.select(F.explode(F.array("nx", "ny")).alias("m")).groupBy("m").agg(F.count("*").alias("c"))
+    h = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("m")), F.lit(0.0), lambda s, i: s + F.when(i > 0, 1.0 / F.greatest(i, F.lit(1).cast("long"))).otherwise(0.0))
     const = sum(1 / i for i in range(1, k)) + sum(1 / i for i in range(1, n))
-    return inside.agg(F.greatest(F.lit(0.0), F.lit(const) - F.avg(h(F.col("nx")) + h(F.col("ny")))).alias("mi"), F.count("*").alias("n"))
+    return some.agg(F.greatest(F.lit(0.0), F.lit(const) - F.sum(h * F.col("c")) / n).alias("mi"), (F.sum("c") / 2).cast("long").alias("n"))

@@ -31,13 +31,29 @@ def waypoints(df: DataFrame, group: str, order: list[str], value: str, fractions
     return seq.select(group, "n", "mean", "sd", "least", "most", *[at(f).alias(f"w{round(100 * f)}") for f in fractions])
 
 
+STATS = ("mean", "sd", "least", "most", "w0", "w25", "w50", "w75", "w100")
+
+
+def action_view(df: DataFrame, group: str, order: list[str], channels: list[str]) -> DataFrame:
+    """group, n, and for each channel c the nine columns c_mean .. c_w100 of waypoints(), standardised over all groups."""
+    at = [0.0, 0.25, 0.5, 0.75, 1.0]
+    aggregates = [f(c).alias(f"{c}_{name}") for c in channels for name, f in zip(STATS, (F.avg, F.stddev_pop, F.min, F.max))]
+    rows = F.array_sort(F.collect_list(F.struct(*order, *[F.col(c).alias(f"__{c}") for c in channels]))).alias("s")
+    seq = df.groupBy(group).agg(F.count("*").alias("n"), *aggregates, rows)
+    # the five rows are picked once, then read by all channels
+    picked = F.array(*[F.element_at("s", (F.bround(F.lit(f) * (F.col("n") - 1)) + 1).cast("int")) for f in at])
+    seq = seq.withColumn("s", picked)
+    points = [F.get("s", F.lit(k))[f"__{c}"].alias(f"{c}_{name}") for c in channels for k, name in enumerate(STATS[4:])]
+    wide = seq.select(group, "n", *[f"{c}_{name}" for c in channels for name in STATS[:4]], *points)
+    return zscore(wide, [f"{c}_{name}" for c in channels for name in STATS])
+
+
 def zscore(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns standardised over all rows (ddof 0); constant columns become 0."""
     stats = df.agg(*[F.avg(c).alias(f"{c}__m") for c in columns], *[F.stddev_pop(c).alias(f"{c}__s") for c in columns])
     out = df.crossJoin(F.broadcast(stats))
-    for c in columns:
-        out = out.withColumn(c, F.when(F.col(f"{c}__s") > 0, F.try_divide(F.col(c) - F.col(f"{c}__m"), F.col(f"{c}__s"))).otherwise(0.0))
-    return out.select(*df.columns)
+    own = {c: F.when(F.col(f"{c}__s") > 0, F.try_divide(F.col(c) - F.col(f"{c}__m"), F.col(f"{c}__s"))).otherwise(0.0).alias(c) for c in columns}
+    return out.select(*[own.get(c, F.col(c)) for c in df.columns])
 
 
 def constant_in_group(df: DataFrame, group: str, value: str) -> DataFrame:

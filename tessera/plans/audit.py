@@ -124,7 +124,26 @@ def tail_agreement(spark, d):
     return rounded(rank.agreement_of_tails(s, s.select("id", F.bround(F.col("score") * ((F.col("id") * 7) % 13), 12).alias("score"))))
 
 
-@query()
+def _normal_sql(*parts: str) -> str:
+    u, v = (f"((('0x' || substr(md5({' || chr(124) || '.join(parts)} || '|{x}'), 1, 8))::BIGINT + 1) / 4294967297.0::DOUBLE)" for x in "uv")
+    return f"(sqrt(-2 * ln({u})) * cos(2 * 3.141592653589793 * {v}))"
+
+
+def _view_sql(name: str, own: str) -> str:
+    return f"""{name} AS (SELECT episode, list({_normal_sql("'0|task'", own, "i")} + 0.3 * {_normal_sql(f"'0|{name}'", "episode", "i")} ORDER BY i) AS x FROM t, range(48) r(i) GROUP BY episode),
+{name}_n AS (SELECT episode AS id, x, sqrt(list_dot_product(x, x)) AS n FROM {name})"""
+
+
+@query(f"""
+WITH e AS (SELECT range AS episode, ('0x' || substr(md5('0|pick|' || range), 1, 8))::BIGINT % 12 AS task,
+ ('0x' || substr(md5('0|wrong|' || range), 1, 8))::BIGINT < 0.2 * 4294967296.0 AS wrong, ('0x' || substr(md5('0|to|' || range), 1, 8))::BIGINT AS other FROM range(600)),
+t AS (SELECT episode, task, CASE WHEN wrong THEN (task + 1 + other % 11) % 12 ELSE task END AS label FROM e), {_view_sql("vision", "task")}, {_view_sql("language", "label")},
+g AS (SELECT * FROM (SELECT a.id, b.id AS nbr, row_number() OVER (PARTITION BY a.id ORDER BY list_dot_product(a.x, b.x) / (a.n * b.n) DESC, b.id) AS r FROM vision_n a JOIN vision_n b ON a.id <> b.id) WHERE r <= 10),
+s AS (SELECT g.id, round_even(1 - avg(list_dot_product(p.x, q.x) / (p.n * q.n)), 12) AS score FROM g JOIN language_n p ON p.id = g.id JOIN language_n q ON q.id = g.nbr GROUP BY g.id),
+k AS (SELECT s.id, (task <> label)::INT AS y, row_number() OVER (ORDER BY score DESC, md5('0|' || s.id), s.id) AS r FROM s JOIN t ON t.episode = s.id),
+n AS (SELECT count(*) AS n, sum(y)::BIGINT AS p FROM k), f AS (SELECT f, greatest(1, floor(f * n))::BIGINT AS m FROM (VALUES (0.1::DOUBLE), (0.2), (0.3)) v(f), n)
+SELECT f AS fraction, round(sum(y) FILTER (r <= m) / any_value(m), 8) AS precision, round(sum(y) FILTER (r <= m) / any_value(p), 8) AS recall,
+ round(sum(y) FILTER (r <= m) / any_value(m) / (any_value(p) / any_value(n)), 8) AS lift FROM k, n, f GROUP BY f""")
 def demo_corpus_audit(spark, d):
     """Planted wrong labels of the synthetic corpus, found by disagreement of its two views."""
     rows = synthetic.corpus(spark)

@@ -438,16 +438,16 @@ def instruction_report(spark, d):
 
 
 @query("""
-WITH p AS (SELECT vec_id AS k, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-q AS (SELECT a.k, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM p a JOIN p b ON a.k <> b.k),
+WITH p AS (SELECT vec_id AS k, embedding::DOUBLE[] AS e FROM embeddings),
+q AS (SELECT a.k, greatest(abs(a.e[1] - b.e[1]), abs(a.e[2] - b.e[2])) AS dx, greatest(abs(a.e[33] - b.e[33]), abs(a.e[34] - b.e[34])) AS dy FROM p a JOIN p b ON a.k <> b.k),
 e AS (SELECT k, d AS eps FROM (SELECT k, greatest(dx, dy) AS d, row_number() OVER (PARTITION BY k ORDER BY greatest(dx, dy)) AS r FROM q) WHERE r = 5),
 c AS (SELECT k, count(*) FILTER (dx < eps - 1e-12) AS nx, count(*) FILTER (dy < eps - 1e-12) AS ny FROM q JOIN e USING (k) GROUP BY k),
 h AS (SELECT n, sum(CASE WHEN n > 0 THEN 1.0::DOUBLE / n ELSE 0 END) OVER (ORDER BY n) AS h FROM (SELECT unnest(range(0, 3000))::BIGINT AS n))
 SELECT round(greatest(0, (SELECT h FROM h WHERE n = 4) + (SELECT h FROM h WHERE n = (SELECT count(*) - 1 FROM p)) - avg(a.h + b.h)), 8) AS mi, count(*) AS n
 FROM c JOIN h a ON a.n = nx JOIN h b ON b.n = ny""")
 def ksg_mutual_information(spark, d):
-    rows = table(spark, d, "embeddings")
-    return rounded(knn.ksg(rows, F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double"), "vec_id"))
+    at = lambda *k: [F.col("embedding")[i] for i in k]
+    return rounded(knn.ksg(table(spark, d, "embeddings"), at(0, 1), at(32, 33), "vec_id"))
 
 
 @query()
@@ -623,6 +623,26 @@ def action_view_zscore(spark, d):
     return rounded(pooling.zscore(_action(spark, d), _ACTION_COLUMNS), 6)
 
 
+# fifteen channels of a frame: eight of state, seven of action
+_CHANNELS = [f"c{k}" for k in range(15)]
+_WIDE = [f"{c}_{x}" for c in _CHANNELS for x in pooling.STATS]
+
+
+def _wide_sql() -> str:
+    channels = ", ".join(f"value::DOUBLE * ((event_id * {k + 1}) % {k + 2}) AS c{k}" for k in range(15))
+    point = lambda c, f: f"max(CASE WHEN i = round_even({f} * (n - 1)::DOUBLE, 0) THEN {c} END)"
+    stats = ", ".join(f"avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_sd, min({c}) AS {c}_least, max({c}) AS {c}_most, " + ", ".join(f"{point(c, f / 100)} AS {c}_w{f}" for f in (0, 25, 50, 75, 100)) for c in _CHANNELS)
+    scaled = ", ".join(f"round(CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END, 6) + 0.0 AS {c}" for c in _WIDE)
+    return f"""WITH s AS (SELECT user_id, {channels}, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+a AS (SELECT user_id, n, {stats} FROM s GROUP BY user_id, n) SELECT user_id, n, {scaled} FROM a"""
+
+
+@query(_wide_sql())
+def action_view_wide(spark, d):
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", *[(F.col("value").cast("double") * ((F.col("event_id") * (k + 1)) % (k + 2))).alias(c) for k, c in enumerate(_CHANNELS)])
+    return rounded(pooling.action_view(rows, "user_id", ["ts", "event_id"], _CHANNELS), 6)
+
+
 @query("SELECT user_id, min(event_type) AS least, max(event_type) AS most, min(event_type) = max(event_type) AS consistent FROM events GROUP BY user_id")
 def constant_in_group(spark, d):
     return pooling.constant_in_group(table(spark, d, "events"), "user_id", "event_type")

@@ -126,9 +126,9 @@ def test_ksg_near_gaussian_truth(spark):
     x, y = rng.multivariate_normal([0, 0], [[1, 0.8], [0.8, 1]], 1200).T
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id int, a double, b double")
     truth = -0.5 * math.log(1 - 0.64)
-    assert knn.ksg(df, F.col("a"), F.col("b"), "id").first().mi == pytest.approx(truth, rel=0.2)
+    assert knn.ksg(df, [F.col("a")], [F.col("b")], "id").first().mi == pytest.approx(truth, rel=0.2)
     with pytest.raises(ValueError, match="duplicate"):
-        knn.ksg(df.withColumn("a", F.lit(1.0)).withColumn("b", F.lit(1.0)), F.col("a"), F.col("b"), "id")
+        knn.ksg(df.withColumn("a", F.lit(1.0)).withColumn("b", F.lit(1.0)), [F.col("a")], [F.col("b")], "id")
 
 
 def test_cca_finds_a_shared_space_and_ignores_linear_maps(spark):
