@@ -1,7 +1,7 @@
 """Best-two-fit packing of token pieces into sequences.
 
 Packing depends on the lengths alone, of which there are at most as many as a sequence has places. So the
-histogram of lengths is packed on the driver, exactly as piece by piece: a bin is filled greedily with the
+histogram of lengths is packed on the driver, as piece by piece (a test holds the two equal): a bin is filled greedily with the
 longest piece that fits; when none does, its smallest piece is replaced by the two unpacked pieces that fit
 the expanded gap most tightly, if they fill more of it. The same bin is then repeated as long as the
 lengths last, which is what going piece by piece would do, so the work doesn't depend on the number of
