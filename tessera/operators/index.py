@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.vectors import dot, unit
+from .agreement import per_unit_disagreement
 from .knn import neighbours
 
 
 def build(rows: DataFrame, key: str, vec: str, cells: int, seed: int = 0, train_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(index, centroids): rows with x (unit vector) and cell; centroids (cell, c). k-means sees `train_rows` rows
-    at most; every row is indexed. Centroids, of a stated number, are held in the plan."""
+    """(index, centroids): rows with x (unit vector) and cell; centroids (cell, c). k-means sees about `train_rows`
+    rows, or all if there are fewer; every row is indexed. Centroids, of a stated number, are held in the plan."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     x = rows.withColumn("x", unit(vec))
     n = x.count()
-    train = x.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * min(1.0, train_rows / max(n, 1))) + 1)
+    bound = min(int(1.1 * train_rows / max(n, 1) * 2**64), 2**64 - 1) - 2**63  # of all 64-bit hashes, a share
+    train = x.where(F.xxhash64(key) <= bound)
     train = train.select(array_to_vector("x").alias("f")).persist()  # read once an iteration
     model = KMeans(k=cells, seed=seed, maxIter=10, initSteps=1, featuresCol="f").fit(train)
     train.unpersist()
@@ -76,6 +78,14 @@ def exact_search(rows: DataFrame, queries: DataFrame, key: str, vec: str, k: int
     return neighbours(rows, key, vec, k, queries, exclude_self=exclude_self)
 
 
+def described(found: DataFrame, rows: DataFrame, key: str, unit_col: str, vec: str, labels: list[str]) -> DataFrame:
+    """What a search found (id, rank, nbr, sim) with each neighbour's labels, its unit, and the unit's disagreement (null
+    for units of one row)."""
+    facts = rows.select(F.col(key).alias("nbr"), F.col(unit_col).alias("unit"), *labels)
+    of = per_unit_disagreement(rows, unit_col, vec).select("unit", "disagreement")
+    return found.join(facts, "nbr").join(of, "unit", "left").select("id", "rank", "nbr", "sim", "unit", *labels, "disagreement")
+
+
 def write(index: DataFrame, centroids: DataFrame, path: str, **facts) -> None:
     """Three tables under path: vectors (a folder a cell, so that searches prune files), centroids, and facts as JSON."""
     index.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, snap, unit
-from ..operators import agreement, knn, pooling, rank, resample, textq
+from ..operators import agreement, index, knn, pooling, rank, resample, textq
 from ..operators.ordered import ranked
 from ..sources.tables import table
 from .catalog import _A, _B, _DIS, _END_SQL, _NA_SQL, _TEXTS, _UNITS_SQL, _disagreement, _graph_sql, _nominal_sql, _semantic_sql, _texts, _triples, _views, query, rounded, weights_sql
@@ -97,6 +97,14 @@ def index_metadata(spark, d):
     return rounded(rows.withColumn("u", F.when(F.col("vec_id") % 2 == 0, F.col("u"))).join(scores, "u", "left").select("vec_id", "label", "disagreement"))
 
 
+@query(_UNITS_SQL + ", " + _graph_sql("embedding", 10, "g", "a.id % 100 = 0") + """
+SELECT g.id, g.rank::INT AS rank, g.nbr, round(g.sim, 8) AS sim, g.nbr // 3 AS unit, g.nlabel AS label, round(d.d, 8) AS disagreement FROM g LEFT JOIN d ON d.unit = g.nbr // 3""")
+def frame_search(spark, d):
+    rows = _triples(spark, d)
+    found = index.exact_search(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+    return rounded(index.described(found, rows, "vec_id", "u", "embedding", ["label"]))
+
+
 @query(f"""SELECT round(min(c), 8) AS least, round(avg(c), 8) AS mean, count(*) FILTER (c < 0.9999) AS below FROM (SELECT list_dot_product({_A}::DOUBLE[], {_B}::DOUBLE[]) /
  sqrt(list_dot_product({_A}::DOUBLE[], {_A}::DOUBLE[]) * list_dot_product({_B}::DOUBLE[], {_B}::DOUBLE[])) AS c FROM embeddings)""")
 def view_agreement_check(spark, d):
