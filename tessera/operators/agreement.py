@@ -5,6 +5,7 @@ Every function takes `by`, columns that split the input into groups, all done in
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import chain
 
@@ -19,6 +20,8 @@ from ..functions.vectors import norm, unit
 PAIR_ROWS = 512
 #: alpha_by_pairs takes so many rows at most.
 PAIRS_MOST = 20_000
+#: alpha_by_blocks: rows of a block, and of the tiles in which two blocks are compared.
+BLOCK_ROWS, TILE_ROWS = 8_192, 512
 #: A task holds at most about so many groups' sums of outer products at a time.
 MATRICES = 64
 
@@ -191,7 +194,7 @@ def alpha_by_pairs(df: DataFrame, unit_col: str, distance, key: str) -> DataFram
     forms are held against.
     """
     if df.limit(PAIRS_MOST + 1).count() > PAIRS_MOST:
-        raise ValueError(f"pairs of over {PAIRS_MOST} rows: use a closed form")
+        raise ValueError(f"pairs of over {PAIRS_MOST} rows: use alpha_by_blocks or a closed form")
     rows = df.withColumn("m", F.count("*").over(Window.partitionBy(unit_col))).where("m >= 2")
     rows = rows.select(F.col(unit_col).alias("u"), F.col(key).alias("k"), "m", F.struct(*df.columns).alias("r"))
     a, b = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in rows.columns]) for s in "ab")
@@ -203,6 +206,53 @@ def alpha_by_pairs(df: DataFrame, unit_col: str, distance, key: str) -> DataFram
     return out.select(alpha(F.col("observed"), F.col("expected")).alias("alpha"), "observed", "expected", "n_units", F.col("n").cast("long").alias("n_pairable"))
 
 
+def alpha_by_blocks(df: DataFrame, unit_col: str, vec: str, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """alpha_by_pairs with squared cosine distance, for tables of any size: every pair of rows is compared.
+
+    Pairs of blocks of rows are matrix products, of which only two sums leave a task; the work grows with the square
+    of the rows, what is shuffled with that square over block_rows. Pairs of equal or null keys or of null vectors
+    count nothing; pairs of null units only in the total.
+    """
+    rows = df.select(F.col(unit_col).alias("u"), F.col(key).alias("k"), unit(vec).alias("x"))
+    rows = rows.withColumn("m", F.count("*").over(Window.partitionBy("u"))).where("m >= 2")
+    sizes = rows.agg(F.count("*").cast("double").alias("n"), F.countDistinct("u").alias("n_units"))
+    part = rows.where(F.col("k").isNotNull() & F.col("x").isNotNull() & ~F.exists("x", lambda e: e.isNull()))
+    blocks = max(1, math.ceil(df.count() / block_rows))
+    # a row of block b meets those of all blocks: as the first of the two where b is the lesser
+    part = part.withColumn("b", F.pmod(F.xxhash64("k", "u", "x"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    part = part.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") <= F.col("o")).alias("first"), "u", "k", "m", "x")
+
+    def alike(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in a and b of all pairs of equal codes; b is sorted, codes below 0 equal none."""
+        low, high = np.searchsorted(b, a), np.searchsorted(b, a, "right")
+        many = np.where(a < 0, 0, high - low)
+        start = np.repeat(low - np.cumsum(many) + many, many)
+        return np.repeat(np.arange(len(a)), many), start + np.arange(many.sum())
+
+    def compared(g: pd.DataFrame) -> pd.DataFrame:
+        u, k = pd.factorize(g.u)[0], pd.factorize(g.k)[0]
+        x, m, first, own = np.stack(g.x), g.m.to_numpy(), g["first"].to_numpy(), g.i.iloc[0] == g.j.iloc[0]
+        order = np.argsort(u, kind="stable")  # rows of a unit lie in few tiles
+        a, b = order[first[order]], order if own else order[~first[order]]
+        apart = total = 0.0
+        for at in range(0, len(a), TILE_ROWS):
+            p = a[at : at + TILE_ROWS]
+            for to in range(0, len(b), TILE_ROWS):
+                q = b[to : to + TILE_ROWS]
+                d = (1 - x[p] @ x[q].T) ** 2
+                by_key = np.argsort(k[q], kind="stable")
+                same, there = alike(k[p], k[q][by_key])
+                d[same, by_key[there]] = 0
+                total += d.sum()
+                same, there = alike(u[p], u[q])
+                apart += (d[same, there] / (m[p][same] - 1)).sum()
+        return pd.DataFrame({"apart": [apart if own else 2 * apart], "total": [total if own else 2 * total]})
+
+    sums = part.groupBy("i", "j").applyInPandas(compared, "apart double, total double").agg(F.sum("apart").alias("apart"), F.sum("total").alias("total"))
+    out = sums.crossJoin(sizes).withColumn("observed", F.col("apart") / F.col("n")).withColumn("expected", F.col("total") / (F.col("n") * (F.col("n") - 1)))
+    return out.select(alpha(F.col("observed"), F.col("expected")).alias("alpha"), "observed", "expected", "n_units", F.col("n").cast("long").alias("n_pairable"))
+
+
 def per_unit_disagreement(df: DataFrame, unit_col: str, vec: str) -> DataFrame:
     """unit, m, disagreement: mean squared cosine distance between rows of a unit; single rows are left out."""
     d = _distances(_unit_vectors(df, unit_col, vec, ()), ())

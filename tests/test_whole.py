@@ -7,7 +7,8 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
-from tessera.operators import linalg, ordered, resample, textq, tfidf
+from tessera.functions import vectors
+from tessera.operators import agreement, linalg, ordered, resample, textq, tfidf
 from tessera.plans import catalog
 from tessera.sources import tables
 
@@ -112,3 +113,21 @@ def test_word_lists_and_json(spark, tmp_path):
     assert sorted(r.word for r in tables.read_words(spark, str(tmp_path / "words.txt")).collect()) == ["table", "walk"]
     tables.write_json(spark.createDataFrame([(1, "é")], "a int, b string"), str(tmp_path / "out"))
     assert [tuple(r) for r in spark.read.json(str(tmp_path / "out")).select("a", "b").collect()] == [(1, "é")]
+
+
+def test_all_pairs_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    units = [None if u > 20 else int(u) for u in rng.integers(0, 25, 90)]
+    rows = [(i // 2 if i < 8 else None if i == 9 else i, u, None if i == 11 else rng.standard_normal(5).tolist()) for i, u in enumerate(units)]
+    df = spark.createDataFrame(rows, "id int, u int, x array<double>")
+    slow = agreement.alpha_by_pairs(df.withColumn("x", vectors.unit("x")), "u", lambda a, b: vectors.squared_cosine_distance(a["x"], b["x"]), "id").first()
+    for block in (7, 200):
+        assert tuple(agreement.alpha_by_blocks(df, "u", "x", "id", block).first()) == pytest.approx(tuple(slow), abs=1e-10)
+
+
+def test_naive_alpha_has_no_limit_of_rows(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = pd.DataFrame({"vec_id": np.arange(20_101), "embedding": list(rng.standard_normal((20_101, 4))), "label": 0})
+    rows.to_parquet(tmp_path / "embeddings.parquet")
+    naive, closed = (catalog.QUERIES[q](spark, str(tmp_path)).first() for q in ("alpha_naive_triples", "alpha_semantic_triples"))
+    assert tuple(naive) == pytest.approx(tuple(closed), abs=1e-7) and naive.n_pairable == 20_100
