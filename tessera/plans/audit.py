@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import agreement, knn, pooling, rank, resample, textq, tfidf
+from ..operators import agreement, grams, knn, pooling, rank, resample, textq, tfidf
 from ..sources import report, synthetic
 from ..sources.tables import table
 from .catalog import _DIS, _NEAREST_LABEL, _SUBSET, _TEXTS, _TRUNC_SQL, ORACLES, _disagreement, _graph_sql, _nominal_sql, _texts, chi2_p_sql, query, rounded, weights_sql
@@ -165,7 +165,7 @@ SELECT k AS doc_id, tok AS token, round(w / sqrt(sum(w * w) OVER (PARTITION BY k
 
 @query(_grams_sql("SELECT k, substr(t, i, m) AS tok FROM (SELECT k, t, m, unnest(range(1, length(t) - m + 2)) AS i FROM x, range(3, 6) r(m))"))
 def tfidf_char_grams(spark, d):
-    return rounded(tfidf.tfidf(table(spark, d, "documents"), "doc_id", "text", tokens=tfidf.char_grams))
+    return grams.tfidf_chars(table(spark, d, "documents"), "doc_id", "text", digits=8)
 
 
 @query(_grams_sql("""SELECT k, unnest(w) AS tok FROM (SELECT k, regexp_extract_all(t, '[\\p{L}\\p{N}_]{2,}') AS w FROM x)

@@ -3,12 +3,14 @@
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tessera.functions import vectors
-from tessera.operators import agreement, linalg, ordered, resample, textq, tfidf
+from tessera.operators import agreement, grams, linalg, ordered, resample, textq, tfidf
 from tessera.plans import catalog
 from tessera.sources import tables
 
@@ -131,3 +133,40 @@ def test_naive_alpha_has_no_limit_of_rows(spark, tmp_path):
     rows.to_parquet(tmp_path / "embeddings.parquet")
     naive, closed = (catalog.QUERIES[q](spark, str(tmp_path)).first() for q in ("alpha_naive_triples", "alpha_semantic_triples"))
     assert tuple(naive) == pytest.approx(tuple(closed), abs=1e-7) and naive.n_pairable == 20_100
+
+
+def test_character_grams_of_odd_texts_equal_sql(spark, tmp_path):
+    odd = [None, "", "ab", "abc", "a \t\n b", "a\x0b\x0bb c", "\u0130\u03a3\u03a3 \u1e9e", "\U0001f600\U0001f601 \U0001f600", "nul\x00nul\x00 ", "  Lead  ", "x" * 300]
+    more = ["".join(map(chr, 0x4E00 + np.random.default_rng(8).permutation(4500)[:4300])), "Some words and SOME words" * 9]
+    keys = [*range(len(odd)), 3, 3, None, None, 50, 51]
+    texts = [*odd, "abcd", "xabc", "abc abc", "abc", *more]
+    pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    got = Counter(map(tuple, catalog.QUERIES["tfidf_char_grams"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet'")
+        asked = db.execute(catalog.ORACLES["tfidf_char_grams"]).fetchall()
+    near = {(k, t): w for k, t, w in asked}
+    assert sum(got.values()) == len(asked) == len(near) > 4000
+    assert all(near[k, t] == pytest.approx(w, abs=1.1e-8) for k, t, w in got)
+
+
+@pytest.mark.parametrize("dense", [1 << 23, 1])
+def test_character_grams_by_counting(monkeypatch, dense):
+    monkeypatch.setattr(grams, "DENSE", dense)
+    monkeypatch.setattr(grams, "WAITING", 50)
+    monkeypatch.setattr(grams, "HELD", 40)
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abc d"), rng.integers(0, 60))) for _ in range(40)] + [None]
+    plain = [re.sub(" +", " ", t or "") for t in texts]
+    each = [Counter(t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)) for t in plain]
+    batch = pa.record_batch([pa.array(texts, pa.string())], ["t"])
+    totals = Counter()
+    for b in grams.total_counts(2, 4)(iter([batch])):
+        for t, c in zip(b["token"].to_pylist(), b["total"].to_pylist()):
+            totals[t] += c
+    assert totals == sum(each, Counter())
+    kept = [t for t, _ in totals.most_common(60)]
+    found = grams.finder(kept, 2, 4)
+    for _, points, sizes in grams.slices(batch):
+        row, i, c = found(points, sizes)
+        assert {(r, kept[j]): n for r, j, n in zip(row, i, c)} == {(r, t): n for r, own in enumerate(each) for t, n in own.items() if t in kept}
